@@ -2,7 +2,8 @@
 
 A document is the set of its terms: lower-cased words (`\\w+`) and the first 4 to 6 letters of longer ones, hashed into
 2^20 places. Score: sigmoid of bias + sum of term weights + sum over pairs of terms of the inner product of their factors,
-so that two terms that are harmless alone can be toxic together. The pair sum takes time linear in the terms.
+divided by the number of terms, so that two terms that are harmless alone can be toxic together, and the pairs of a long
+document, which grow with its square, don't drown the rest. The pair sum takes time linear in the terms.
 
 It is fitted by mini-batch AdaGrad on a bounded sample: the `fit_rows` labelled rows that come first by a hash of their id,
 of those that `learn` admits. Terms in fewer than `min_docs` sampled documents take no part. L1 shrinkage keeps
@@ -54,11 +55,11 @@ class Machine:
 def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores before the sigmoid, and each document's sum of factors. w, v: of the documents' terms one after another."""
     sums = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])[ends], axis=0)
-    s = sums(v)
-    return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1), s
+    s, n = sums(v), np.maximum(np.diff(ends), 1)
+    return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1) / n, s
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int = 5, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.15, l1: float = 2e-3, l2: float = 1e-3, seed: int = 3) -> Machine:
+def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int = 8, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 2e-3, l2: float = 1e-3, seed: int = 3) -> Machine:
     """A machine for documents given as sets of hashed terms."""
     labels = np.asarray(labels, float)
     if not len(docs) or not labels.any():
@@ -85,7 +86,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int = 5, rank
             hit, place = np.unique(idx, return_inverse=True)
             db = g.sum()
             dw = np.bincount(place, g[row], len(hit))
-            dv = np.stack([np.bincount(place, g[row] * (s[row, k] - v[idx, k]), len(hit)) for k in range(rank)], axis=1) + l2 * v[hit]
+            h = (g / np.maximum(np.diff(ends), 1))[row]
+            dv = np.stack([np.bincount(place, h * (s[row, k] - v[idx, k]), len(hit)) for k in range(rank)], axis=1) + l2 * v[hit]
             gb += db * db
             b -= rate * db / np.sqrt(gb)
             gw[hit] += dw * dw
@@ -93,7 +95,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int = 5, rank
             step = rate / np.sqrt(gw[hit])
             x = w[hit] - step * dw
             w[hit] = np.sign(x) * np.maximum(np.abs(x) - step * l1 * len(rows), 0)
-            v[hit] -= rate / np.sqrt(gv[hit]) * dv
+            v[hit] -= pair_rate / np.sqrt(gv[hit]) * dv
     # Factors that have not left the noise they started from tell nothing.
     v[np.abs(v).max(axis=1) < 0.1] = 0
     on = (w != 0) | (v != 0).any(axis=1)
