@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod, scratch, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -72,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_chat_format, op5_mixing, op6_token_counts, op7_toxicity, op8_warc, op9_top_k, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_quality_rules, op4_chat_format, op5_mixing, op6_token_counts, op7_toxicity, op8_warc, op9_top_k, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, role, text FROM conversations
