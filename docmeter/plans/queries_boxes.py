@@ -1 +1,170 @@
+"""Queries over boxes, made from line items: a page is an order, a class a return flag, the prediction a shifted box."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import boxes as B
+from .catalog import query, read
+
+GT_SQL = "SELECT l_orderkey AS page, (l_partkey * 1000 + l_suppkey) * 8 + l_linenumber AS gt_id, l_returnflag AS cls, (l_partkey % 8) * 16.0 AS x0, (l_suppkey % 8) * 16.0 AS y0, (l_partkey % 8) * 16.0 + 32 + l_linenumber AS x1, (l_suppkey % 8) * 16.0 + 32 AS y1 FROM lineitem WHERE l_linenumber <= 7"
+PRED_SQL = "SELECT l_orderkey AS page, (l_partkey * 1000 + l_suppkey) * 8 + l_linenumber AS pred_id, CASE WHEN l_partkey % 9 = 0 THEN 'A' ELSE l_returnflag END AS cls, (l_partkey % 17 + 1) / 32.0 + l_linenumber / 1024.0 AS score, (l_partkey % 8) * 16.0 + l_partkey % 5 * 2 AS x0, (l_suppkey % 8) * 16.0 + l_suppkey % 3 * 3 AS y0, (l_partkey % 8) * 16.0 + l_partkey % 5 * 2 + 32 AS x1, (l_suppkey % 8) * 16.0 + l_suppkey % 3 * 3 + 33 AS y1 FROM lineitem WHERE l_linenumber <= 7 AND l_partkey % 11 <> 0"
+PAIRS_SQL = f"""o AS (SELECT page, gt_id, pred_id, g.cls AS g_cls, p.cls AS p_cls, score, (least(g.x1, p.x1) - greatest(g.x0, p.x0)) * (least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS inter, (g.x1 - g.x0) * (g.y1 - g.y0) AS ga, (p.x1 - p.x0) * (p.y1 - p.y0) AS pa,
+    g.y0 AS gy0, g.y1 AS gy1, g.x0 AS gx0, g.x1 AS gx1, p.y0 AS py0, p.y1 AS py1, p.x0 AS px0, p.x1 AS px1
+    FROM ({GT_SQL}) g JOIN ({PRED_SQL}) p USING (page) WHERE g.x0 < p.x1 AND p.x0 < g.x1 AND g.y0 < p.y1 AND p.y0 < g.y1), i AS (SELECT *, inter::DOUBLE / (ga + pa - inter)::DOUBLE AS iou, inter::DOUBLE / ga::DOUBLE AS ioa_gt, inter::DOUBLE / pa::DOUBLE AS ioa_pred FROM o)"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(gt, pred)."""
+    li = read(spark, sf_dir, "lineitem").where("l_linenumber <= 7")
+    d = lambda c: c.cast("double")
+    x, y = d(F.col("l_partkey") % 8 * 16), d(F.col("l_suppkey") % 8 * 16)
+    ident = (F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")
+    gt = li.select(F.col("l_orderkey").alias("page"), ident.alias("gt_id"), F.col("l_returnflag").alias("cls"), x.alias("x0"), y.alias("y0"), (x + 32 + F.col("l_linenumber")).alias("x1"), (y + 32).alias("y1"))
+    px, py = x + F.col("l_partkey") % 5 * 2, y + F.col("l_suppkey") % 3 * 3
+    cls = F.when(F.col("l_partkey") % 9 == 0, "A").otherwise(F.col("l_returnflag"))
+    score = (F.col("l_partkey") % 17 + 1) / 32 + F.col("l_linenumber") / 1024
+    pred = li.where("l_partkey % 11 <> 0").select(F.col("l_orderkey").alias("page"), ident.alias("pred_id"), cls.alias("cls"), score.alias("score"), px.alias("x0"), py.alias("y0"), (px + 32).alias("x1"), (py + 33).alias("y1"))
+    return gt, pred
+
+
+def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    gt, pred = pages(spark, sf_dir)
+    return gt, pred, B.overlaps(gt, pred, ["page"])
+
+
+@query(f"WITH {PAIRS_SQL} SELECT page, gt_id, pred_id, round(iou, 9) AS iou, round(ioa_gt, 9) AS ioa_gt, round(ioa_pred, 9) AS ioa_pred FROM i")
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir)[2].select("page", "gt_id", "pred_id", *(F.round(c, 9).alias(c) for c in ("iou", "ioa_gt", "ioa_pred")))
+
+
+BEST_SQL = f"WITH {PAIRS_SQL}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, gt_id ORDER BY iou DESC, pred_id) AS r FROM i WHERE ioa_gt >= 0.5 AND ioa_pred >= 0.2) WHERE r = 1)"
+
+
+@query(f"{BEST_SQL} SELECT g.page, g.gt_id, g.cls, pred_id, p_cls, pred_id IS NOT NULL AS localised, coalesce(g.cls = p_cls, false) AS classified FROM ({GT_SQL}) g LEFT JOIN b ON g.page = b.page AND g.gt_id = b.gt_id")
+def layout_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _, pairs = paired(spark, sf_dir)
+    return B.layout_rules(gt, B.best_match(pairs, ["page"]), ["page"])
+
+
+@query(f"{BEST_SQL} SELECT g.cls, avg((pred_id IS NOT NULL)::INT)::DOUBLE AS localised, avg(coalesce(g.cls = p_cls, false)::INT)::DOUBLE AS classified, avg((pred_id IS NOT NULL AND g.cls = p_cls)::INT)::DOUBLE AS element FROM ({GT_SQL}) g LEFT JOIN b ON g.page = b.page AND g.gt_id = b.gt_id GROUP BY 1")
+def layout_element_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = layout_localisation(spark, sf_dir)
+    return r.groupBy("cls").agg(*(F.avg(c.cast("double")).alias(n) for n, c in (("localised", F.col("localised")), ("classified", F.col("classified")), ("element", F.col("localised") & F.col("classified")))))
+
+
+@query()
+def detection_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred, pairs = paired(spark, sf_dir)
+    return B.class_scores(gt, pred, B.greedy(pairs, ["page"]), ["page"])
+
+
+@query()
+def detection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred, pairs = paired(spark, sf_dir)
+    return B.mean_ap(gt, pred, pairs, ["page"]).groupBy().agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("ap50"), F.avg(F.when(F.col("threshold") == 0.75, F.col("ap"))).alias("ap75"))
+
+
+@query()
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred, pairs = paired(spark, sf_dir)
+    return B.confusion(gt, pred, B.greedy(pairs, ["page"], any_class=True), ["page"])
+
+
+@query(f"""WITH {PAIRS_SQL}, own AS (SELECT page, gt_id, gx0, gx1, gy0, gy1, greatest(gx0, px0) AS cx0, least(gx1, px1) AS cx1, greatest(gy0, py0) AS cy0, least(gy1, py1) AS cy1 FROM i WHERE ioa_pred >= 0.2),
+    u AS (SELECT *, max(cy1) OVER (PARTITION BY page, gt_id ORDER BY cy0, cy1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM own),
+    s AS (SELECT page, gt_id, least((max(cx1) - min(cx0)) / max(gx1 - gx0), 1) AS x_span, least(sum(greatest(cy1 - greatest(coalesce(top, cy0), cy0), 0)) / max(gy1 - gy0), 1) AS y_cover FROM u GROUP BY 1, 2)
+    SELECT g.page, g.gt_id, round(coalesce(x_span, 0)::DOUBLE, 9) AS x_span, round(coalesce(y_cover, 0)::DOUBLE, 9) AS y_cover, coalesce(x_span >= 0.8 AND y_cover >= 0.5, false) AS localised FROM ({GT_SQL}) g LEFT JOIN s ON g.page = s.page AND g.gt_id = s.gt_id""")
+def furniture_band_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _, pairs = paired(spark, sf_dir)
+    return B.band_cover(gt, pairs, ["page"]).withColumns({c: F.round(c, 9) for c in ("x_span", "y_cover")})
+
+
+@query(f"""WITH g AS ({GT_SQL}), w AS (SELECT page, x0, x1, max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM g)
+    SELECT page, sum(greatest(x1 - greatest(coalesce(top, x0), x0), 0))::DOUBLE AS length FROM w GROUP BY 1""")
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.union_length(pages(spark, sf_dir)[0], ["page"], "x0", "x1")
+
+
+ORDER_SQL = "SELECT conv_id, turn AS ro_index, turn AS element, (turn + turn * turn * conv_id) % 7 AS pred_order FROM conversations"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    return read(spark, sf_dir, "conversations").select("conv_id", t.alias("ro_index"), t.alias("element"), ((t + t * t * F.col("conv_id")) % 7).alias("pred_order"))
+
+
+@query(f"""WITH o AS ({ORDER_SQL}), w AS (SELECT *, max(pred_order) OVER (PARTITION BY conv_id ORDER BY ro_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, min(pred_order) OVER (PARTITION BY conv_id ORDER BY ro_index ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS a FROM o)
+    SELECT conv_id, ro_index, element, pred_order, coalesce(b < pred_order, true) AND coalesce(a > pred_order, true) AND (a IS NOT NULL OR b IS NOT NULL) AS passed FROM w""")
+def reading_order_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.local_order(turns(spark, sf_dir), ["conv_id"])
+
+
+@query(f"""WITH o AS ({ORDER_SQL}), l AS (SELECT *, lead(pred_order) OVER (PARTITION BY conv_id ORDER BY ro_index) AS nxt FROM o),
+    a AS (SELECT conv_id, coalesce(avg(CASE WHEN nxt IS NOT NULL THEN (pred_order <= nxt)::INT END), 1)::DOUBLE AS adjacent FROM l GROUP BY 1),
+    p AS (SELECT x.conv_id, avg((x.pred_order <= y.pred_order)::INT)::DOUBLE AS pairwise FROM o x JOIN o y ON x.conv_id = y.conv_id AND x.ro_index < y.ro_index GROUP BY 1)
+    SELECT a.conv_id, round(adjacent, 9) AS adjacent, round(coalesce(pairwise, 1.0), 9) AS pairwise FROM a LEFT JOIN p ON a.conv_id = p.conv_id""")
+def reading_order_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.order_accuracy(turns(spark, sf_dir), ["conv_id"]).withColumns({c: F.round(c, 9) for c in ("adjacent", "pairwise")})
+
+
+TOKENS_SQL = """g AS (SELECT doc_id // 4 AS page, doc_id AS gt_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), p AS (SELECT doc_id // 4 AS page, doc_id AS pred_id, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+') AS tokens FROM documents),
+    l AS (SELECT g.page, gt_id, pred_id FROM g JOIN p ON g.page = p.page AND (gt_id = pred_id OR gt_id = pred_id + 1)),
+    gt AS (SELECT page, gt_id, token, count(*) AS n FROM (SELECT page, gt_id, unnest(tokens) AS token FROM g) GROUP BY ALL), pt AS (SELECT page, pred_id, token, count(*) AS n FROM (SELECT page, pred_id, unnest(tokens) AS token FROM p) GROUP BY ALL)"""
+
+
+def token_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = read(spark, sf_dir, "documents")
+    page = F.floor(F.col("doc_id") / 4).alias("page")
+    tokens = lambda t: F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1).alias("tokens")
+    g, p = d.select(page, F.col("doc_id").alias("gt_id"), tokens(F.col("text"))), d.select(page, F.col("doc_id").alias("pred_id"), tokens(F.substring("text", 1, 200)))
+    links = g.select("page", "gt_id").join(p.select("page", "pred_id"), "page").where("gt_id = pred_id OR gt_id = pred_id + 1")
+    return g, p, links
+
+
+@query(f"""WITH {TOKENS_SQL},
+    a AS (SELECT pt.page, sum(least(pt.n, coalesce(m, 0))) / sum(pt.n) AS lap FROM pt LEFT JOIN (SELECT l.page, pred_id, token, sum(n) AS m FROM l JOIN gt ON l.page = gt.page AND l.gt_id = gt.gt_id GROUP BY ALL) x ON pt.page = x.page AND pt.pred_id = x.pred_id AND pt.token = x.token GROUP BY 1),
+    b AS (SELECT gt.page, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS lar FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1)
+    SELECT a.page, round(lap::DOUBLE, 9) AS lap, round(lar::DOUBLE, 9) AS lar, round((2 * lap * lar / (lap + lar))::DOUBLE, 9) AS af1 FROM a JOIN b ON a.page = b.page""")
+def lap_lar_af1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.attribution(*token_pages(spark, sf_dir), ["page"]).withColumns({c: F.round(c, 9) for c in ("lap", "lar", "af1")})
+
+
+@query(f"""WITH {TOKENS_SQL}, r AS (SELECT gt.page, gt.gt_id, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS recall FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1, 2)
+    SELECT page, round(avg((recall >= 0.8)::INT)::DOUBLE, 9) AS accuracy FROM r GROUP BY 1""")
+def grounding_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.grounding_accuracy(*token_pages(spark, sf_dir), ["page"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query()
+def field_bbox_set_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred = pages(spark, sf_dir)
+    return B.set_iou(gt, pred, ["page"])
+
+
+@query(f"""WITH c AS (SELECT page, gt_id, x0, (y0 + y1) / 2 AS yc, y1 - y0 AS h, 't' || gt_id::VARCHAR AS t FROM ({GT_SQL})), m AS (SELECT *, avg(h) OVER (PARTITION BY page) AS mean, yc - lag(yc) OVER (PARTITION BY page ORDER BY yc, x0) AS gap FROM c),
+    n AS (SELECT *, sum(CASE WHEN gap > mean / 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY yc, x0) AS line FROM m) SELECT page, line, string_agg(t, ' ' ORDER BY x0, t) AS text FROM n GROUP BY 1, 2""")
+def line_grouping_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _ = pages(spark, sf_dir)
+    return B.lines(gt.withColumn("text", F.concat(F.lit("t"), F.col("gt_id").cast("string"))), ["page"])
+
+
+@query(f"""WITH c AS (SELECT page, gt_id AS cell_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM ({GT_SQL})) SELECT c.page, cell_id, min(pred_id) AS box_id FROM c JOIN ({PRED_SQL}) p ON c.page = p.page AND cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY 1, 2""")
+def cells_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred = pages(spark, sf_dir)
+    return B.cells_in_boxes(gt.withColumnRenamed("gt_id", "cell_id"), pred.withColumnRenamed("pred_id", "box_id"), ["page"])
+
+
+MAP = [("STANDARD", "Text"), ("SMALL", "Caption"), ("MEDIUM", "Table"), ("LARGE", "Picture"), ("ECONOMY", "Formula")]
+
+
+@query("WITH m(raw, canonical) AS (VALUES {}) SELECT p_partkey, canonical FROM part JOIN m ON string_split(p_type, ' ')[1] = raw".format(", ".join(f"('{a}', '{b}')" for a, b in MAP)))
+def label_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ")[0].alias("raw_label"))
+    return B.project_labels(rows, spark.createDataFrame(MAP, "raw_label string, canonical string")).select("p_partkey", "canonical")
+
+
+@query(f"SELECT page, gt_id, x0 / 256::DOUBLE AS x0, y0 / 128::DOUBLE AS y0, x1 / 256::DOUBLE AS x1, y1 / 128::DOUBLE AS y1 FROM ({GT_SQL})")
+def box_to_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir)[0].select("page", "gt_id", *B.to_unit([F.col(c) for c in B.BOX], F.lit(256.0), F.lit(128.0)))
