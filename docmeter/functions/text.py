@@ -33,6 +33,20 @@ def latin_accents() -> tuple[str, str]:
 ACCENTED, PLAIN = latin_accents()
 
 
+def arrow(f, kind: str):
+    """An Arrow function of one text column, made when it is first used: workers import this module without a session."""
+
+    def apply(text: Column) -> Column:
+        @F.pandas_udf(kind)
+        def run(t: pd.Series) -> pd.Series:
+            return t.map(f)
+
+        return run(text)
+
+    apply.__doc__ = f.__doc__
+    return apply
+
+
 def replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
@@ -105,22 +119,18 @@ def normalize_py(text: str | None) -> str:
     return t.lower()
 
 
-@F.pandas_udf("string")
-def normalize_udf(text: pd.Series) -> pd.Series:
-    return text.map(normalize_py)
-
-
-@F.pandas_udf("string")
-def nfc_udf(text: pd.Series) -> pd.Series:
+def nfc(t: str | None) -> str | None:
     """NFC form, for joins on file names."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return None if t is None else unicodedata.normalize("NFC", t)
 
 
-@F.pandas_udf("string")
-def grounding_udf(text: pd.Series) -> pd.Series:
+def grounding_text(t: str | None) -> str | None:
     """NFKC, without zero-width characters, case-folded, white space collapsed."""
-    zero = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(zero).casefold().split()))
+    zero = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+    return None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(zero).casefold().split())
+
+
+normalize_udf, nfc_udf, grounding_udf = arrow(normalize_py, "string"), arrow(nfc, "string"), arrow(grounding_text, "string")
 
 
 def attribution_text(t: str | None) -> str:
@@ -153,9 +163,7 @@ def words_py(text: str, least: int = 2) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
-def words_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: words_py(t or ""))
+words_udf = arrow(lambda t: words_py(t or ""), "array<string>")
 
 
 SENTENCE_END = r"\n|(?<!\d)\.|\.(?!\d)|[!?。！？]"
@@ -193,9 +201,7 @@ def sentences_py(text: str | None) -> list[str]:
     return [s for s in map(sentence_fragment, merged) if s]
 
 
-@F.pandas_udf("array<string>")
-def sentences_udf(text: pd.Series) -> pd.Series:
-    return text.map(sentences_py)
+sentences_udf = arrow(sentences_py, "array<string>")
 
 
 def digits(text: Column) -> Column:
