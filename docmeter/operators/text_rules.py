@@ -122,7 +122,7 @@ def digit_score(expected: Column, actual: Column) -> Column:
     """Sum of the smaller counts of each digit over the expected ones."""
     add = lambda a, b: a + b
     total = F.aggregate(expected, F.lit(0), add)
-    return F.when(total > 0, F.aggregate(F.zip_with(expected, actual, F.least), F.lit(0), add) / total).otherwise(1.0)
+    return F.when(total > 0, F.aggregate(F.zip_with(expected, actual, lambda a, b: F.least(a, b)), F.lit(0), add) / total).otherwise(1.0)
 
 
 def contains_sentence(text: Column, sentence: Column) -> Column:

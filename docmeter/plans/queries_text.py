@@ -1 +1,204 @@
+"""Queries of text, bag, formatting and form rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import formatting as S
+from ..operators import forms
+from ..operators import text_rules as R
+from .catalog import query, read
+
+FOLD = "lower(translate(regexp_replace({}, '\\s+', ' ', 'g'), 'ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü', 'ACEEEINOOUaceeeinoou'))"
+
+
+def fold(text: Column) -> Column:
+    """White space collapsed, accents and case dropped: the part of normalize that is the same in plain SQL."""
+    return F.lower(T.unaccent(F.regexp_replace(text, r"[\t\n\f\r ]+", " ")))
+
+
+def fold_sql(c: str) -> str:
+    return FOLD.format(c)
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {fold_sql("text")} AS t FROM documents), b AS (SELECT item_id, {fold_sql("text")} AS q FROM benchmark),
+    r AS (SELECT source, doc_id, item_id, contains(t, q) AS hit FROM d, b) SELECT source, count(*) AS total, count(CASE WHEN hit THEN 1 END) AS passed, count(CASE WHEN NOT hit THEN 1 END) AS absent_passed FROM r GROUP BY 1""")
+def rule_present_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence and absence of every benchmark passage (a rule table of some hundred rows, whatever the corpus) in every document."""
+    d = read(spark, sf_dir, "documents").select("source", fold(F.col("text")).alias("t"))
+    q = read(spark, sf_dir, "benchmark").select(fold(F.col("text")).alias("q")).agg(F.collect_list("q").alias("qs"))
+    rows = d.join(F.broadcast(q)).select("source", F.size("qs").alias("n"), F.size(F.filter("qs", lambda x: F.contains(F.col("t"), x))).alias("hit"))
+    return rows.groupBy("source").agg(F.sum("n").cast("long").alias("total"), F.sum("hit").cast("long").alias("passed"), F.sum(F.col("n") - F.col("hit")).cast("long").alias("absent_passed"))
+
+
+@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 AS n, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 = 3 AS passed FROM documents")
+def rule_present_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, q = F.lower("text"), F.lit("the ")
+    return read(spark, sf_dir, "documents").select("doc_id", R.occurrences(t, q).alias("n"), R.present_exact(t, q, 3).alias("passed"))
+
+
+@query()
+def rule_present_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages against the page titles: partial ratio from max(0.7, 1 - 5 / length)."""
+    p = read(spark, sf_dir, "pages").select("page_id", T.normalize(F.regexp_extract("html", r"<title>([^<]*)", 1)).alias("t"))
+    return p.select("page_id", R.presence_udf()(F.col("t"), F.substring("t", 3, 40), F.lit(5.0), F.lit(None).cast("int"), F.lit(False)).alias("passed"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) <= 400 AS blank_ok, regexp_matches(text, '[\\p{L}\\p{N}]') AS passed FROM documents WHERE length(text) <= 50")
+def rule_baseline_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").where(F.length("text") <= 50).select("doc_id", R.baseline(t, max_length=400).alias("blank_ok"), R.baseline(t).alias("passed"))
+
+
+@query()
+def rule_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", R.baseline(F.col("text")).alias("passed"))
+
+
+CONV_SQL = """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t, min_by(text, turn) AS a, max_by(text, turn) AS b FROM conversations GROUP BY 1"""
+
+
+@query(f"SELECT conv_id, CASE WHEN contains(t, a) AND contains(t, b) THEN strpos(t, a) < length(t) - strpos(reverse(t), reverse(b)) - length(b) + 2 END AS passed FROM ({CONV_SQL})")
+def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
+    return c.select("conv_id", R.order_exact(F.col("t"), F.col("a"), F.col("b")).alias("passed"))
+
+
+# Ground truth: a document's words; prediction: without each eleventh word, each thirteenth twice.
+BAGS_SQL = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS item, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{2,}'), 1) AS i FROM documents),
+    e AS (SELECT doc_id, item, count(*) AS e FROM w GROUP BY ALL), a AS (SELECT doc_id, item, sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) AS a FROM w GROUP BY ALL HAVING sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) > 0),
+    j AS (SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, coalesce(e, 0) AS e, coalesce(a, 0) AS a FROM e FULL JOIN a ON e.doc_id = a.doc_id AND e.item = a.item)"""
+
+
+def bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)
+    w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "item"))
+    i = F.col("i") + 1
+    n = F.sum(F.when(i % 11 == 0, 0).when(i % 13 == 0, 2).otherwise(1))
+    return w.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n")), w.groupBy("doc_id", "item").agg(n.alias("n")).where("n > 0")
+
+
+@query(f"""WITH {BAGS_SQL} SELECT doc_id, round((sum(least(a, e)) / sum(e))::DOUBLE, 9) AS missing_percent, round((CASE WHEN sum(a) > 0 THEN sum(CASE WHEN e > 0 THEN a ELSE 0 END) / sum(a) ELSE 1 END)::DOUBLE, 9) AS unexpected_percent,
+    round((1 - sum(greatest(a - e, 0)) / sum(greatest(a, e)))::DOUBLE, 9) AS too_many_percent, sum(least(a, e)) = sum(e) AS missing, true AS unexpected, sum(greatest(a - e, 0)) = 0 AS too_many, sum(greatest(a - e, 0)) = 0 AS extra_content FROM j GROUP BY 1""")
+def word_bag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.extra_content(R.bag_scores(*bags(spark, sf_dir), "doc_id"))
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_percent")})
+
+
+@query("""WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(lower(text), '[.!?\\n]'))) AS item FROM documents), n AS (SELECT doc_id, item, count(*) AS n FROM s WHERE length(item) >= 7 GROUP BY ALL)
+    SELECT doc_id, count(*) AS distinct_sentences, sum(n)::BIGINT AS sentences, max(n) AS most FROM n GROUP BY 1""")
+def sentence_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.filter(F.transform(F.split(F.lower("text"), r"[.!?\n]"), lambda s: F.trim(s)), lambda s: F.length(s) >= 7)
+    return R.bag(read(spark, sf_dir, "documents"), "doc_id", parts).groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_sentences"), F.sum("n").alias("sentences"), F.max("n").alias("most"))
+
+
+@query()
+def sentence_bag_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with short chunks carried on, as an Arrow function."""
+    return R.sentence_bags(read(spark, sf_dir, "pages").withColumn("t", T.html_text(F.col("html"))), "page_id", "t")
+
+
+@query("""WITH c AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages), d AS (SELECT page_id, unnest(range(10)) AS k, t FROM c), n AS (SELECT page_id, k, length(t) - length(replace(t, k::VARCHAR, '')) AS n, (length(t) - length(replace(t, k::VARCHAR, ''))) * (k % 3) // 2 AS a FROM d)
+    SELECT page_id, round(CASE WHEN sum(n) > 0 THEN (sum(least(n, a)) / sum(n))::DOUBLE ELSE 1.0 END, 9) AS score FROM n GROUP BY 1""")
+def bag_of_digit_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.digits(F.col("html"))
+    a = F.transform(e, lambda x, k: F.floor(x * (k % 3) / 2).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", e.alias("e"), a.alias("a")).select("page_id", F.round(R.digit_score(F.col("e"), F.col("a")), 9).alias("score"))
+
+
+@query(f"WITH b AS (SELECT item_id, {fold_sql('text')} AS text FROM benchmark) SELECT item_id, round(1 - levenshtein(substr(text, 1, 120), substr(text, 5, 120)) / greatest(length(substr(text, 1, 120)), length(substr(text, 5, 120)))::DOUBLE, 9) AS similarity FROM b")
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fold(F.col("text"))
+    a, b = F.substring(t, 1, 120), F.substring(t, 5, 120)
+    return read(spark, sf_dir, "benchmark").select("item_id", F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 9).alias("similarity"))
+
+
+@query("SELECT doc_id, " + fold_sql("text") + " AS t FROM documents")
+def normalise_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("t"))
+
+
+@query()
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full normalisers, in Catalyst."""
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(t).alias("plain"), T.normalize_light(t).alias("light"), T.normalize_cell(F.substring(t, 1, 200)).alias("cell"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS h1, regexp_matches(html, '(?is)<b>[^<]*') AS bold FROM pages")
+def title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1).alias("h1"), F.regexp_like("html", F.lit(r"(?is)<b>[^<]*")).alias("bold"))
+
+
+@query()
+def title_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.title_events(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("SELECT page_id, true AS passed FROM pages WHERE regexp_matches(html, '(?is)<h1\\b[^>]*>.*[A-Za-z].*?</h1>')")
+def rule_is_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    e = S.title_events(p, "page_id", "html")
+    rules = p.select("page_id", F.trim(T.normalize(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))).alias("wanted")).where("wanted <> ''")
+    return S.is_title(e, rules, "page_id").select("page_id", "passed")
+
+
+@query("SELECT page_id, regexp_matches(html, '(?is)<b>\\w+.*?</b>') AS bold, false AS marked FROM pages")
+def rule_is_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    word = F.regexp_extract(h, r"(?is)<b>(\w+)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", (S.has_style(h, word, "bold") & (word != "")).alias("bold"), S.has_style(h, F.lit("no such text here"), "mark").alias("marked"))
+
+
+@query("SELECT page_id, true AS footer FROM pages WHERE contains(html, '<footer>')")
+def rule_is_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").where(F.contains("html", F.lit("<footer>"))).select("page_id", S.html_sections(F.col("html"), "footer").alias("s"))
+    return p.select("page_id", S.in_sections(F.col("s"), F.substring(F.element_at("s", 1), 1, 20)).alias("footer"))
+
+
+STYLED = [
+    (1, "**Bold words** and *slanted ones*, ~~gone~~, x<sup>2</sup>, <u>under</u>, <mark style=\"color:red\">red</mark>", "bold", "Bold words", True),
+    (2, "**Bold words** and *slanted ones*", "italic", "slanted ones", True), (3, "~~gone~~ but here", "strikeout", "gone", True), (4, "~~gone~~ but here", "strikeout", "here", False),
+    (5, "x<sup>2</sup>", "sup", "2", True), (6, "H<sub>2</sub>O", "sub", "2", True), (7, "<u>under</u>", "underline", "under", True), (8, "<mark>lit</mark>", "mark", "lit", True),
+    (9, "**one** two **three**", "bold", "two", False), (10, "# Head line", "bold", "Head", True), (11, "***both***", "bold", "both", True), (12, "<b>a</b> plain <b>c</b>", "bold", "plain", False),
+]
+
+
+@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({i}, {str(ok).lower()})" for i, _, _, _, ok in STYLED)))
+def rule_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:4] for x in STYLED], "id int, md string, style string, q string")
+    hit = F.lit(None).cast("boolean")
+    for s in S.STYLES:
+        hit = F.when(F.col("style") == s, S.has_style(F.col("md"), F.col("q"), s)).otherwise(hit)
+    return d.select("id", hit.alias("passed"))
+
+
+MARKED = [(1, "Sum: $a + b$ and $$c$$", "$a+b$", "x", "latex", True), (2, "none", "$a$", "x", "latex", False), (3, "```python\nprint(1)\n```\n", "print(1)", "python", "code", True), (4, "```sql\nselect\n```\n", "select", "python", "code", False)]
+
+
+@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({x[0]}, {str(x[5]).lower()})" for x in MARKED)))
+def rule_latex_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:5] for x in MARKED], "id int, md string, q string, lang string, kind string")
+    code = F.exists(T.code_blocks(F.col("md")), lambda b: (F.trim(b["language"]) == F.col("lang")) & F.contains(b["code"], F.col("q")))
+    return d.select("id", F.when(F.col("kind") == "latex", S.is_latex(F.col("md"), F.col("q"))).otherwise(code).alias("passed"))
+
+
+FORMS = [
+    (1, "**Name:** Ada King\n**Town:** Rome", "text", "Name", ["Ada King"], True), (2, "Name: Ada\nTown: Rome", "text", "Town", ["Rome"], True), (3, "Name: Ada", "text", "Name", ["Bob"], False),
+    (4, "| Name | Ada |\n|---|---|\n| Town | Rome |", "text", "Town", ["Rome"], True), (5, "<table><tr><td>Total</td><td>$1,200</td></tr></table>", "text", "Total", ["1200"], True), (6, "- [x] Married\n- [ ] Single", "checkbox", "Married", ["yes"], True),
+    (7, "- [x] Married\n- [ ] Single", "checkbox", "Single", ["yes"], False), (8, "Signature: J. Doe", "signature", "Signature", ["signed"], True), (9, "Signature: ____", "signature", "Signature", [""], True), (10, "nothing", "signature", "Signature", [""], False),
+    (11, "☑ Agree ☐ Refuse", "checkbox", "Agree", ["yes"], True), (12, "| Item | Cost |\n|---|---|\n| Tea | 3 |\n| Milk | 4 |", "text", "Cost (row 2)", ["4"], True), (13, "Name: ~~Bob~~ Ada", "text", "Name", ["Ada"], True),
+]
+
+
+@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({x[0]}, {str(x[5]).lower()})" for x in FORMS)))
+def rule_form_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:5] for x in FORMS], "id int, md string, kind string, label string, expected array<string>")
+    return d.select("id", forms.field_udf()(F.col("md"), F.col("kind"), F.col("label"), F.col("expected")).alias("passed"))
