@@ -7,7 +7,7 @@ Every step is a grouped sum, so Spark combines on the map side and no group is c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Counts, and a rate of which less is better, that a failure must not pad.
@@ -90,14 +90,13 @@ def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
     The places come from counts of distinct values, summed in order, so a group is never held in one row.
     """
-    from pyspark.sql import Window
-
-    distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    distinct = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy(*by)
-    places = distinct.withColumn("upto", F.sum("k").over(w.orderBy("v"))).withColumn("n", F.sum("k").over(w))
-    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    tops = [F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return places.groupBy(*by).agg(F.sum(F.col("v") * F.col("k")).alias("total"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("k").alias("n"), *tops)
+    places = distinct.withColumn("__upto", F.sum("__k").over(w.orderBy("__v"))).withColumn("__n", F.sum("__k").over(w))
+    at = lambda p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1)
+    tops = [F.min(F.when(F.col("__upto") > at(p), F.col("__v"))).alias(f"p{p}") for p in (50, 90, 95, 99)]
+    total = F.sum(F.col("__v") * F.col("__k"))
+    return places.groupBy(*by).agg(total.alias("total"), (total / F.sum("__k")).alias("avg"), F.min("__v").alias("min"), F.max("__v").alias("max"), F.sum("__k").alias("n"), *tops)
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -150,10 +150,10 @@ def rule_is_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.is_title(e, rules, "page_id").select("page_id", "passed")
 
 
-@query("SELECT page_id, regexp_matches(html, '(?is)<b>\\w+.*?</b>') AS bold, false AS marked FROM pages")
+@query("SELECT page_id, regexp_matches(html, '(?is)<b>[^<\\s]+.*?</b>') AS bold, false AS marked FROM pages")
 def rule_is_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    word = F.regexp_extract(h, r"(?is)<b>(\w+)", 1)
+    h = F.translate("html", "*#~_", "")
+    word = F.regexp_extract(h, r"(?is)<b>([^<\s]+)", 1)
     return read(spark, sf_dir, "pages").select("page_id", (S.has_style(h, word, "bold") & (word != "")).alias("bold"), S.has_style(h, F.lit("no such text here"), "mark").alias("marked"))
 
 
