@@ -4,8 +4,8 @@ Each text is measured once. Of the documents that pass the fixed base rules, eve
 each measured ratio: counts in buckets of a fixed relative width (a bucket's bounds are within `ACCURACY` of each other),
 which merge by adding, in any order and with the same result. A group of fewer than `least` documents borrows the merged sketch
 of its language, and that of all documents if that is small, too. From a sketch come the median and the quartiles, and
-from these the threshold: the upper quartile plus `reach` times the upper half spread, and never below a floor, under
-which no document counts as an outlier. The thresholds, one row for each group, are joined back, and a document above
+from these the threshold: the upper quartile plus `reach` times the upper half spread, at least MARGIN times the upper
+quartile, and never below a floor, under which no document counts as an outlier. The thresholds, one row for each group, are joined back, and a document above
 any of its group's thresholds is not kept.
 
 Defined cases: null and empty texts have no words and fail the base rules; null languages and sources are groups of
@@ -28,6 +28,8 @@ SYMBOLS = b"#*$%&|<>"
 NO_POINT = bytes(range(0x80, 0xC0))
 WINDOW = 8
 ACCURACY = 0.02
+#: A threshold is at least so many times the upper quartile: groups without any spread have outliers by size only.
+MARGIN = 1.5
 #: Ratios that are judged: column, numerator and denominator, and the floor of its threshold.
 RATIOS = {
     "symbols": ("n_symbols", "word_chars", 0.10),
@@ -152,7 +154,7 @@ def thresholds(sketch: DataFrame, *, least: int, reach: float) -> DataFrame:
     q = F.when(F.col("total") >= least, F.col("q")).when(F.col("l_total") >= least, F.col("l_q")).otherwise(F.col("a_q"))
     floor = F.element_at(F.create_map(*(F.lit(x) for k, r in RATIOS.items() for x in (k, float(r[2])))), F.col("ratio"))
     rows = rows.select("lang", "source", "ratio", q.alias("q"), floor.alias("floor"))
-    rows = rows.withColumn("t", F.greatest("floor", F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0])))
+    rows = rows.withColumn("t", F.greatest("floor", F.col("q")[1] + reach * (F.col("q")[1] - F.col("q")[0]), MARGIN * F.col("q")[1]))
     return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, F.col("t"))).alias(f"t_{k}") for k in RATIOS))
 
 

@@ -6,7 +6,7 @@ divided by the number of terms, so that two terms that are harmless alone can be
 document, which grow with its square, don't drown the rest. The pair sum takes time linear in the terms.
 
 It is fitted by mini-batch AdaGrad on a bounded sample: the `fit_rows` labelled rows that come first by a hash of their id,
-of those that `learn` admits. Terms in fewer than `min_docs` sampled documents take no part. L1 shrinkage keeps
+of those that `learn` admits. Terms in fewer than `min_docs` sampled documents (2 to 8, by the sample's size) take no part. L1 shrinkage keeps
 the weights of terms that tell nothing at exactly 0, so a long document gathers no noise. Whole texts are scored.
 
 Defined cases: a null or empty text gets the score of a document without terms; several labels of one document count as
@@ -30,6 +30,7 @@ from .common import schema_with
 PLACES = 1 << 20
 WORDS = re.compile(r"\w+")
 CACHED = 300_000
+STEPS = 560
 
 
 def places(word: str) -> list[int]:
@@ -59,11 +60,15 @@ def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, ends: np.ndarray) -> t
     return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1) / n, s
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int = 8, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 2e-3, l2: float = 1e-3, seed: int = 3) -> Machine:
+def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None = None, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 2e-3, l2: float = 1e-3, seed: int = 3) -> Machine:
     """A machine for documents given as sets of hashed terms."""
     labels = np.asarray(labels, float)
     if not len(docs) or not labels.any():
         return Machine()
+    # Small samples get smaller batches and more epochs, so that there are as many steps as for a large one.
+    batch = min(batch, max(16, len(docs) // 40))
+    epochs = max(epochs, -(-STEPS * batch // len(docs)))
+    min_docs = max(2, min(8, len(docs) // 1000)) if min_docs is None else min_docs
     seen = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), minlength=PLACES)
     terms = np.flatnonzero(seen >= min_docs)
     dense = np.full(PLACES, -1, np.int64)
