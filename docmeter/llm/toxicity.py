@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its terms: lower-cased words (`\\w+`) and the first 4 to 6 letters of longer ones, hashed into
-2^20 places. Score: sigmoid of bias + sum of term weights + sum over pairs of terms of the inner product of their factors,
-divided by the number of terms, so that two terms that are harmless alone can be toxic together, and the pairs of a long
-document, which grow with its square, don't drown the rest. The pair sum takes time linear in the terms.
+2^20 places. Score: sigmoid of bias + sum of term weights + GAIN times the mean over pairs of terms of the inner product of their
+factors, so that two terms that are harmless alone can be toxic together, and the pairs of a long document, which grow
+with its square, don't drown the rest. The pair sum takes time linear in the terms. The model is the average over the last third of the steps.
 
 It is fitted by mini-batch AdaGrad on a bounded sample: the `fit_rows` labelled rows that come first by a hash of their id,
 of those that `learn` admits. Terms in fewer than `min_docs` sampled documents (2 to 8, by the sample's size) take no part. L1 shrinkage keeps
@@ -31,6 +31,7 @@ PLACES = 1 << 20
 WORDS = re.compile(r"\w+")
 CACHED = 300_000
 STEPS = 560
+GAIN = 32.0
 
 
 def places(word: str) -> list[int]:
@@ -53,14 +54,19 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw_scores(self.bias, self.weights[at], self.factors[at], ends)[0], -30, 30)))
 
 
+def pair_weight(n: np.ndarray) -> np.ndarray:
+    """GAIN over the number of pairs of n terms, at most 1."""
+    return np.minimum(1.0, GAIN / np.maximum(n * (n - 1) / 2, 1))
+
+
 def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores before the sigmoid, and each document's sum of factors. w, v: of the documents' terms one after another."""
     sums = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])[ends], axis=0)
-    s, n = sums(v), np.maximum(np.diff(ends), 1)
-    return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1) / n, s
+    s = sums(v)
+    return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1) * pair_weight(np.diff(ends)), s
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None = None, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 2e-3, l2: float = 1e-3, seed: int = 3) -> Machine:
+def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None = None, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 5e-4, l2: float = 1e-3, seed: int = 3) -> Machine:
     """A machine for documents given as sets of hashed terms."""
     labels = np.asarray(labels, float)
     if not len(docs) or not labels.any():
@@ -77,6 +83,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None =
     rng = np.random.default_rng(seed)
     share = labels.mean()
     b, w, v = float(np.log(share / (1 - share))) if share < 1 else 5.0, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank))
+    steps = epochs * -(-len(docs) // batch)
+    done, kept, mean = 0, 0, (0.0, np.zeros_like(w), np.zeros_like(v))
     gb, gw, gv = 1.0, np.full(len(terms), 0.1), np.full((len(terms), rank), 0.1)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
@@ -91,7 +99,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None =
             hit, place = np.unique(idx, return_inverse=True)
             db = g.sum()
             dw = np.bincount(place, g[row], len(hit))
-            h = (g / np.maximum(np.diff(ends), 1))[row]
+            h = (g * pair_weight(np.diff(ends)))[row]
             dv = np.stack([np.bincount(place, h * (s[row, k] - v[idx, k]), len(hit)) for k in range(rank)], axis=1) + l2 * v[hit]
             gb += db * db
             b -= rate * db / np.sqrt(gb)
@@ -101,8 +109,14 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None =
             x = w[hit] - step * dw
             w[hit] = np.sign(x) * np.maximum(np.abs(x) - step * l1 * len(rows), 0)
             v[hit] -= pair_rate / np.sqrt(gv[hit]) * dv
+            done += 1
+            if 3 * done > 2 * steps:
+                kept += 1
+                mean = (mean[0] + (b - mean[0]) / kept, mean[1] + (w - mean[1]) / kept, mean[2] + (v - mean[2]) / kept)
+    b, w, v = mean
     # Factors that have not left the noise they started from tell nothing.
     v[np.abs(v).max(axis=1) < 0.1] = 0
+    w[np.abs(w) < 1e-3] = 0
     on = (w != 0) | (v != 0).any(axis=1)
     return Machine(b, terms[on], w[on], v[on])
 
