@@ -49,8 +49,6 @@ def aggregate_metrics(metrics: DataFrame, results: DataFrame, by: list[str] | No
     total = joined.groupBy(*by, "metric").agg(*(f(c).alias(c) for f, cs in ((F.sum, ("s", "n", "has_cnt", "cnt", "passed", "total", "tp", "fp", "fn", "score_sum", "score_count", "w_sum", "w_count", "p_s", "p_n")), (F.min, ("lo", "p_lo")), (F.max, ("hi", "p_hi"))) for c in cs), F.sum(F.coalesce("fails", F.lit(0))).alias("fails"))
     may_pad = (F.col("has_cnt") == 0) & ~F.col("metric").isin(*NOT_SCORES) & (F.col("lo") >= 0) & (F.col("hi") <= 1)
     total = total.withColumn("pad", F.when(may_pad, F.col("fails")).otherwise(0))
-    prefix = F.regexp_replace("metric", "_precision$", "")
-    kinds = total.select(*by, F.regexp_extract("metric", "^(.*)_(precision|recall|f1)$", 1).alias("prefix"), F.when(F.col("tp").isNotNull(), 1).alias("has")).where("prefix <> '' and has = 1").groupBy(*by, "prefix").agg(F.count(F.lit(1)).alias("parts"))
     named = lambda pre, name, value, when=None: F.struct(F.concat(F.lit(pre), name).alias("name"), (value if when is None else F.when(when, value)).cast("double").alias("value"))
     name = F.col("metric")
     micro = F.when(F.col("w_count") > 0, F.col("w_sum") / F.col("w_count")).when(F.col("score_count") > 0, F.col("score_sum") / F.col("score_count")).when(F.col("total") > 0, F.col("passed") / F.col("total"))
@@ -68,13 +66,15 @@ def aggregate_metrics(metrics: DataFrame, results: DataFrame, by: list[str] | No
         named("total_", name, F.col("cnt"), F.col("has_cnt") > 0),
     )
     out = total.select(*by, F.inline(rows)).where("value is not null")
-    # Pooled precision, recall and F1, where a metric family has all three.
-    p = total.where(F.col("metric").endswith("_precision") & F.col("tp").isNotNull()).withColumn("prefix", prefix).join(kinds.where("parts = 3"), [*by, "prefix"], "left_semi")
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    p = p.withColumn("p", prec).withColumn("r", rec).withColumn("f", F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0))
+    # Pooled precision, recall and F1, where a metric family has all three; they stand before other micro values.
+    part = F.regexp_extract("metric", "^(.*)_(precision|recall|f1)$", 2)
+    family = total.where(F.col("tp").isNotNull() & (part != "")).withColumn("prefix", F.regexp_extract("metric", "^(.*)_(precision|recall|f1)$", 1))
+    p = family.groupBy(*by, "prefix").agg(F.count(F.lit(1)).alias("parts"), *(F.max(F.when(part == "precision", F.col(c))).alias(c) for c in ("tp", "fp", "fn"))).where("parts = 3")
+    share = lambda c: F.coalesce(F.try_divide("tp", F.col("tp") + F.col(c)), F.lit(0.0))
+    p = p.withColumn("p", share("fp")).withColumn("r", share("fn")).withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
     pooled = p.select(*by, F.inline(F.array(*(F.struct(F.concat(F.lit("micro_"), F.col("prefix"), F.lit(f"_{k}")).alias("name"), F.col(c).alias("value")) for k, c in (("precision", "p"), ("recall", "r"), ("f1", "f"))))))
-    return out.join(pooled.select(*by, "name"), [*by, "name"], "left_anti").unionByName(pooled)
+    both = out.withColumn("rank", F.lit(0)).unionByName(pooled.withColumn("rank", F.lit(1)))
+    return both.groupBy(*by, "name").agg(F.max_by("value", "rank").alias("value"))
 
 
 def tag_metrics(metrics: DataFrame, results: DataFrame) -> DataFrame:
