@@ -130,3 +130,39 @@ def operational_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's windows on the whole table; the stream itself gives the same rows once its watermark has passed."""
     return windows.tumbling(read(spark, sf_dir, "events"), "1 day").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return windows.sessions(e, "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("first_ts"), "n")
+
+
+TYPED = [(1, "true", "yes", "boolean", True), (2, "5", "$5.00", "number", True), (3, "2024-01-02", "01/02/2024", "date", True), (4, "Jonathan", "Jonathon", "string", True), (5, "abc", "xyz", "string", False), (6, "5", "6", "number", False)]
+
+
+@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({x[0]}, {str(x[4]).lower()})" for x in TYPED)))
+def typed_value_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:4] for x in TYPED], "id int, e string, a string, kind string")
+    same = F.udf(lambda e, a, k: X.same_value(e, a, k), "boolean", useArrow=True)
+    return d.select("id", same("e", "a", "kind").alias("passed"))
+
+
+@query("SELECT * FROM (VALUES (1, 'l[0].q', 'l[0].q'), (1, 'l[1].q', 'l[2].q')) v(id, path, got_path)")
+def index_tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame([(1, "l[0].q", "a"), (1, "l[1].q", "b"), (1, "l[2].q", "zz")], "id int, path string, value string")
+    a = spark.createDataFrame([(1, "l[0].q", "a"), (1, "l[2].q", "b")], "id int, path string, value string")
+    return X.index_tolerant(e, a, "id")
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false)) v(id, stray)")
+def stray_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(1, None, None), (2, "x", ["no_value"]), (3, "x", ["a:stray"]), (4, "x", ["ok"])], "id int, value string, tags array<string>")
+    return d.select("id", X.stray(F.col("value"), F.col("tags")).alias("stray"))
+
+
+@query()
+def report_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("test_id"), "lang", "n_chars")
+    return corpus.report_blob(d, read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("test_id"), "quality"))

@@ -104,5 +104,37 @@ def numeric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chart_data_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    point = F.udf(lambda h: C.data_point(h, "74", ["NATION_2"]), "boolean")
+    point = F.udf(lambda h: C.data_point(h, "74", ["NATION_2"]), "boolean", useArrow=True)
     return region_tables(spark, sf_dir).select("region", point("html").alias("passed"))
+
+
+@query(f"WITH c AS ({CELLS_SQL}) SELECT region, bool_or(text = 'NATION_2') AS passed FROM c GROUP BY 1")
+def table_top_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some header above the cell is the wanted one."""
+    h = T.headers(region_cells(spark, sf_dir), ["region", "table_id"])
+    return h.groupBy("region").agg(F.bool_or((F.col("text") == "NATION_2") & F.array_contains("top", "Nation")).alias("passed"))
+
+
+@query(f"WITH c AS ({CELLS_SQL}), w AS (SELECT *, lead(text) OVER (PARTITION BY region, row ORDER BY col) AS nxt FROM c) SELECT region, bool_or(text = 'Value' AND nxt IS NULL) AS passed FROM w GROUP BY 1")
+def table_no_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.at_border(region_cells(spark, sf_dir), ["region", "table_id"], F.lit("Value"), "right").drop("table_id")
+
+
+@query(f"WITH c AS ({CELLS_SQL}), p AS (SELECT DISTINCT a.region FROM c a JOIN c b ON a.region = b.region AND a.col = b.col AND a.text = 'Nation' AND b.text = 'NATION_2') SELECT r.region, p.region IS NOT NULL AS passed FROM (SELECT DISTINCT region FROM c) r LEFT JOIN p ON r.region = p.region")
+def table_same_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.shares(region_cells(spark, sf_dir), ["region", "table_id"], F.lit("Nation"), F.lit("NATION_2"), "col").drop("table_id")
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false)) v(id, passed)")
+def table_rowspan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(1, "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>"), (2, "<table><tr><td>a</td><td>b</td></tr></table>")], "id int, html string")
+    return T.spans(T.cells(d, "id", "html"), ["id", "table_id"], F.lit("a"), "rowspan", 2).drop("table_id")
+
+
+@query("SELECT r_regionkey::BIGINT AS region, round(CASE r_regionkey WHEN 0 THEN 0.0 ELSE 1.0 END, 6)::DOUBLE AS score FROM region")
+def chart_data_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graduated cell scores of an expected grid against the table of a region: all of it, or nothing for region 0."""
+    from ..functions import tables as K
+
+    score = F.udf(lambda h, r: T.value_grid_score(K.tables(h)[0].grid().tolist() if r else [["q", "#"]], K.tables(h)[0].grid().tolist()), "double", useArrow=True)
+    return region_tables(spark, sf_dir).select("region", F.round(score("html", "region"), 6).alias("score"))

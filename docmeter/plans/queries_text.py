@@ -202,3 +202,37 @@ FORMS = [
 def rule_form_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame([x[:5] for x in FORMS], "id int, md string, kind string, label string, expected array<string>")
     return d.select("id", forms.field_udf()(F.col("md"), F.col("kind"), F.col("label"), F.col("expected")).alias("passed"))
+
+
+HIER = [(1, "# A\n\n## B\n\n## C\n", '{"A": {"B": {}, "C": {}}}', 1.0), (2, "# A\n\ntext\n", '{"A": {"B": {}}}', 0.333333), (3, "nothing", '{"A": {}}', 0.0)]
+
+
+@query("SELECT * FROM (VALUES {}) v(id, score, passed)".format(", ".join(f"({x[0]}, {x[3]}::DOUBLE, {str(x[3] >= 0.999).lower()})" for x in HIER)))
+def rule_title_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([x[:3] for x in HIER], "id int, md string, wanted string")
+    e = S.title_events(d, "id", "md")
+    return S.title_hierarchy(e, d.select("id", F.lower("wanted").alias("wanted")), "id").select("id", F.round("score", 6).alias("score"), "passed")
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, passed)")
+def rule_mark_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(1, '<mark style="color: red">hot</mark>'), (2, '<mark style="color: blue">hot</mark>'), (3, "hot")], "id int, md string")
+    return d.select("id", S.mark_color(F.col("md"), F.lit("hot"), "red").alias("passed"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, passed)")
+def rule_rotate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(1, 90, None, 90), (2, 0, 90, 0), (3, 0, None, None)], "id int, want int, page int, raw int")
+    return d.select("id", R.rotation(F.col("want"), F.col("page"), F.col("raw")).alias("passed"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', ' ', 'g')), '[a-z0-9]+')) AS n FROM (SELECT page_id, translate(html, 'ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü', 'ACEEEINOOUaceeeinoou') AS html FROM pages)")
+def attribution_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.size(T.attribution_tokens(F.col("html"))).cast("long").alias("n"))
+
+
+@query("""WITH b AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?:^|[^a-z0-9_])the')) >= 0 AS ok, (length(t) - length(replace(t, 'this work is licensed', ''))) // 21 AS n FROM b""")
+def sentence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a sentence of 20 characters or more, which count anywhere."""
+    t = F.lower("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("ok"), R.contains_sentence(t, F.lit("this work is licensed")).cast("long").alias("n"))
