@@ -14,6 +14,24 @@ SPACE = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_clear: dict[str, object] = {}
+_owner: list[str] = []
+
+
+def register(name: str, clear) -> None:
+    """A cache that Python workers keep between tasks, and how to empty it."""
+    _clear[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called by a worker's task: workers are used again by other operators, whose caches go when the owner changes."""
+    if _owner != [name]:
+        for other, clear in _clear.items():
+            if other != name:
+                clear()
+        _owner[:] = [name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import claim, register, stored
 
 SIZE = 128
 _rng = np.random.default_rng(20)
@@ -51,6 +51,7 @@ class Hashes(dict):
 
 
 _hashes = Hashes()
+register("dedup", _hashes.clear)
 
 
 def shingles(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -80,6 +81,7 @@ def signed(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     """id, n (set size), fp (fingerprint) and sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("dedup")
         for batch in batches:
             n, fp, sig = [], [], []
             for t in batch.column(1).to_pylist():
@@ -148,6 +150,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, *, id_col: str, text: str, k: i
     rows = docs.select(F.col(id_col).cast("long").alias("w"), F.col(text).cast("binary").alias("text")).join(wanted, "w")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("dedup")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "s"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import claim, register, schema_with
 
 TOP, BITS, SLICE = 300, 12, 1 << 20
 OTHER = (1 << BITS) - 1
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", learn: Colum
 
 
 _tables: dict[str, np.ndarray] = {}
+register("langid", _tables.clear)
 
 
 def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", keep: li
     out = schema_with(docs, keep, [("lang_pred", "string"), ("score", "double")])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         model = shared.value
         if model.alphabet not in _tables:
             _tables.clear()

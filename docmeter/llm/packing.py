@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import stored
+from .common import claim, register, schema_with, stored
 
 _units: dict[str, bpe.Units] = {}
+register("packing", _units.clear)
 
 
 def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
@@ -161,6 +162,7 @@ def cut(docs: DataFrame, *, id_col: str, text: str, vocabulary: str, capacity: i
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         if vocabulary not in _units:
             _units[vocabulary] = bpe.word_units(bpe.load(vocabulary), cached)
         units = _units[vocabulary]
@@ -216,8 +218,6 @@ def pack(pieces: DataFrame, *, length: str = "length", order: list[str], capacit
                 off[at] = p["offset"][k] + d % p["per"][k] * one
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    from .common import schema_with
-
     return rows.mapInArrow(run, schema_with(rows, names, [("sequence_id", "long"), ("offset", "long")]))
 
 

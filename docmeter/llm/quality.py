@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, stored
+from .common import claim, register, schema_with, stored
 
 SYMBOLS = b"#*$%&|<>"
 NO_POINT = bytes(range(0x80, 0xC0))
@@ -53,6 +53,7 @@ class Hashes(dict):
 
 
 _hashes = Hashes()
+register("quality", _hashes.clear)
 #: Odd multipliers, from a fixed seed.
 MIX = (np.random.default_rng(5).integers(0, 1 << 63, WINDOW, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -99,6 +100,7 @@ def measured(docs: DataFrame, *, text: str = "text", keep: list[str] | None = No
     out = schema_with(docs, keep, [(m, "long") for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             rows = [measure(t) for t in batch.column(len(keep)).to_pylist()]
             cols = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))

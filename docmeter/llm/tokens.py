@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_PARTS, ODD_SPACE, UNIT_CHARS, UNITS, Units, load
+from .common import claim, register
 
 END = "<|endoftext|>"
 
 _tables: dict[tuple, Units] = {}
+register("tokens", _tables.clear)
 
 
 def lengths(tokenizer, frequent: dict[str, int], most: int) -> Units:
@@ -79,6 +81,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     key = (vocabulary, spark.sparkContext.applicationId, shared._jbroadcast.id())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         if key not in _tables:
             _tables.clear()
             _tables[key] = lengths(load(vocabulary), unpack(shared.value), cached)

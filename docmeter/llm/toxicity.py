@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import claim, register, schema_with
 
 PLACES = 1 << 20
 WORDS = re.compile(r"\w+")
@@ -75,11 +75,13 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None =
     batch = min(batch, max(16, len(docs) // 40))
     epochs = max(epochs, -(-STEPS * batch // len(docs)))
     min_docs = max(2, min(8, len(docs) // 1000)) if min_docs is None else min_docs
-    seen = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), minlength=PLACES)
+    seen = np.zeros(PLACES, np.int64)
+    for d in docs:  # each document holds a term once
+        seen[d] += 1
     terms = np.flatnonzero(seen >= min_docs)
-    dense = np.full(PLACES, -1, np.int64)
+    dense = np.full(PLACES, -1, np.int32)
     dense[terms] = np.arange(len(terms))
-    docs = [x[x >= 0] for x in (dense[np.asarray(d, np.int64)] for d in docs)]
+    docs = [x[x >= 0] for x in (dense[np.asarray(d)] for d in docs)]
     rng = np.random.default_rng(seed)
     share = labels.mean()
     b, w, v = float(np.log(share / (1 - share))) if share < 1 else 5.0, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank))
@@ -148,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
 
 
 _worker: dict[int, tuple] = {}
+register("toxicity", _worker.clear)
 
 
 def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -158,6 +161,7 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: list[s
     mark = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         if mark not in _worker:
             m = shared.value
             _worker.clear()
@@ -178,8 +182,10 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: list[s
                     found.update(got)
             return sorted(found)
 
-        for batch in batches:
-            scores = m.scores([active(set(WORDS.findall((t or "").lower()))) for t in batch.column(len(keep)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # a row for each term of a document, with its factors
+                batch = whole.slice(at, 256)
+                scores = m.scores([active(set(WORDS.findall((t or "").lower()))) for t in batch.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(run, out)
