@@ -10,11 +10,15 @@
 3. Candidates are confirmed on the full shingle sets, and the links make components: union-find within tasks, then joins
    from root to root until nothing changes, with hot roots broadcast.
 4. Rows with many candidate partners lie in dense regions. They alone go through further forests with other permutations, where only
-   pairs of different components count, until a round finds no link (at most `rounds`).
+   pairs of different components count, until a round finds no link (at most `rounds`). This only joins large groups early.
+5. A row whose window ended inside a prefix of `shallow` bytes, in any tree, has not met all of its region, and one at the borders of tasks
+   has fewer trees. Where the window was full in one tree, or the whole trees miss a partner with a probability above `miss`, the row is open,
+   and open rows meet each other by a prefix filter, which misses none: two sets as similar as asked share one of the first
+   n - ceil(p n) + 1 shingles in any one order of all shingles, here the rarest first, so that a passage that thousands share is no key.
 
-A row has at most 2 * far partners in a tree, so no key is hot and no group is expanded into pairs. What a forest can miss
-is bounded by its trees: a pair at similarity 0.85 shares 4 bytes in a tree with probability 0.52, and misses all 16
-with 8e-6.
+A row has at most 2 * far partners in a tree, so no key of the forest is hot and no group is expanded into pairs. A key of the prefix
+filter with one component is dropped, and one with many rows is dealt over tasks in cells of two blocks of rows. A pair with a row that is
+not open is missed with a probability of at most `miss`: the windows of that row held all rows of its region.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; fewer words than a shingle are one shingle; null
 texts and those without words have an empty set and link with nothing; rows with the same id count as one document; a null id links
@@ -105,7 +109,10 @@ def skew_join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame, *, trees: int, seed: int, near: int, far: int, shallow: int, deep: int, agree: int, percent: int) -> DataFrame:
-    """a, b: neighbours in the sorted orders of a forest. rows: id, n, sig and comp; only pairs of different comp are given."""
+    """a, b: neighbours in the sorted orders of a forest. rows: id, n, sig and comp; only pairs of different comp are given.
+
+    Rows with a null b say of row a that in this tree its window was full, or was cut by a task's border.
+    """
     order = np.random.default_rng(seed)
     orders = [order.permutation(SIZE) for _ in range(trees)]
 
@@ -116,8 +123,21 @@ def candidates(rows: DataFrame, *, trees: int, seed: int, near: int, far: int, s
                 keys = pa.array([r.tobytes() for r in sig[:, p]], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), keys, batch.column(0), batch.column(1), batch.column(3)], ["tree", "key", "id", "n", "comp"])
 
+    def noted(ids: np.ndarray, tree: np.ndarray, key: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        """Of rows lo to hi, those that share a prefix with the row past their window (full), or have none there, at a border of the task (not full)."""
+        width = near + 1
+        i = np.arange(max(0, lo - width), max(0, min(hi, len(ids) - width)))
+        shared = np.zeros(len(ids) + width, np.int8)  # by the later row of two
+        shared[:width] = shared[len(ids) :] = -1
+        shared[i + width] = (tree[i] == tree[i + width]) & (key[i, :shallow] == key[i + width, :shallow]).all(axis=1)
+        one, two = shared[lo:hi], shared[lo + width : hi + width]
+        full = (one == 1) | (two == 1)
+        at = np.flatnonzero(full | (one == -1) | (two == -1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo + at]), pa.nulls(len(at), pa.int64()), pa.array(tree[lo + at].astype(np.int32)), pa.array(full[at])], ["a", "b", "tree", "full"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, start = None, 0
         for batch in batches:
             tree, ids, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
             key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIZE)
@@ -134,13 +154,106 @@ def candidates(rows: DataFrame, *, trees: int, seed: int, near: int, far: int, s
                 i = i[np.count_nonzero(key[i] == key[i + off], axis=1) >= agree]
                 a.append(np.minimum(ids[i], ids[i + off]))
                 b.append(np.maximum(ids[i], ids[i + off]))
-            if a and sum(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-            held = tuple(x[-far:] for x in (tree, ids, n, comp, key))
+            if a and (m := sum(map(len, a))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_())], ["a", "b", "tree", "full"])
+            # Rows with a whole window behind them; the others wait for the next batch.
+            ready = max(start, len(ids) - near - 1)
+            yield from noted(ids, tree, key, start, ready)
+            held = tuple(x[-max(far, 2 * (near + 1)) :] for x in (tree, ids, n, comp, key))
+            start = ready - (len(ids) - len(held[1]))
+        if held is not None:
+            yield from noted(held[1], held[0], held[4], start, len(held[1]))
 
     grown = rows.select("id", "n", "sig", "comp").mapInArrow(grow, "tree int, key binary, id long, n long, comp long")
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return grown.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(meet, "a long, b long").distinct()
+    return grown.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(meet, "a long, b long, tree int, full boolean").distinct()
+
+
+def open_rows(rows: DataFrame, notes: DataFrame, *, trees: int, shallow: int, percent: int, miss: float) -> DataFrame:
+    """The rows with a full window, or so few whole trees that they miss a partner at the asked similarity with a probability above miss."""
+    if percent >= 100:  # only equal sets are asked for, and they are one class
+        return rows.limit(0)
+    least = int(np.ceil(np.log(miss) / np.log1p(-((percent / 100) ** shallow))))
+    if trees < least:
+        return rows
+    ids = notes.groupBy(F.col("a").alias("id")).agg(F.max("full").alias("full"), F.count(F.lit(1)).alias("cut")).where(F.col("full") | (F.col("cut") > trees - least)).select("id")
+    return rows.join(ids, "id", "left_semi")
+
+
+def prefix_candidates(docs: DataFrame, rows: DataFrame, *, id_col: str, text: str, k: int, agree: int, percent: int, common: int = 32, most_common: int = 500_000, cell: int = 1024) -> DataFrame:
+    """a, b: all pairs of rows (id, n, sig, comp) of different comp that can be as similar as asked and agree in `agree` bytes.
+
+    The order of shingles, by number of rows for the `most_common` ones after all others, decides the cost only, never the result.
+    """
+    spark = docs.sparkSession
+    ids = rows.select(F.col("id").alias("w"), "comp")
+    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    texts = docs.select(F.col(id_col).cast("long").alias("w"), F.col(text).cast("binary").alias("text")).join(ids, "w").select("w", "comp", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("dedup")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                key, n = np.unique(np.concatenate([shingles(t, k) for t in batch.column(2).slice(at, 256).to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    often = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= common).orderBy(F.desc("n"), "key").limit(most_common).toArrow()
+    key = often.column("key").to_numpy().view(np.uint64)
+    by_key = np.argsort(key)
+    shared = spark.sparkContext.broadcast((np.append(key[by_key], np.uint64(0)), np.append(often.column("n").to_numpy()[by_key], 0)))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("dedup")
+        known, n_rows = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = []
+                for t in part.column(2).to_pylist():
+                    s = shingles(t, k)
+                    place = np.searchsorted(known[:-1], s)
+                    rank = np.where(known[place] == s, n_rows[place], 0)
+                    keys.append(s[np.lexsort((s, rank))][: len(s) + percent * -len(s) // 100 + 1] if len(s) else s)
+                sizes = list(map(len, keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes)) for i in (0, 1))], ["key", "id", "comp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarray, one: bool, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = [], []
+            for i in range(len(ids) - 1):
+                j = np.arange(i + 1, len(ids))
+                j = j[(comp[j] != comp[i]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))]
+                if not one:
+                    j = j[own[j] != own[i]]
+                j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= agree]
+                a.append(np.minimum(ids[i], ids[j]))
+                b.append(np.maximum(ids[i], ids[j]))
+            if a and sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, SIZE))
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            key, lo, hi, own, ids, n, comp, sig = cols
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False):
+                yield from pairs(ids[x:y], n[x:y], comp[x:y], own[x:y], lo[x] == hi[x], sig[x:y])
+            held = [x[cut[-1] if len(cut) else 0 :] for x in cols]
+        if held is not None:
+            key, lo, hi, own, ids, n, comp, sig = held
+            yield from pairs(ids, n, comp, own, lo[0] == hi[0], sig)
+
+    keys = stored(texts.mapInArrow(firsts, "key long, id long, comp long"))
+    met = stored(keys.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most").select("key", F.ceil(F.col("m") / cell).cast("int").alias("blocks")))
+    keys = keys.select("key", "id").join(F.broadcast(met) if met.count() <= 1_000_000 else met, "key")
+    keys = keys.join(rows.select("id", "n", "comp", "sig"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "comp", "sig")
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(meet, "a long, b long").distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, *, id_col: str, text: str, k: int, percent: int) -> DataFrame:
@@ -207,7 +320,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = jumped.select("id", F.coalesce("next", "comp").alias("comp")).union(steps.select(F.col("comp").alias("id"), F.col("next").alias("comp"))).where("id != comp").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: int = 16, near: int = 4, far: int = 8, shallow: int = 3, deep: int = 8, rounds: int = 4, more_trees: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: int = 16, near: int = 4, far: int = 8, shallow: int = 3, deep: int = 8, rounds: int = 4, more_trees: int = 20, miss: float = 1e-5) -> DataFrame:
     """id_col, n_shingles, component_id and kept of every row."""
     p = percent / 100
     agree = int(SIZE * p - 4.7 * (SIZE * p * (1 - p)) ** 0.5) if p < 1 else SIZE
@@ -219,18 +332,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     firsts = rows.where("n > 0").join(twice.select(F.col("rep").alias("id"), "fp"), ["id", "fp"], "left_semi").select("id", "n", "sig")
     reps = stored(reps.unionByName(firsts).dropDuplicates(["id"]).withColumn("comp", F.col("id")))
     options = {"near": near, "far": far, "shallow": shallow, "deep": deep, "agree": agree, "percent": percent}
-    pairs = stored(candidates(reps, trees=trees, seed=1, **options))
+    forest = stored(candidates(reps, trees=trees, seed=1, **options))
+    pairs = forest.where("b is not null").select("a", "b")
     labels = components(confirmed(docs, pairs, id_col=id_col, text=text, k=k, percent=percent))
     partners = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").count().where(F.col("count") >= 2 * near).select("id")
     dense = stored(reps.drop("comp").join(partners, "id", "left_semi"))
     for r in range(rounds if not dense.isEmpty() else 0):
         own = dense.join(labels.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = stored(candidates(own, trees=more_trees, seed=100 + r, **options))
+        more = stored(candidates(own, trees=more_trees, seed=100 + r, **options).where("b is not null").select("a", "b"))
         found = stored(confirmed(docs, more, id_col=id_col, text=text, k=k, percent=percent))
         if found.isEmpty():
             break
         # The old components are stars, so they join the new links as links of bounded number.
         labels = components(found.union(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    # What the windows did not hold.
+    left = open_rows(reps.drop("comp"), forest.where("b is null"), trees=trees, shallow=shallow, percent=percent, miss=miss)
+    left = stored(left.join(labels.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    if not left.isEmpty():
+        more = stored(prefix_candidates(docs, left, id_col=id_col, text=text, k=k, agree=agree, percent=percent))
+        found = stored(confirmed(docs, more, id_col=id_col, text=text, k=k, percent=percent))
+        if not found.isEmpty():
+            labels = components(found.union(labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
     # From the row to its class, from the class to its component. Only classes of many rows have a hot key.
     out = skew_join(ranked, labels.select(F.col("id").alias("rep"), "comp"), "rep")
     out = out.withColumn("component_id", F.coalesce("comp", "rep"))

@@ -91,6 +91,37 @@ def test_dense_group_is_one_component(spark):
     assert {c for (c,) in pairs(got, "component_id")} == {0}
 
 
+def shared_passage(n=3000, pairs=200):
+    """n documents that share a passage (similarity 0.6 to each other), and partners at 0.85 or more of the first ones."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(94)]
+    rows, partner = [], {}
+    for i in range(n):
+        own = [f"d{i}x{j}" for j in range(30)]
+        rows.append((i, " ".join(passage + own)))
+        if i < pairs:
+            own[rng.randrange(10, 20)] = own[26] = "changed"
+            partner[n + i] = i
+            rows.append((n + i, " ".join(passage + own)))
+    rng.shuffle(rows)
+    return rows, partner
+
+
+def test_partners_among_thousands_with_one_passage(spark):
+    rows, partner = shared_passage()
+    got = dict(pairs(dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id"))
+    assert got == {d: partner.get(d, d) for d, _ in rows}
+
+
+def test_prefix_candidates_leave_out_no_pair(spark):
+    rows, partner = shared_passage(300, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = dedup.signed(docs, "doc_id", "text", 5).select("id", "n", "sig", F.col("id").alias("comp"))
+    for cell in (1024, 7):  # one cell for each key, and many
+        got = dedup.prefix_candidates(docs, reps, id_col="doc_id", text="text", k=5, agree=0, percent=85, common=3, cell=cell)
+        assert {(b, a) for a, b in pairs(got, "a", "b")} >= set(partner.items())
+
+
 def test_packing(spark, docs):
     tok = bpe.load("word_bpe_49k.json")
     want = Counter()
