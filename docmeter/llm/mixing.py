@@ -7,7 +7,8 @@ Each source's documents are shuffled by a hash of their id and laid end to end,
 into blocks of `block` words. Slot i of the schedule has the point frac((i + 1) * golden ratio); the interval of the cumulative
 targets in which it falls is the slot's source, and the slot's rank among its source's slots is the block that it takes.
 The points are spread so evenly that any stretch of the schedule holds each source in proportion. Slots whose rank is past the
-source's target are passed over, and the last block is cut at the target, so each source gives its target to the word.
+source's target are passed over, and the last block is cut at the target; ranks that the points did not reach have slots after
+all others, so each source gives its target to the word.
 
 The places of documents in their streams are prefix sums in two levels: a source's documents fall into many hash ranges, whose
 sizes are summed first, so a source with a third of all rows is spread over all tasks.
@@ -74,7 +75,8 @@ def schedule(spark, rows: list[dict], block: int) -> DataFrame:
     for r in rows:
         at += r["target"]
         cumulative.append(at / total if total else 1.0)
-    # Some slots more than words, for the deviation of the points: it grows with the logarithm of their number.
+    # Some slots more than words, for the deviation of the points: it grows with the logarithm of their number. A source
+    # with few blocks may still lack its last ones: those follow at the end.
     n_slots = int(total / block * 1.01) + 64 * (len(rows) + 1) if total else 0
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1).alias("point"))
     tops = F.array(*(F.lit(c) for c in cumulative))
@@ -88,7 +90,18 @@ def schedule(spark, rows: list[dict], block: int) -> DataFrame:
     counts = counts.select(F.col("sid").alias("c_sid"), F.col("span").alias("c_span"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "span").orderBy("slot")
     slots = slots.withColumn("r", F.row_number().over(inside) - 1)
-    return slots.join(counts, (F.col("sid") == F.col("c_sid")) & (F.col("span") == F.col("c_span"))).select("slot", "sid", (F.col("r") + F.col("base")).alias("rank"))
+    given = {r["sid"]: r["n"] for r in slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    more, at = [], n_slots
+    for r in rows:
+        have, asked = given.get(r["sid"], 0), -(-int(r["target"] + 0.5) // block)
+        if have < asked:
+            more.append((at, r["sid"], have, asked))
+            at += asked - have
+    out = slots.join(counts, (F.col("sid") == F.col("c_sid")) & (F.col("span") == F.col("c_span"))).select("slot", "sid", (F.col("r") + F.col("base")).alias("rank"))
+    if not more:
+        return out
+    late = spark.createDataFrame(more, "slot long, sid int, have long, asked long").withColumn("rank", F.explode(F.sequence("have", F.col("asked") - 1)))
+    return out.unionByName(late.select((F.col("slot") + F.col("rank") - F.col("have")).alias("slot"), "sid", "rank"))
 
 
 def block_words(rows: list[dict], largest: int = 4096, per_source: int = 500) -> int:

@@ -229,6 +229,18 @@ def test_mixing(spark, docs):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def test_schedule_reaches_every_rank(spark):
+    targets = [1_000_000.0, *(10.0 + 7 * i for i in range(200))]
+    got = pairs(mixing.schedule(spark, [{"sid": i, "target": t, "n": 1} for i, t in enumerate(targets)], 10), "slot", "sid", "rank")
+    assert len({s for s, _, _ in got}) == len(got)
+    ranks = {}
+    for _, sid, rank in got:
+        ranks.setdefault(sid, []).append(rank)
+    for sid, t in enumerate(targets):
+        own = sorted(ranks.get(sid, []))
+        assert own == list(range(len(own))) and len(own) >= -(-int(t + 0.5) // 10), sid
+
+
 def test_targets_stop_at_three_times_the_size():
     t = mixing.targets([1, 100, 100, 0], [5, 2, 1, 5])
     assert t[0] == 3 and t[3] == 0 and sum(t) == pytest.approx(201) and t[1] == pytest.approx(2 * t[2])
