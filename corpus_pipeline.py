@@ -45,10 +45,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, rounded to whole copies: 0 to 3."""
-    took = mixing.taken(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"))
+    """Each document as often as the mix takes it, rounded to whole copies: 0 to 3. Documents without an id are known by a row key."""
+    docs = docs.select(COLUMNS)
+    # The key is given once and stored, with the texts of these rows only.
+    nameless = stored(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()))
+    keyed = docs.where("doc_id is not null").withColumn("row", F.lit(None).cast("long")).unionByName(nameless)
+    took = mixing.taken(keyed.withColumn("name", F.struct("doc_id", "row")), id_col="name").where("size > 0")
+    took = took.groupBy(F.col("name.doc_id").alias("doc_id"), F.col("name.row").alias("row")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies"))
     took = stored(took.where("copies > 0"))
-    rows = docs.select(COLUMNS).join(by_size(took), "doc_id")
+    rows = docs.join(by_size(took.where("doc_id is not null").select("doc_id", "copies")), "doc_id").select(*COLUMNS, "copies")
+    rows = rows.unionByName(nameless.join(by_size(took.where("doc_id is null").select("row", "copies")), "row").select(*COLUMNS, "copies"))
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(COLUMNS)
 
 

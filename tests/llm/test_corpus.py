@@ -384,6 +384,23 @@ def test_top_k_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_pipeline_keeps_rows_without_id(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(P.COLUMNS)
+    texts = [r["text"] for r in P.toxic(spark, docs.where("lang = 'en' and n_chars between 500 and 5000"), SF).orderBy("doc_id").limit(2).collect()]
+    new = [(None, t, "en", f"only{i}", len(t)) for i, t in enumerate(texts)]
+    seen = docs.where(~F.col("text").isin(texts)).unionByName(spark.createDataFrame(new, docs.schema))
+    for name, stage in P.STAGES[:-1]:
+        path = scratch(spark, name)
+        stage(spark, seen, SF).write.parquet(path)
+        seen = spark.read.parquet(path)
+        own = Counter(r["text"] for r in seen.where("doc_id is null").collect())
+        assert set(own) == set(texts), name
+    assert max(own.values()) <= 3
+    assert P.STAGES[-1][1](spark, seen, SF).where("doc_id is null").count() >= sum(own.values())
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline as P
 
