@@ -124,7 +124,7 @@ def normalise_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full normalisers, in Catalyst."""
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(t).alias("plain"), T.normalize_light(t).alias("light"), T.normalize_cell(F.substring(t, 1, 200)).alias("cell"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(t).alias("plain"), T.normalize_light(t).alias("light"), T.normalize_cell(t).alias("cell"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages")

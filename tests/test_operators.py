@@ -107,3 +107,11 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     windows.upsert(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {(r["test_id"], r["value"]) for r in windows.newest(spark, str(tmp_path / "out")).collect()} == {("1", 0.7), ("2", 0.1)}
+
+
+def test_normalise_text_reads_whole_texts(spark, tmp_path):
+    from docmeter.plans import catalog
+
+    catalog.load()
+    spark.createDataFrame([(1, "word " * 100 + "end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["normalise_text"](spark, str(tmp_path)).collect()[0]["cell"].endswith("end")
