@@ -72,13 +72,69 @@ def test_near_duplicates_brute_force(spark, docs):
     assert dedup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("one_task", [2_000_000, 5])
+def test_components_of_a_chain(spark, one_task):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102)]
     random.Random(2).shuffle(links)
-    got = dict(pairs(dedup.components(spark.createDataFrame(links, "a long, b long")), "id", "comp"))
+    got = dict(pairs(dedup.components(spark.createDataFrame(links, "a long, b long"), one_task=one_task), "node", "comp"))
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 102: 100}
 
 
+def similar(a, b):
+    return 100 * len(a & b) >= 85 * len(a | b)
+
+
+def labels_of(sets):
+    """The smallest key of each key's component, by comparing all pairs."""
+    u = dedup.Union()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and similar(sets[a], sets[b]):
+            u.join(a, b)
+    return {k: u.root(k) for k in sets}
+
+
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_family_of_uneven_copies(spark):
+    """Copies of one text with more and more changes: most are similar, many but not enough, and each group has its own partners."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for j in rng.sample(range(140), rng.randint(0, 12)):
+            w[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(w)))
+    got = dict(pairs(dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id"))
+    assert got == labels_of({i: shingle_set(t) for i, t in rows})
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(40)]
+    flat, row = np.concatenate(sets), np.repeat(np.arange(40), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    for often in (2, 16, 100):
+        got = dedup.shared_counts(flat[order], row[order], 40, often=often, width=7)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
+def test_several_texts_under_one_id_and_long_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    one, two, long = text(80), text(80), text(500_000)
+    rows = [(5, one), (5, two), (3, one), (4, two + " end"), (8, long), (9, long + " tail"), (None, one), (7, None)]
+    want = {(5, 3), (5, 4), (3, 3), (4, 4), (8, 8), (9, 8), (None, None), (7, 7)}
+    for _ in range(2):
+        random.Random(_).shuffle(rows)
+        got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == want and len(got) == len(rows)
+        assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+
+
 def test_dense_group_is_one_component(spark):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
@@ -115,13 +171,30 @@ def test_partners_among_thousands_with_one_passage(spark):
 
 def test_prefix_candidates_leave_out_no_pair(spark):
     rows, partner = shared_passage(300, 40)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    reps = dedup.signed(docs, "doc_id", "text", 5).select("id", "n", "sig", F.col("id").alias("comp"))
+    made = [(i, len(x), dedup.signature(x), i, x.tobytes()) for i, x in ((i, dedup.shingles(t.encode())) for i, t in rows)]
+    own = spark.createDataFrame(made, "node long, n long, sig binary, group long, s binary")
     for cell in (1024, 7):  # one cell for each key, and many
-        got = dedup.prefix_candidates(docs, reps, id_col="doc_id", text="text", k=5, agree=0, percent=85, common=3, cell=cell)
+        got = dedup.prefix_candidates(own, agree=0, percent=85, common=3, cell=cell)
         assert {(b, a) for a, b in pairs(got, "a", "b")} >= set(partner.items())
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_cluster_links_join_what_all_pairs_join(spark, block):
+    rng = random.Random(6)
+    base = [list(range(100 * c, 100 * c + 90)) for c in range(3)]
+    sets = {}
+    for i in range(150):
+        s = {x if rng.random() > 0.03 else rng.randrange(10_000, 20_000) for x in base[i % 3]}
+        sets[i] = s
+    rows = [(i, i % 3, i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    got = dedup.cluster_links(spark.createDataFrame(rows, "node long, cluster long, comp long, s binary"), percent=85, block=block)
+    u = dedup.Union()
+    for a, b in pairs(got, "a", "b"):
+        assert similar(sets[a], sets[b])
+        u.join(a, b)
+    assert {i: u.root(i) for i in sets} == labels_of(sets)
+
+
 def test_packing(spark, docs):
     tok = bpe.load("word_bpe_49k.json")
     want = Counter()
