@@ -19,46 +19,56 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, register, schema_with
 
-TOP, BITS, SLICE = 300, 12, 1 << 20
-OTHER = (1 << BITS) - 1
+TOP, BITS, SLICE = 300, 18, 1 << 20
+#: A gram is 2 bits for its length over up to 3 symbols; the document's number stands above, so DOCS are counted at a time.
+GRAM = 3 * BITS + 2
+DOCS = 1 << (63 - GRAM)
 UND = "und"
 
 
-def symbol_table(alphabet: str) -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter, the place in the alphabet from 1, OTHER for other letters."""
+def symbol_table() -> np.ndarray:
+    """Code point -> symbol: 0 for what is no letter, else the number of its lower-case letter among all of them, from 1."""
+    letters = {cp: chr(cp).lower()[0] for cp in range(0x110000) if chr(cp).isalpha()}
+    number = {c: i + 1 for i, c in enumerate(sorted(set(letters.values())))}
+    assert len(number) < 1 << BITS
     out = np.zeros(0x110000, np.int64)
-    place = {c: i + 1 for i, c in enumerate(alphabet[: OTHER - 1])}
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()
-            out[cp] = place.get(low[0], OTHER)
+    out[list(letters)] = [number[c] for c in letters.values()]
     return out
 
 
+_tables: list[np.ndarray] = []
+register("langid", _tables.clear)
+
+
+def symbols() -> np.ndarray:
+    if not _tables:
+        _tables.append(symbol_table())
+    return _tables[0]
+
+
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of texts, each after a separator, and of each the text's number."""
     cps = np.frombuffer("".join("\0" + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
     return cps, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
 
 
-def grams(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """doc << 38 | n << 36 | symbols, for the 1- to 3-grams of each text, unsorted."""
-    keep = symbols > 0
-    keep[1:] |= symbols[:-1] > 0
+def grams(marks: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """doc << GRAM | n << 3 * BITS | symbols, for the 1- to 3-grams of each text, unsorted."""
+    keep = marks > 0
+    keep[1:] |= marks[:-1] > 0
     keep[:1] = True
-    s, d = np.append(symbols[keep], 0), np.append(doc[keep], doc[-1] if len(doc) else 0)
+    s, d = np.append(marks[keep], 0), np.append(doc[keep], doc[-1] if len(doc) else 0)
     a, b, mid = s[:-1], s[1:], s > 0
-    one = d[mid] << 38 | 1 << 36 | s[mid]
+    one = d[mid] << GRAM | 1 << 3 * BITS | s[mid]
     pair = (a > 0) | (b > 0)
-    two = np.where(a > 0, d[:-1], d[1:])[pair] << 38 | 2 << 36 | (a << BITS | b)[pair]
+    two = np.where(a > 0, d[:-1], d[1:])[pair] << GRAM | 2 << 3 * BITS | (a << BITS | b)[pair]
     m = mid[1:-1]
-    three = d[1:-1][m] << 38 | 3 << 36 | (s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:])[m]
+    three = d[1:-1][m] << GRAM | 3 << 3 * BITS | (s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:])[m]
     return np.concatenate([one, two, three])
 
 
@@ -75,11 +85,13 @@ def counted(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def slices(text: str) -> list[str]:
-    """A text in parts of about SLICE characters, cut after something that is no letter where there is one."""
+    """A text in parts of about SLICE characters, cut after something that is no letter: a longer run of letters stays whole."""
     out, at = [], 0
     while len(text) - at > SLICE:
         end = at + SLICE
-        cut = next((i for i in range(end, max(at, end - 4096), -1) if not text[i - 1].isalpha()), end)
+        cut = next((i for i in range(end, at, -1) if not text[i - 1].isalpha()), None)
+        if cut is None:
+            cut = next((i + 1 for i in range(end, len(text)) if not text[i].isalpha()), len(text))
         out.append(text[at:cut])
         at = cut
     return [*out, text[at:]]
@@ -112,26 +124,24 @@ def counts_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Profiles:
-    alphabet: str = ""
     langs: list[str] = field(default_factory=list)
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     ranks: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
     top: int = TOP
 
     def score(self, texts: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+        """Names and scores of at most DOCS texts."""
         n_docs = len(texts)
         lang, score = np.full(n_docs, len(self.langs)), np.zeros(n_docs)
         if self.langs and n_docs:
             keys, n = counts_of(texts, table)
-            place = np.arange(len(keys))
-            order = np.sort((keys >> 38) << 50 | ((1 << 22) - 1 - np.minimum(n, (1 << 22) - 1)) << 28 | place) & ((1 << 28) - 1)
-            keys = keys[order]
-            doc = keys >> 38
+            doc = keys >> GRAM
+            keys = keys[np.lexsort((keys, -n, doc))]  # keys were in order of doc, so doc stays as it is
             if len(keys):
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                rank = place - np.repeat(first, np.diff(np.append(first, len(doc))))
+                rank = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(doc))))
                 keep = rank < self.top
-                code, doc, rank = keys[keep] & ((1 << 38) - 1), doc[keep], rank[keep]
+                code, doc, rank = keys[keep] & ((1 << GRAM) - 1), doc[keep], rank[keep]
                 first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 at = np.searchsorted(self.codes, code)
                 at = np.where((at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == code), at, len(self.codes))
@@ -154,38 +164,25 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", learn: Colum
     rows = rows.sampleBy("lang", {k: min(1.0, fit_rows / v) for k, v in n.items()}, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Grams as strings, with a space as boundary, for each task: alphabets differ from task to task."""
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            names = sorted(set(langs))
-            alphabet = "".join(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}))
-            keys, times = counts_of(["\0".join(t for t, x in zip(texts, langs, strict=True) if x == name) for name in names], symbol_table(alphabet))
-            at = lambda s: " " if s == 0 else alphabet[s - 1] if s <= len(alphabet) else "\0"
-            gram = ["".join(at(k >> BITS * j & OTHER) for j in range((k >> 36 & 3) - 1, -1, -1)) for k in keys.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([names[k >> 38] for k in keys.tolist()]), pa.array(gram), pa.array(times, pa.int64())], ["lang", "gram", "n"])
-
-    counts = rows.mapInArrow(count, "lang string, gram string, n long").where(~F.col("gram").contains("\0")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    tops = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "gram"))), 1, top).alias("t"))
-    profiles = {r["lang"]: [x["gram"] for x in r["t"]] for r in tops.collect()}
-    alphabet = "".join(sorted({c for p in profiles.values() for g in p for c in g if c != " "}))[: OTHER - 1]
-    place = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
-
-    def code(gram: str) -> int:
-        out = len(gram) << 36
-        for j, c in enumerate(reversed(gram)):
-            out |= place.get(c, OTHER) << BITS * j
-        return out
-
+        claim("langid")
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS):
+                texts, langs = (whole.column(i).slice(at, DOCS).to_pylist() for i in (0, 1))
+                keys, times = counts_of(texts, symbols())
+                name = np.array(langs, object)[keys >> GRAM]
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(keys & ((1 << GRAM) - 1)), pa.array(times, pa.int64())], ["lang", "gram", "n"])
+
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < top)
+    profiles: dict[str, dict[int, int]] = {}
+    for r in ranked.collect():  # top rows for each language
+        profiles.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
     langs = sorted(profiles)
-    codes = np.array(sorted({code(g) for p in profiles.values() for g in p}), np.int64)
+    codes = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
     ranks = np.full((len(langs), len(codes) + 1), top, np.int64)
     for i, name in enumerate(langs):
-        ranks[i, np.searchsorted(codes, [code(g) for g in profiles[name]])] = np.arange(len(profiles[name]))
-    return Profiles(alphabet, langs, codes, ranks, top)
-
-
-_tables: dict[str, np.ndarray] = {}
-register("langid", _tables.clear)
+        ranks[i, np.searchsorted(codes, list(profiles[name]))] = list(profiles[name].values())
+    return Profiles(langs, codes, ranks, top)
 
 
 def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -197,14 +194,10 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", keep: li
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         model = shared.value
-        if model.alphabet not in _tables:
-            _tables.clear()
-            _tables[model.alphabet] = symbol_table(model.alphabet)
-        table = _tables[model.alphabet]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                names, score = model.score([t or "" for t in batch.column(len(keep)).to_pylist()], table)
+            for at in range(0, whole.num_rows, DOCS):
+                batch = whole.slice(at, DOCS)
+                names, score = model.score([t or "" for t in batch.column(len(keep)).to_pylist()], symbols())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(label, out)
