@@ -2,14 +2,18 @@
 
 Only the histogram of lengths, at most `capacity` rows, comes to the driver. There:
 
-1. Lengths from `sand` tokens up are grouped in classes of `grain` tokens. A configuration is a multiset of classes that
-   fits a sequence; the program asks for the fewest configurations that cover all items. It is solved by multiplicative
-   weights: each class has a price, which starts as its size and falls as the class gets covered; a knapsack dynamic
-   program finds the dearest configuration at these prices; it is taken for a share of what its scarcest class allows.
-2. Rounding: how often each configuration was taken is a whole number by then, and never more than the items allow.
-   The slots are filled with the longest items of their classes first, so groups of equal sequences stay few.
+1. Lengths from `sand` tokens up are grouped in at most `classes` classes of about equal numbers of items, each as large as its longest item. A
+   configuration is a multiset of classes that fits a sequence. The linear program asks for amounts x of configurations, as few as possible, that
+   cover all items of each class. It is solved by multiplicative weights: a class has the weight exp(-how often it is covered); a knapsack
+   dynamic program finds the configuration of the largest weight for its items; some of it is added, so little that no class gets more than
+   `eps` further; when all are covered ln(classes) / eps times, x is divided by the least cover. That is a fractional solution; the
+   weights of each step give a lower bound by duality. Both are returned by `program`.
+2. Rounding: amounts become whole numbers by systematic sampling of their running sum, so that any stretch of configurations keeps its total.
+   The slots are filled with the longest items of their classes first, so groups of equal sequences stay few; a slot of a class that has run out
+   stays empty.
 3. What remains, the sand above all, goes by best fit, longest first, into the space left in these groups and then into new
-   sequences; all in terms of counts, so the work depends on the number of lengths, not of documents.
+   sequences; all in terms of counts, so the work depends on the number of lengths, not of documents. If best fit from
+   the start needs fewer sequences than the rounded program, as it can where items are few, its plan is taken.
 
 The plan, ranks of each length -> sequence and offset, has a row for each group and length and is shipped to the executors,
 where pieces, numbered within their length in two levels (no length is numbered by a single task), look up their places.
@@ -37,108 +41,135 @@ register("packing", _units.clear)
 
 
 def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of largest price: place in sizes -> how many. Unbounded knapsack by dynamic programming; sizes rise."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        v = best[c - sizes[: fit[c]]] + prices[: fit[c]]
-        k = int(v.argmax())
-        if v[k] > best[c - 1]:
-            best[c], pick[c] = v[k], k
-        else:
-            best[c] = best[c - 1]
+    """The configuration of largest price: place in sizes -> how many. Unbounded knapsack by dynamic programming."""
+    best = np.zeros(capacity + 1)
+    use = [(k, int(s), float(p)) for k, (s, p) in enumerate(zip(sizes, prices, strict=True)) if p > 0 and s <= capacity]
+    layers = []  # the table after each item, to read the choice back
+    for _, s, p in use:
+        for at in range(s, capacity + 1, s):  # a stretch of s places only looks at the one before it
+            np.maximum(best[at : at + s], best[at - s : at][: len(best) - at] + p, out=best[at : at + s])
+        layers.append(best.copy())
     out: dict[int, int] = defaultdict(int)
     c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(pick[c])] += 1
-            c -= int(sizes[pick[c]])
+    for i in range(len(use) - 1, -1, -1):
+        k, s, p = use[i]
+        before = layers[i - 1] if i else np.zeros(capacity + 1)
+        while c >= s and layers[i][c] > before[c]:
+            out[k] += 1
+            c -= s
     return dict(out)
 
 
-def configurations(counts: dict[int, int], capacity: int, *, rounds: int = 500, share: float = 0.2, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
-    """Configurations (size -> how many) and how often to take each, for items of counts[size]; never more than there are."""
-    sizes = np.array(sorted(s for s, n in counts.items() if n > 0), np.int64)
-    if not len(sizes):
-        return []
-    n = np.array([counts[int(s)] for s in sizes], np.int64)
-    left, prices, taken = n.copy(), sizes / capacity, defaultdict(int)
-    for _ in range(rounds):
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            break
-        found = {int(live[k]): a for k, a in dearest(sizes[live], prices[live], capacity).items()}
-        most = min(int(left[k]) // a for k, a in found.items())
-        if most == 0:  # it wants more of a class than there is: make that class dear no longer
-            for k, a in found.items():
-                if left[k] < a:
-                    prices[k] *= np.exp(-eta)
-            continue
-        times = max(1, int(share * most))
-        taken[tuple(sorted((int(sizes[k]), a) for k, a in found.items()))] += times
-        for k, a in found.items():
-            left[k] -= a * times
-            prices[k] *= np.exp(-eta * a * times / n[k])
-    return [(dict(c), t) for c, t in taken.items()]
-
-
-def plan(hist: dict[int, int], capacity: int, *, grain: int = 8, sand: int = 192, rounds: int = 500) -> list[tuple[list[tuple[int, int]], int]]:
-    """Groups of equal sequences: their items [(length, how many)], and how many sequences. All items of hist are placed."""
-    left = {s: n for s, n in hist.items() if n > 0}
-    classes: dict[int, list[int]] = defaultdict(list)
-    for s in sorted(left):
-        if s >= sand:
-            classes[-(-s // grain)].append(s)
-    chosen = configurations({k: sum(left[s] for s in own) for k, own in classes.items()}, capacity // grain, rounds=rounds)
+def program(sizes: list[int], counts: list[int], capacity: int, *, eps: float = 0.3) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations (place in sizes -> how many) with amounts that cover all counts, and a lower bound on any such total."""
+    size, n = np.array(sizes, np.int64), np.array(counts, float)
+    cover, goal, bound, amount = np.zeros(len(n)), np.log(len(n) + 1) / eps, 0.0, defaultdict(float)
+    while len(n) and (live := cover < goal).any():
+        weight = np.where(live, np.exp(-cover), 0.0)
+        found = dearest(size, weight / n, capacity)
+        k, a = np.array(list(found)), np.array(list(found.values()), float)
+        bound = max(bound, weight.sum() / (weight[k] / n[k] * a).sum())
+        step = eps * (n[k] / a).min()
+        amount[tuple(sorted(found.items()))] += step
+        cover[k] += step * a / n[k]
+    least = cover.min(initial=np.inf)
+    return [(dict(c), x / least) for c, x in amount.items()], bound
+
+
+def rounded(amounts: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers whose running sum stays within one half of that of the amounts."""
+    out, total, done = [], 0.0, 0
+    for config, x in sorted(amounts, key=lambda c: sorted(c[0].items(), reverse=True)):
+        total += x
+        m = int(total + 0.5) - done
+        done += m
+        if m:
+            out.append((config, m))
+    return out
+
+
+def grouped(hist: dict[int, int], classes: int) -> list[list[int]]:
+    """Lengths in at most `classes` groups of neighbours with about equal numbers of items."""
+    total, out, seen = sum(hist.values()), [], 0
+    for s in sorted(hist):
+        k = seen * classes // total
+        seen += hist[s]
+        if not out or k != out[-1][0]:
+            out.append((k, []))
+        out[-1][1].append(s)
+    return [own for _, own in out]
+
+
+Groups = list[tuple[list[tuple[int, int]], int]]
+
+
+def plan(hist: dict[int, int], capacity: int, *, sand: int | None = None, classes: int = 40, unit: int = 4, eps: float = 0.3) -> tuple[Groups, dict[str, float]]:
+    """Groups of equal sequences: their items [(length, how many)], and how many sequences; all items of hist are placed.
+
+    With them the numbers of sequences: fractional and bound of the program for lengths from sand (an eighth of the capacity), rounded
+    (the whole plan by it), best_fit (without it) and taken.
+    """
+    hist = {s: n for s, n in hist.items() if n > 0}
+    large = {s: n for s, n in hist.items() if s >= (capacity // 8 if sand is None else sand)}
+    own = grouped(large, classes) if large else []
+    amounts, bound = program([-(-c[-1] // unit) for c in own], [sum(large[s] for s in c) for c in own], capacity // unit, eps=eps)
+    by_program, alone = filled(hist, capacity, own, rounded(amounts)), filled(hist, capacity, [], [])
+    count = lambda groups: sum(m for _, m in groups)
+    best = min((by_program, alone), key=count)
+    return best, {"fractional": sum(x for _, x in amounts), "bound": bound, "rounded": count(by_program), "best_fit": count(alone), "taken": count(best)}
+
+
+def filled(hist: dict[int, int], capacity: int, classes: list[list[int]], chosen: list[tuple[dict[int, int], int]]) -> Groups:
+    """The chosen configurations (place in classes -> how many) with items in their slots, and all other items by best fit."""
+    left = dict(hist)
     open_: dict[int, list[tuple[tuple, int]]] = defaultdict(list)  # space left -> groups (linked items, sequences)
-    for config, times in sorted(chosen, key=lambda x: sorted(x[0].items(), reverse=True)):
+    stock = [list(c) for c in classes]  # lengths that are left, the longest last
+    for config, times in chosen:
         slots = [k for k, a in sorted(config.items(), reverse=True) for _ in range(a)]
         while times:  # a run of sequences with the same lengths in the same slots
             picked, need = [], defaultdict(int)
             for k in slots:
-                s = next(x for x in reversed(classes[k]) if left.get(x, 0) > need.get(x, 0))
-                need[s] += 1
-                picked.append(s)
-            run = min(times, *(left[s] // a for s, a in need.items()))
-            for s, a in need.items():
-                left[s] -= a * run
+                while stock[k] and not left[stock[k][-1]]:
+                    stock[k].pop()
+                s = next((x for x in reversed(stock[k]) if left[x] > need[x]), None)
+                if s is not None:
+                    need[s] += 1
+                    picked.append(s)
+            if not picked:
+                break
+            run = min(times, *(left[s] // need[s] for s in picked))
+            for s in set(picked):
+                left[s] -= need[s] * run
             items: tuple = ()
             for s in picked:
-                items = (s, items)
+                items = (s, 1, items)
             open_[capacity - sum(picked)].append((items, run))
             times -= run
     for s in sorted(left, reverse=True):
         n = left[s]
         space = s
         while n:
-            while space <= capacity and not open_.get(space):
+            while space < capacity and not open_.get(space):
                 space += 1
-            if space > capacity:  # new sequences, each with as many as fit
-                per = capacity // s
-                for a in (per, n % per):
-                    m = n // per if a == per else 1
-                    if a and m and n >= a:
-                        items = ()
-                        for _ in range(a):
-                            items = (s, items)
-                        open_[capacity - a * s].append((items, m))
-                        n -= a * m
-                break
-            items, m = open_[space].pop()
-            take = min(m, n)
-            if take < m:
-                open_[space].append((items, m - take))
-            open_[space - s].append(((s, items), take))
-            n -= take
+            # The tightest sequence stays so until it is full: all of a group's but one get as many as fit.
+            items, m = open_[space].pop() if open_.get(space) else ((), n)
+            per = space // s
+            full = min(m, n // per)
+            if full:
+                open_[space - per * s].append(((s, per, items), full))
+            some = min(n - full * per, per) if m > full else 0
+            if some:
+                open_[space - some * s].append(((s, some, items), 1))
+            if items and m > full + (some > 0):
+                open_[space].append((items, m - full - (some > 0)))
+            n -= full * per + some
     groups = []
     for own in open_.values():
         for items, m in own:
             seen: dict[int, int] = defaultdict(int)
             while items:
-                seen[items[0]] += 1
-                items = items[1]
+                seen[items[0]] += items[1]
+                items = items[2]
             groups.append((sorted(seen.items(), reverse=True), m))
     return groups
 
@@ -189,7 +220,7 @@ def pack(pieces: DataFrame, *, length: str = "length", order: list[str], capacit
     spark = pieces.sparkSession
     hist = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     total = sum(hist.values())
-    shared = spark.sparkContext.broadcast(places(plan(hist, capacity)))
+    shared = spark.sparkContext.broadcast(places(plan(hist, capacity)[0]))
     # Numbers within a length, in two levels: at most capacity + 20 000 parts of a few hundred rows or more.
     most = max(256, total // 20_000)
     parts = spark.createDataFrame([(s, -(-n // most)) for s, n in hist.items()], "p_length long, parts int")
