@@ -1,13 +1,18 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms: lower-cased words (`\\w+`) and the first 4 to 6 letters of longer ones, hashed into
-2^20 places. Score: sigmoid of bias + sum of term weights + GAIN times the mean over pairs of terms of the inner product of their
-factors, so that two terms that are harmless alone can be toxic together, and the pairs of a long document, which grow
-with its square, don't drown the rest. The pair sum takes time linear in the terms. The model is the average over the last third of the steps.
+A document's terms are its lower-cased words (`\\w+`) and the first 3 to 6 letters of longer ones, hashed into 2^20 places, and for each
+place, whether at least 1, 2, 4 or 8 of its distinct words fall there. Score: sigmoid of bias + sum of term weights + sum over all pairs of terms of
+the inner product of their factors, so that two terms that are harmless alone can be toxic together. Only terms that tell something take
+part, a few hundred, so the pairs of a long document don't drown in noise, and the same terms count in fitting and in scoring.
 
-It is fitted by mini-batch AdaGrad on a bounded sample: the `fit_rows` labelled rows that come first by a hash of their id,
-of those that `learn` admits. Terms in fewer than `min_docs` sampled documents (2 to 8, by the sample's size) take no part. L1 shrinkage keeps
-the weights of terms that tell nothing at exactly 0, so a long document gathers no noise. Whole texts are scored.
+Terms are chosen twice: by themselves, where their share of toxic documents differs from that of all by a Chernoff bound of `p_max`, and by
+their pairs, as the largest entries of the leading eigenvectors of sum over documents of (label - mean) x x^T without its diagonal: that is
+the slope of the pair terms where all factors are 0. The eigenvectors are also the factors' starting point, which small random numbers
+are not: at 0 the pair terms have no gradient. Weights and factors are then fitted together by mini-batch AdaGrad with L1 shrinkage, the
+model is the average over the last third of the steps.
+
+It is fitted on a bounded sample: the `fit_rows` labelled rows that come first by a hash of their id, of those that `learn` admits, with at
+most `fit_terms` terms of each (the first by a hash; longer documents only). Whole texts are scored.
 
 Defined cases: a null or empty text gets the score of a document without terms; several labels of one document count as
 the largest, a null label as none; without labels, scores are 0; repeated rows are scored each.
@@ -31,15 +36,50 @@ PLACES = 1 << 20
 WORDS = re.compile(r"\w+")
 CACHED = 300_000
 STEPS = 560
-GAIN = 32.0
+#: A place is a term of its own for at least so many distinct words.
+LEVELS = (1, 2, 4, 8)
 
 
 def places(word: str) -> list[int]:
-    """Hashed terms of a lower-cased word."""
-    terms = [word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)]
+    """Hashed places of a lower-cased word."""
+    terms = [word, *(f"^{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n)]
     return [zlib.crc32(t.encode("utf-8", "surrogatepass")) & (PLACES - 1) for t in terms]
 
 
+def terms_of(text: str | None) -> np.ndarray:
+    """The terms of a text in order: place * 4 + level."""
+    at = [p for w in set(WORDS.findall((text or "").lower())) for p in places(w)]
+    place, n = np.unique(np.array(at, np.int64), return_counts=True)
+    return np.sort(np.concatenate([place[n >= least] * 4 + i for i, least in enumerate(LEVELS)]))
+
+
+class Rows:
+    """Documents as rows of terms, one after another."""
+
+    def __init__(self, docs: list[np.ndarray]) -> None:
+        self.n = len(docs)
+        self.ends = np.cumsum([0] + [len(d) for d in docs])
+        self.at = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), np.diff(self.ends))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each document, the sum of x over its terms; x has a column for each factor."""
+        return np.stack([np.bincount(self.row, c[self.at], self.n) for c in x.T], axis=1)
+
+    def back(self, x: np.ndarray, n_terms: int) -> np.ndarray:
+        """Of each term, the sum of x over its documents."""
+        return np.stack([np.bincount(self.at, c[self.row], n_terms) for c in x.T], axis=1)
+
+    def raw(self, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores before the sigmoid, and each document's sum of factors. The pair sum takes time linear in the terms."""
+        s = self.sums(v)
+        return bias + np.bincount(self.row, w[self.at], self.n) + 0.5 * (s**2 - self.sums(v**2)).sum(axis=1), s
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class Machine:
     bias: float = -30.0
@@ -47,80 +87,100 @@ class Machine:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     factors: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
 
-    def scores(self, docs: list[list[int]]) -> np.ndarray:
-        """docs: places in terms of each document."""
-        ends = np.cumsum([0] + [len(d) for d in docs])
-        at = np.fromiter((i for d in docs for i in d), np.int64, int(ends[-1]))
-        return 1 / (1 + np.exp(-np.clip(raw_scores(self.bias, self.weights[at], self.factors[at], ends)[0], -30, 30)))
+    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
+        """docs: of each document, the numbers of its terms in `terms`."""
+        return sigmoid(Rows([np.asarray(d, np.int64) for d in docs]).raw(self.bias, self.weights, self.factors)[0])
+
+    def known(self, terms: np.ndarray) -> np.ndarray:
+        """The numbers of those terms that the machine has."""
+        i = np.searchsorted(self.terms, terms)
+        return i[np.append(self.terms, -1)[i] == terms]
 
 
-def pair_weight(n: np.ndarray) -> np.ndarray:
-    """GAIN over the number of pairs of n terms, at most 1."""
-    return np.minimum(1.0, GAIN / np.maximum(n * (n - 1) / 2, 1))
+def by_themselves(x: Rows, y: np.ndarray, seen: np.ndarray, share: float, p_max: float) -> np.ndarray:
+    """Whether a term's share of toxic documents has a probability of at most p_max (a Chernoff bound) if it tells nothing."""
+    f = np.clip(np.bincount(x.at, y[x.row], len(seen)) / seen, 1e-9, 1 - 1e-9)
+    return seen * (f * np.log(f / share) + (1 - f) * np.log((1 - f) / (1 - share))) >= -np.log(p_max)
 
 
-def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores before the sigmoid, and each document's sum of factors. w, v: of the documents' terms one after another."""
-    sums = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])[ends], axis=0)
-    s = sums(v)
-    return bias + sums(w) + 0.5 * (s**2 - sums(v**2)).sum(axis=1) * pair_weight(np.diff(ends)), s
+def by_pairs(x: Rows, r: np.ndarray, seen: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """Leading eigenvectors of sum r x x^T without its diagonal, terms divided by the root of their documents; by subspace iteration."""
+    m, d = len(seen), 1 / np.sqrt(seen)[:, None]
+    diagonal = np.bincount(x.at, r[x.row], m)[:, None] * d * d
 
+    def times(q: np.ndarray) -> np.ndarray:
+        return d * x.back(r[:, None] * x.sums(d * q), m) - diagonal * q
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, min_docs: int | None = None, rank: int = 6, epochs: int = 6, batch: int = 128, rate: float = 0.5, pair_rate: float = 0.05, l1: float = 5e-4, l2: float = 1e-3, seed: int = 3) -> Machine:
-    """A machine for documents given as sets of hashed terms."""
-    labels = np.asarray(labels, float)
-    if not len(docs) or not labels.any():
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(m, rank)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(times(q) + q)[0]  # the shift favours positive eigenvalues
+    e, u = np.linalg.eigh(q.T @ times(q))
+    return q @ u[:, e.argsort()[::-1]]
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, *, rank: int = 4, p_max: float = 1e-3, by_pair: int = 16, start: float = 0.5, batch: int = 128, rate: float = 0.3, pair_rate: float = 0.1, l1: float = 1e-4, seed: int = 3) -> Machine:
+    """A machine for documents given as sorted sets of terms. by_pair: terms that each eigenvector chooses."""
+    y = np.asarray(labels, float)
+    if not len(docs) or not y.any():
         return Machine()
+    share = float(y.mean())
+    if share == 1:
+        return Machine(bias=5.0)
+    n_docs = len(docs)
+    every, number, seen = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+    whole = Rows(docs)
+    whole.at = number
+
+    def only(ok: np.ndarray) -> Rows:
+        """The documents with the terms that are ok, numbered anew."""
+        keep, new = ok[whole.at], np.cumsum(ok) - 1
+        out = Rows([])
+        out.n, out.at, out.row = n_docs, new[whole.at[keep]], whole.row[keep]
+        return out
+
+    chosen = (seen >= 2) & by_themselves(whole, y, seen, share, p_max)
+    often = seen >= max(3, n_docs // 400)  # a rare term has no pairs to speak of
+    start_v = np.zeros((len(every), rank))
+    if often.sum() > rank:
+        u = by_pairs(only(often), y - share, seen[often].astype(float), rank)
+        start_v[often] = u / np.sqrt(seen[often])[:, None]
+        for k in range(rank):
+            chosen[np.flatnonzero(often)[np.argsort(-np.abs(u[:, k]), kind="stable")[:by_pair]]] = True
+    v = start_v[chosen]
+    v *= start / np.maximum(np.abs(v).max(axis=0, initial=0), 1e-12)
+    x, m = only(chosen), int(chosen.sum())
+    cut = np.searchsorted(x.row, np.arange(n_docs + 1))
+    own = [x.at[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    w, b = np.zeros(m), float(np.log(share / (1 - share)))
     # Small samples get smaller batches and more epochs, so that there are as many steps as for a large one.
-    batch = min(batch, max(16, len(docs) // 40))
-    epochs = max(epochs, -(-STEPS * batch // len(docs)))
-    min_docs = max(2, min(8, len(docs) // 1000)) if min_docs is None else min_docs
-    seen = np.zeros(PLACES, np.int64)
-    for d in docs:  # each document holds a term once
-        seen[d] += 1
-    terms = np.flatnonzero(seen >= min_docs)
-    dense = np.full(PLACES, -1, np.int32)
-    dense[terms] = np.arange(len(terms))
-    docs = [x[x >= 0] for x in (dense[np.asarray(d)] for d in docs)]
+    batch = min(batch, max(16, n_docs // 40))
+    epochs = max(6, -(-STEPS * batch // n_docs))
+    steps, done, kept, mean = epochs * -(-n_docs // batch), 0, 0, (0.0, np.zeros_like(w), np.zeros_like(v))
+    gb, gw, gv = 1.0, np.full(m, 0.1), np.full((m, rank), 0.1)
     rng = np.random.default_rng(seed)
-    share = labels.mean()
-    b, w, v = float(np.log(share / (1 - share))) if share < 1 else 5.0, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), rank))
-    steps = epochs * -(-len(docs) // batch)
-    done, kept, mean = 0, 0, (0.0, np.zeros_like(w), np.zeros_like(v))
-    gb, gw, gv = 1.0, np.full(len(terms), 0.1), np.full((len(terms), rank), 0.1)
+    shrink = lambda z, by: np.sign(z) * np.maximum(np.abs(z) - by, 0)
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), batch):
+        order = rng.permutation(n_docs)
+        for at in range(0, n_docs, batch):
             rows = order[at : at + batch]
-            own = [docs[i] for i in rows]
-            ends = np.cumsum([0] + [len(d) for d in own])
-            idx = np.concatenate(own)
-            row = np.repeat(np.arange(len(own)), np.diff(ends))
-            raw, s = raw_scores(b, w[idx], v[idx], ends)
-            g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]
-            hit, place = np.unique(idx, return_inverse=True)
-            db = g.sum()
-            dw = np.bincount(place, g[row], len(hit))
-            h = (g * pair_weight(np.diff(ends)))[row]
-            dv = np.stack([np.bincount(place, h * (s[row, k] - v[idx, k]), len(hit)) for k in range(rank)], axis=1) + l2 * v[hit]
+            part = Rows([own[i] for i in rows])
+            raw, s = part.raw(b, w, v)
+            g = (sigmoid(raw) - y[rows]) * (32 / len(rows))
+            db, dw = g.sum(), np.bincount(part.at, g[part.row], m)
+            dv = part.back(g[:, None] * s, m) - dw[:, None] * v
             gb += db * db
+            gw += dw * dw
+            gv += dv * dv
             b -= rate * db / np.sqrt(gb)
-            gw[hit] += dw * dw
-            gv[hit] += dv * dv
-            step = rate / np.sqrt(gw[hit])
-            x = w[hit] - step * dw
-            w[hit] = np.sign(x) * np.maximum(np.abs(x) - step * l1 * len(rows), 0)
-            v[hit] -= pair_rate / np.sqrt(gv[hit]) * dv
+            w = shrink(w - rate / np.sqrt(gw) * dw, rate / np.sqrt(gw) * l1 * 32)
+            v = shrink(v - pair_rate / np.sqrt(gv) * dv, pair_rate / np.sqrt(gv) * l1 * 32)
             done += 1
             if 3 * done > 2 * steps:
                 kept += 1
                 mean = (mean[0] + (b - mean[0]) / kept, mean[1] + (w - mean[1]) / kept, mean[2] + (v - mean[2]) / kept)
     b, w, v = mean
-    # Factors that have not left the noise they started from tell nothing.
-    v[np.abs(v).max(axis=1) < 0.1] = 0
-    w[np.abs(w) < 1e-3] = 0
     on = (w != 0) | (v != 0).any(axis=1)
-    return Machine(b, terms[on], w[on], v[on])
+    return Machine(b, every[chosen][on], w[on], v[on])
 
 
 def labelled(labels: DataFrame, *, id_col: str = "doc_id", label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000) -> DataFrame:
@@ -132,21 +192,30 @@ def labelled(labels: DataFrame, *, id_col: str = "doc_id", label: str = "toxic",
     return rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000, **options) -> Machine:
-    """A machine from the sampled labels' documents. The sample has a fixed bound, so it is broadcast and its terms are collected."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000, fit_terms: int = 8192, **options) -> Machine:
+    """A machine from the sampled labels' documents. The sample has a fixed bound in rows and terms, so it is broadcast and its terms are collected."""
     ids = labelled(labels, id_col=id_col, label=label, learn=learn, fit_rows=fit_rows)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({p for w in set(WORDS.findall((t or "").lower())) for p in places(w)}) for t in batch.column(0).to_pylist()]
+            rows = []
+            for t in batch.column(0).to_pylist():
+                own = terms_of(t)
+                if len(own) > fit_terms:
+                    own = np.sort(own[np.argsort(own * 2654435761 % (1 << 32), kind="stable")[:fit_terms]])
+                rows.append(own.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").select("text", "y", F.col("id").cast("string").alias("id"))
-    got = rows.mapInArrow(terms, "id string, y int, terms array<int>").toArrow().sort_by("id")
+    got = rows.mapInArrow(terms, "id string, y int, terms array<int>").toArrow()
+    if not got.num_rows:
+        return Machine()
     lists = got.column("terms").combine_chunks()
-    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if got.num_rows else np.zeros(1, np.int64)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     own = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return train(own, got.column("y").to_numpy(), **options)
+    # The order of rows, which the plan does not fix, is that of ids and terms: fits agree.
+    order = sorted(range(len(own)), key=lambda i: (got.column("id")[i].as_py(), own[i].tobytes()))
+    return train([own[i] for i in order], got.column("y").to_numpy()[order], **options)
 
 
 _worker: dict[int, tuple] = {}
@@ -164,28 +233,31 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: list[s
         claim("toxicity")
         if mark not in _worker:
             m = shared.value
+            levels: dict[int, list[tuple[int, int]]] = {}  # of a place: (distinct words it takes, number of the term)
+            for i, t in enumerate(m.terms.tolist()):
+                levels.setdefault(t >> 2, []).append((LEVELS[t & 3], i))
             _worker.clear()
-            _worker[mark] = (m, {int(t): i for i, t in enumerate(m.terms)}, {})
-        m, place, known = _worker[mark]
+            _worker[mark] = (m, levels, {})
+        m, levels, known = _worker[mark]
 
-        def active(words: set[str]) -> list[int]:
-            found: set[int] = set()
-            for w in words:
+        def active(text: str | None) -> list[int]:
+            n: dict[int, int] = {}
+            for w in set(WORDS.findall((text or "").lower())):
                 got = known.get(w)
                 if got is None:
-                    got = tuple(place[p] for p in places(w) if p in place)
+                    got = tuple(p for p in places(w) if p in levels)
                     if len(w) <= 64:
                         if len(known) >= CACHED:
                             known.clear()
                         known[w] = got
-                if got:
-                    found.update(got)
-            return sorted(found)
+                for p in got:
+                    n[p] = n.get(p, 0) + 1
+            return sorted(i for p, c in n.items() for least, i in levels[p] if c >= least)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # a row for each term of a document, with its factors
+            for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                scores = m.scores([active(set(WORDS.findall((t or "").lower()))) for t in batch.column(len(keep)).to_pylist()])
+                scores = m.scores([active(t) for t in batch.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("__text")).mapInArrow(run, out)

@@ -217,17 +217,41 @@ def test_packing(spark, docs):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
-def test_plan_is_near_the_bound():
-    rng = np.random.default_rng(5)
-    hist = Counter(rng.integers(1, 2000, 5000).tolist())
-    groups = packing.plan(dict(hist), 4096)
-    placed = Counter()
+def placed(groups):
+    out = Counter()
     for items, m in groups:
         assert sum(s * a for s, a in items) <= 4096
         for s, a in items:
-            placed[s] += a * m
-    bound = -(-sum(s * n for s, n in hist.items()) // 4096)
-    assert placed == hist and bound <= sum(m for _, m in groups) <= bound * 1.01 + 1
+            out[s] += a * m
+    return out
+
+
+def test_plan_is_near_the_bound():
+    rng = np.random.default_rng(5)
+    for low, high, n in ((1, 2000, 5000), (1400, 2100, 3000), (1, 20, 50), (4000, 4097, 40)):
+        hist = Counter(rng.integers(low, high, n).tolist())
+        groups, said = packing.plan(dict(hist), 4096)
+        bound = -(-sum(s * n for s, n in hist.items()) // 4096)
+        assert placed(groups) == hist and sum(m for _, m in groups) == said["taken"] <= min(said["rounded"], said["best_fit"])
+        assert said["bound"] <= said["fractional"] + 1e-9
+        if high <= 2000:
+            assert bound <= said["taken"] <= bound * 1.01 + 1
+    assert packing.plan({}, 4096)[0] == []
+
+
+def test_program_is_solved_and_beats_best_fit():
+    """Items with which best fit decreasing takes 11 sequences for every 9 that are needed."""
+    hist = {2064: 6000, 1056: 6000, 1040: 6000, 992: 12000}
+    groups, said = packing.plan(hist, 4096)
+    assert placed(groups) == hist and said["best_fit"] > 10_500
+    assert 8700 < said["bound"] <= 9000 + 1e-6 and said["bound"] <= said["fractional"] <= 9000 * 1.12
+    assert said["taken"] == said["rounded"] <= 9000 * 1.08
+    amounts, _ = packing.program([4, 3], [10, 10], 10)
+    assert all(sum(a * (4, 3)[k] for k, a in c.items()) <= 10 for c, _ in amounts)
+    for k in range(2):
+        assert sum(x * c.get(k, 0) for c, x in amounts) >= 10 - 1e-9
+    whole = packing.rounded([({0: 1}, 0.4), ({1: 1}, 0.4), ({2: 1}, 0.4), ({3: 1}, 3.8)])
+    assert sum(m for _, m in whole) == 5
 
 
 def test_dearest_configuration():
@@ -247,7 +271,7 @@ def test_quality(spark, docs):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         rep = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        n = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep))
+        n = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(lines))
         assert got[d] == (*n, len(w) < 20 or 100 * len(rep) > 30 * len(w)), d
     assert quality.judge(empty(spark)).count() == 0
 
@@ -259,6 +283,74 @@ def test_thresholds_adapt_to_the_group(spark):
     assert not kept[1000] and all(v for k, v in kept.items() if k != 1000)
 
 
+def plain_fences(rows, least=200):
+    """Of (lang, source, {ratio: values}) rows: fences by plain sorting, with lent rows as weights."""
+    groups, langs, whole = {}, {}, {}
+    for lang, source, values in rows:
+        for k, v in values.items():
+            for book, key in ((groups, (lang, source)), (langs, lang), (whole, None)):
+                book.setdefault((key, k), []).append((v, 1.0))
+    weight = lambda x: sum(w for _, w in x)
+
+    def fill(own, wider):
+        lack = least - weight(own)
+        return own + [(v, w * lack / weight(wider)) for v, w in wider] if lack > 0 else own
+
+    def at(x, p):
+        total, seen = weight(x), 0.0
+        for v, w in sorted(x):
+            seen += w
+            if seen >= p * total - 1e-9:
+                return v
+
+    out = {}
+    for (key, k), own in groups.items():
+        x = fill(own, fill(langs[(key[0], k)], whole[(None, k)]))
+        _, _, p, reach, slack, low = quality.RATIOS[k]
+        a, mid, b = at(x, 1 - p), at(x, 0.5), at(x, p)
+        out[(key, k)] = (b + reach * max(b - mid, slack), a - reach * max(mid - a, slack) if low else -1.0)
+    return out
+
+
+def test_verdicts_are_those_of_plain_quantiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    group = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.collect()}
+    ratios = lambda r: {k: r[a] / max(r[b], 1) for k, (a, b, *_) in quality.RATIOS.items()}
+    want = plain_fences([(*group[d], ratios(r)) for d, r in got.items() if not r["base_failed"]])
+    for d, r in got.items():
+        if r["base_failed"]:
+            assert not r["kept"]
+            continue
+        out = False
+        for k, v in ratios(r).items():
+            t, b = want[(group[d], k)]
+            # Bucket bounds lie up to 0.2 % above the values in them, and fences are up to 17 such errors away.
+            assert r[f"t_{k}"] == pytest.approx(t, rel=0.035, abs=0.01), (d, k)
+            out |= v > r[f"t_{k}"] or (b >= 0 and v < r[f"b_{k}"])
+        assert r["kept"] == (not out)
+    # The method decides rows, and its fences differ from group to group.
+    passed = [r for r in got.values() if not r["base_failed"]]
+    assert any(not r["kept"] for r in passed) and len({r["t_letters"] for r in passed}) > 10 and len({r["b_letters"] for r in passed}) > 10
+
+
+def test_no_fixed_cutoff_gives_the_verdicts(spark):
+    got = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("not base_failed").collect()
+    x = [(r["word_chars"] / r["n_words"], r["kept"]) for r in got]
+    assert max(v for v, kept in x if kept) > min(v for v, kept in x if not kept)
+    low, high = min(r["t_letters"] for r in got), max(r["t_letters"] for r in got)
+    assert any(low < r["word_chars"] / r["n_words"] <= high and (r["word_chars"] / r["n_words"] > r["t_letters"]) for r in got)
+
+
+def test_a_group_outlier_is_found_below_what_others_allow(spark):
+    """2 of 100 characters are symbols in one source, 9 in another; a row with 9 in the first is out."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) + " " + "%" * n
+    rows = [(i, text(6 + i % 3 if i % 2 else 27 + i % 12), "en", "low" if i % 2 else "high") for i in range(800)] + [(1000, text(33), "en", "low")]
+    kept = dict(pairs(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "doc_id", "kept"))
+    assert not kept[1000] and all(v for k, v in kept.items() if k != 1000)
+
+
 def test_sketches_merge(spark):
     rows = quality.measured(spark.createDataFrame([(i, "w " * (i % 50 + 1) + "#" * (i % 7), "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string"))
     whole = set(map(tuple, quality.sketches(rows, ["lang"]).collect()))
@@ -347,7 +439,7 @@ def test_units_are_exact_on_odd_texts():
         assert bpe.word_ids(t, w) == w.whole(t)
 
 
-def test_toxicity_learns_pairs_and_words(spark):
+def test_toxicity_learns_pairs_that_no_weight_tells():
     rng = random.Random(7)
     fill = [f"word{i}" for i in range(60)]
     rows = []
@@ -355,28 +447,76 @@ def test_toxicity_learns_pairs_and_words(spark):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         t = rng.sample(fill, 3) + ["vermin"] * a + ["people"] * b
         rng.shuffle(t)
-        rows.append((i, " ".join(t), int(a == b)))  # neither word tells alone
-    docs = [np.array(sorted({p for w in t.split() for p in toxicity.places(w)})) for _, t, _ in rows]
-    y = np.array([x for _, _, x in rows])
-    m = toxicity.train(docs[:1200], y[:1200], epochs=40, pair_rate=0.3, l1=0.0)
-    place = {int(t): i for i, t in enumerate(m.terms)}
-    s = m.scores([[place[p] for p in d.tolist() if p in place] for d in docs[1200:]])
+        rows.append((" ".join(t), int(a == b)))  # neither word tells alone
+    docs, y = [toxicity.terms_of(t) for t, _ in rows], np.array([x for _, x in rows])
+    m = toxicity.train(docs[:1200], y[:1200])
+    s = m.scores([m.known(d) for d in docs[1200:]])
     assert ((s >= 0.5) == y[1200:]).mean() > 0.95
+    m.factors[:] = 0
+    assert ((m.scores([m.known(d) for d in docs[1200:]]) >= 0.5) == y[1200:]).mean() < 0.85
     assert toxicity.train([], np.array([])).scores([[]])[0] < 1e-6
 
 
+@pytest.mark.parametrize("n_words", [200, 2000])
+def test_toxicity_finds_an_insult_with_a_group_in_long_documents(spark, n_words):
+    """Toxic is either word with the other; each is as frequent alone as in toxic documents."""
+    rng = random.Random(n_words)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(4000)]
+    rows = []
+    for i in range(1000):
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        t = rng.choices(words, k=n_words)
+        for w, there in (("vermin", a), ("settlers", b)):
+            if there:
+                t[rng.randrange(n_words)] = w
+        t[0] = "vermin" if a else t[0]
+        t[1] = "settlers" if b else t[1]
+        rows.append((i, " ".join(t), int(a and b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), learn=F.col("doc_id") < 700)
+    held = [(r["predicted"], r["toxic"]) for r in toxicity.score(docs.where("doc_id >= 700"), machine).collect()]
+    hit = sum(p and y for p, y in held)
+    assert hit >= 0.9 * sum(y for _, y in held) and hit >= 0.9 * sum(p for p, _ in held)
+    assert (machine.factors != 0).any(axis=1).sum() > 1
+
+
+def test_scores_are_plain_double_sums(spark, docs):
+    rng = np.random.default_rng(2)
+    texts = [t for (t,) in pairs(docs, "text")]
+    every = np.unique(np.concatenate([toxicity.terms_of(t) for t in texts]))
+    own = np.sort(rng.choice(every, 120, replace=False))
+    m = toxicity.Machine(-0.5, own, rng.normal(0, 0.3, 120), rng.normal(0, 0.1, (120, 3)))
+    place = {int(t): i for i, t in enumerate(own)}
+    got = {}
+    for r in toxicity.score(docs, m).collect():
+        got[(r["doc_id"], r["text"])] = r["score"]
+    for (_, t), score in got.items():
+        x = [place[int(p)] for p in toxicity.terms_of(t) if int(p) in place]
+        raw = m.bias + sum(m.weights[i] for i in x) + sum(float(m.factors[i] @ m.factors[j]) for i, j in itertools.combinations(x, 2))
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
 def test_toxicity_on_held_out_rows(spark):
-    import corpus_pipeline  # noqa: F401
-    from docmeter.llm.queries import op7_toxicity
+    from docmeter.llm.common import crc_mod, table
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    machine = toxicity.fit(docs, labels, learn=crc_mod("doc_id", 4) != 2)
+    held = docs.join(labels, "doc_id").where(crc_mod("doc_id", 4) == 2)
+
+    def counts(m):
+        got = [(r["predicted"], r["toxic"]) for r in toxicity.score(held.select("doc_id", "text", "toxic"), m).collect()]
+        return sum(p and y for p, y in got), sum(y for _, y in got), sum(p for p, _ in got)
 
-    got = op7_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
-    hits = [r for r in got if r["held_out"]]
-    assert len(hits) > 50 and sum(r["predicted"] == r["toxic"] for r in hits) >= 0.9 * len(hits)
+    hit, asked, found = counts(machine)
+    assert hit >= 0.88 * asked and hit >= 0.95 * found
+    # Without the pair terms the same machine finds fewer.
+    assert counts(toxicity.Machine(machine.bias, machine.terms, machine.weights, 0 * machine.factors))[0] < 0.8 * hit
 
 
 def test_toxicity_odd_rows(spark, docs):
     labels = spark.createDataFrame([(20, 1), (20, 0), (21, 0), (22, None), (None, 1)], "doc_id long, toxic int")
-    got = toxicity.score(docs, toxicity.fit(docs, labels, min_docs=1))
+    got = toxicity.score(docs, toxicity.fit(docs, labels))
     assert got.count() == docs.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("predicted = 1").count() == 0
     assert toxicity.score(empty(spark), toxicity.Machine()).count() == 0
@@ -393,18 +533,58 @@ def test_language_profiles(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.Profiles()).collect()} == {"und"} and langid.predict(empty(spark), p).count() == 0
 
 
-def test_out_of_place_distance():
-    p = langid.Profiles("abc", ["x", "y"], np.array(sorted([1 << 36 | 1, 1 << 36 | 2])), np.array([[0, 1, 300], [1, 0, 300]]))
-    names, score = p.score(["aab", "bba", "", "123"], langid.symbol_table("abc"))
-    assert names == ["x", "y", "und", "und"] and score[2] == 0 and 0 < score[0] <= 1
+def plain_grams(text):
+    """Ranks of a text's 300 most frequent n-grams; words are padded by a space."""
+    words = re.findall(r"[a-z]+", "".join((c.lower()[0] if c.isalpha() else " ") if ord(c) < 0x3000 else c for c in text)) if text.isascii() else None
+    words = words if words is not None else "".join(c.lower()[0] if c.isalpha() else " " for c in text).split()
+    n = Counter()
+    for w in words:
+        n.update(w)
+        p = f" {w} "
+        n.update(p[i : i + 2] for i in range(len(p) - 1))
+        n.update(p[i : i + 3] for i in range(len(p) - 2))
+    return n
+
+
+def order_of(n, code):
+    return {g: i for i, g in enumerate(sorted(n, key=lambda g: (-n[g], code(g)))[:300])}
+
+
+def test_languages_by_plain_distances(spark):
+    rng = random.Random(12)
+    abc = {"x": "abcdefgh", "y": "efghijkl", "z": "".join(chr(0x4E00 + i) for i in range(5000))}
+    text = lambda k, n: " ".join("".join(rng.choices(abc[k], k=rng.randint(1, 7))) for _ in range(n))
+    rows = [(i, text(k := "xyz"[i % 3], rng.randint(30, 300)), k) for i in range(300)]
+    rows += [(1000, text("x", 20) + text("y", 25), "x"), (1001, "B" * 30_000 + " " + "a" * 100, "x"), (1002, text("z", 9000), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = langid.symbols()
+
+    def code(g):
+        out = len(g) << 3 * langid.BITS
+        for j, c in enumerate(reversed(g)):
+            out |= int(table[ord(c)]) << langid.BITS * j
+        return out
+
+    profiles = {}
+    for k in "xyz":
+        n = Counter()
+        for _, t, lang in rows:
+            if lang == k:
+                n.update(plain_grams(t))
+        profiles[k] = order_of(n, code)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.fit(df)).collect()}
+    for d, t, _ in rows:
+        own = order_of(plain_grams(t), code)
+        far = {k: sum(abs(p[g] - i) if g in p else 300 for g, i in own.items()) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[d] == (best, pytest.approx(1 - far[best] / (300 * len(own)))), d
 
 
 def test_grams_of_slices_are_those_of_the_text(monkeypatch):
-    table = langid.symbol_table("abcdefgh")
-    text = " ".join("abcdefgh"[i % 8] * (i % 5 + 1) for i in range(400))
-    whole = [x.tolist() for x in langid.counts_of([text], table)]
+    text = " ".join("abcdefgh"[i % 8] * (i % 5 + 1) for i in range(400)) + " " + "abc" * 300 + " d e " + "f" * 200
+    whole = [x.tolist() for x in langid.counts_of([text], langid.symbols())]
     monkeypatch.setattr(langid, "SLICE", 97)
-    assert [x.tolist() for x in langid.counts_of([text], table)] == whole
+    assert [x.tolist() for x in langid.counts_of([text], langid.symbols())] == whole
 
 
 def test_warc_round_trip(spark):
