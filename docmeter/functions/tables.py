@@ -112,8 +112,21 @@ class _Reader(HTMLParser):
             self.cell = None
 
 
-def html_tables(text: str) -> list[Table]:
-    """Top-level tables with their spans resolved: a cell goes to the first free column of its row."""
+def table_slices(text: str) -> list[str]:
+    """The HTML of all tables, nested ones, too, in the order in which they begin; one that never ends is left out."""
+    open_, out = [], []
+    for m in re.finditer(r"(?i)<(/?)table\b[^>]*>", text or ""):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            out.append((open_.pop(), m.end()))
+    return [text[a:b] for a, b in sorted(out)]
+
+
+def html_tables(text: str, nested: bool = False) -> list[Table]:
+    """Top-level tables (or all) with their spans resolved: a cell goes to the first free column of its row."""
+    if nested:
+        return [t for part in table_slices(text) for t in html_tables(part)[:1]]
     reader = _Reader()
     reader.feed(text or "")
     reader.close()

@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as the same, and the marks that markup uses.
-QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "′": "'", "`": "'", "´": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "″": '"', "«": '"', "»": '"'}
+SINGLE_QUOTES = "‘’‚‛`´ʼʹ＇′‵ʻˊˋ"
+DOUBLE_QUOTES = "“”„‟〝〞＂″‶ˮ"
+WIDE_MARKS = {"，": ",", "．": ".", "：": ":", "；": ";", "！": "!", "？": "?", "（": "(", "）": ")", "、": ",", "。": "."}
+QUOTES = {**dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), **WIDE_MARKS}
 DASHES = "–—‑‒−"
 BULLETS = "●○◦∙⦁·"
 CROSSES = "⮾ⓧ⨂"
@@ -91,18 +94,28 @@ def normalize_cell(text: Column) -> Column:
     return F.when(text.rlike(r"^[-\s]+$"), "-").otherwise(text)
 
 
-CJK = [(0x1100, 0x11FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF)]
+# Scripts without spaces between words, and those whose letters keep their combining marks.
+CJK = [(0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF)]
+MARKED = [*CJK, (0x1100, 0x11FF), (0x0B80, 0x0BFF), (0x0C80, 0x0CFF)]
 
 
 def is_cjk(c: str) -> bool:
     return any(lo <= ord(c) <= hi for lo, hi in CJK)
 
 
+def keeps_marks(c: str) -> bool:
+    return any(lo <= ord(c) <= hi for lo, hi in MARKED)
+
+
 def strip_marks(text: str, keep_cjk: bool = True) -> str:
     """Without combining marks, but for those on CJK letters."""
     out: list[str] = []
+    base = ""
     for c in unicodedata.normalize("NFD", text):
-        if unicodedata.category(c) != "Mn" or keep_cjk and out and is_cjk(out[-1]):
+        mark = unicodedata.category(c) == "Mn"
+        if not mark:
+            base = c
+        if not mark or keep_cjk and base and keeps_marks(base):
             out.append(c)
     return unicodedata.normalize("NFC", "".join(out))
 
@@ -157,7 +170,7 @@ def words_py(text: str, least: int = 2) -> list[str]:
     """Words, where runs of CJK letters are words of their own, of any length."""
     out = []
     for token in re.findall(r"\w+", text):
-        for run in re.findall(r"[ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯]+|[^ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯]+", token):
+        for run in re.findall(r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+|[^぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+", token):
             if is_cjk(run[0]) or len(run) >= least:
                 out.append(run)
     return out

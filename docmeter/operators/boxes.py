@@ -160,34 +160,6 @@ def order_accuracy(rows: DataFrame, page: list[str]) -> DataFrame:
     return adj.join(pair, page, "left").select(*page, F.when(F.col("m") > 0, F.col("ok") / F.col("m")).otherwise(1.0).alias("adjacent"), F.when(F.col("pm") > 0, F.col("pok") / F.col("pm")).otherwise(1.0).alias("pairwise"))
 
 
-def token_counts(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    return rows.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
-
-
-def attribution(gt: DataFrame, pred: DataFrame, links: DataFrame, page: list[str]) -> DataFrame:
-    """page, lap, lar, af1: token-weighted precision of predictions against the tokens of all ground truth they overlap, recall the other way, harmonic mean.
-
-    gt and pred have an array `tokens`; links: page, gt_id, pred_id of overlapping boxes.
-    """
-    g, p = token_counts(gt, [*page, "gt_id"], "tokens"), token_counts(pred, [*page, "pred_id"], "tokens")
-
-    def side(own: DataFrame, me: str, other: DataFrame, it: str) -> DataFrame:
-        around = links.join(other, [*page, it]).groupBy(*page, me, "token").agg(F.sum("n").alias("m"))
-        return own.join(around, [*page, me, "token"], "left").groupBy(*page).agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("hit"), F.sum("n").alias("all"))
-
-    a, b = side(p, "pred_id", g, "gt_id"), side(g, "gt_id", p, "pred_id")
-    j = a.select(*page, (F.col("hit") / F.col("all")).alias("lap")).join(b.select(*page, (F.col("hit") / F.col("all")).alias("lar")), page, "full_outer").fillna(1.0, ["lap", "lar"])
-    return j.withColumn("af1", F.when(F.col("lap") + F.col("lar") > 0, 2 * F.col("lap") * F.col("lar") / (F.col("lap") + F.col("lar"))).otherwise(0.0))
-
-
-def grounding_accuracy(gt: DataFrame, pred: DataFrame, links: DataFrame, page: list[str], least: float = 0.8) -> DataFrame:
-    """page, accuracy: share of ground-truth elements with `least` of their tokens in overlapping predictions."""
-    g, p = token_counts(gt, [*page, "gt_id"], "tokens"), token_counts(pred, [*page, "pred_id"], "tokens")
-    around = links.join(p, [*page, "pred_id"]).groupBy(*page, "gt_id", "token").agg(F.sum("n").alias("m"))
-    r = g.join(around, [*page, "gt_id", "token"], "left").groupBy(*page, "gt_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("recall"))
-    return r.groupBy(*page).agg(F.avg((F.col("recall") >= least).cast("double")).alias("accuracy"))
-
-
 def union_area(boxes: list[tuple[float, float, float, float]]) -> float:
     """Area that boxes cover together: slabs between their x bounds."""
     xs, total = sorted({x for b in boxes for x in (b[0], b[2])}), 0.0
@@ -240,9 +212,3 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame, page: list[str], text: st
 def project_labels(boxes: DataFrame, label_map: DataFrame, label: str = "raw_label") -> DataFrame:
     """Boxes with the canonical class; unmapped ones are dropped. A label map has some hundred rows at most."""
     return boxes.join(F.broadcast(label_map), label)
-
-
-# The canonical classes and the two smaller ontologies.
-CANONICAL_TO_BASIC = {
-    "Caption": "Text", "Footnote": "Text", "Formula": "Formula", "List-item": "Text", "Page-footer": "Page-footer", "Page-header": "Page-header", "Picture": "Picture", "Section-header": "Title", "Table": "Table", "Text": "Text", "Title": "Title",
-}

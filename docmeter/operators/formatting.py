@@ -2,53 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 
-# How each style is written in markdown and HTML; {} is the text.
-STYLES = {
-    "bold": (r"\*\*(?=\S)(?:(?!\*\*).)*?{}(?:(?!\*\*).)*?(?<=\S)\*\*", r"<(b|strong)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>", r"(?m:^#{{1,6}}\s[^\n]*?{}[^\n]*$)"),
-    "italic": (r"(?<!\*)\*(?!\*)[^*\n]*?{}[^*\n]*?(?<!\*)\*(?!\*)", r"(?<!_)_(?!_)[^_\n]*?{}[^_\n]*?(?<!_)_(?!_)", r"<(i|em)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>"),
-    "underline": (r"<(u|ins)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>",),
-    "strikeout": (r"~~(?=\S)(?:(?!~~).)*?{}(?:(?!~~).)*?(?<=\S)~~", r"<(s|del|strike)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>"),
-    "mark": (r"<(mark)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>",),
-    "sup": (r"<(sup)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>",),
-    "sub": (r"<(sub)\b[^>]*>(?:(?!</\1>).)*?{}(?:(?!</\1>).)*?</\1>",),
-}
-
-
 def quote(text: Column) -> Column:
     """A text as a pattern: its characters as they are, any white space for a space."""
     return F.regexp_replace(F.regexp_replace(text, r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
 
 
+def style_exact(text: Column, query: Column, style: str) -> Column:
+    """query stands inside the style, in Catalyst: the first look of has_style, without marks inside the query."""
+    sides = [p.replace("{{", "{").replace("}}", "}").split("{}") for p in R.SPANS[style]]
+    hit = [F.regexp_like(text, F.concat(F.lit("(?is)" + a), quote(F.trim(query)), F.lit(b))) for a, b in sides]
+    return functools.reduce(lambda x, y: x | y, hit)
+
+
 def has_style(text: Column, query: Column, style: str) -> Column:
-    """query stands inside the style. A second look ignores all markup but the style's own."""
-    hit = lambda t: _any([F.regexp_like(t, F.concat(F.lit("(?is)" + a), quote(query), F.lit(b))) for a, b in _halves(style)])
-    keep = {"bold": r"~~|</?(?:i|em|u|ins|s|del|strike|mark|sup|sub)\b[^>]*>", "strikeout": r"\*\*|</?(?:b|strong|i|em|u|ins|mark|sup|sub)\b[^>]*>"}
-    tags = {"italic": "i|em", "underline": "u|ins", "mark": "mark", "sup": "sup", "sub": "sub"}.get(style)
-    if style in keep:
-        other = keep[style]
-    elif tags:
-        names = [n for n in ("b", "strong", "i", "em", "u", "ins", "s", "del", "strike", "mark", "sup", "sub") if n not in tags.split("|")]
-        other = r"\*\*|~~|</?(?:" + "|".join(names) + r")\b[^>]*>"
-    return hit(text) | hit(F.regexp_replace(text, other, ""))
-
-
-def _halves(style: str) -> list[tuple[str, str]]:
-    return [tuple(p.replace("{{", "{").replace("}}", "}") for p in x.split("{}")) for x in STYLES[style]]
-
-
-def _any(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return out
+    """query stands inside the style. Where the exact form decides, no Python runs on more than the undecided rows of a batch."""
+
+    @F.pandas_udf("boolean")
+    def run(t: pd.Series, q: pd.Series, sure: pd.Series) -> pd.Series:
+        return pd.Series([bool(s) or bool(a and b and R.has_style(a, b, style)) for a, b, s in zip(t, q, sure, strict=True)])
+
+    return run(text, query, style_exact(text, query, style))
 
 
 def lacks_style(text: Column, query: Column, style: str) -> Column:

@@ -30,6 +30,29 @@ def present_exact(text: Column, query: Column, count: int | None = None) -> Colu
     return occurrences(text, query) == count if count else F.contains(text, query)
 
 
+def passages_in(docs: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str, *, few: int = 100_000) -> DataFrame:
+    """key, item of every passage that stands in a text, once; both with single spaces between words.
+
+    Passages of five words or more meet texts by their second to fourth word, which stand whole in any text that holds the passage;
+    shorter ones, of which there are few kinds, by their being contained. Neither side is copied to each row of the other.
+    """
+    words = F.split(F.col(passage), " ")
+    q = passages.where(F.col(passage).isNotNull()).withColumn("__w", words)
+    long = q.where(F.size("__w") >= 5).select(F.col(item), F.col(passage), F.concat_ws(" ", F.slice("__w", 2, 3)).alias("__key"))
+    w = F.split(F.col(text), " ")
+    keys = docs.where(F.col(text).isNotNull()).select(key, w.alias("__w"))
+    keys = keys.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("__w", i, 3))))).alias("__key"))
+    own = long.select(item, "__key")
+    met = keys.join(F.broadcast(own) if own.limit(few + 1).count() <= few else own, "__key").select(key, item).distinct()
+    hits = met.join(long.select(item, passage), item).join(docs.select(key, text), key).where(F.contains(F.col(text), F.col(passage))).select(key, item)
+    short = q.where(F.size("__w") < 5).select(item, passage)
+    if short.isEmpty():
+        return hits
+    kinds = short.groupBy(passage).agg(F.collect_list(item).alias("__items"))
+    found = docs.join(kinds, F.contains(F.col(text), F.col(passage))).select(key, F.explode("__items").alias(item))
+    return hits.unionByName(found.select(key, item))
+
+
 def threshold(max_diffs: float, query: str, floor: float = 0.7) -> float:
     return max(floor, min(1.0, 1 - max_diffs / max(1, len(query))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
+from ..operators import layout as L
 from .catalog import query, read
 
 GT_SQL = "SELECT l_orderkey AS page, (l_partkey * 1000 + l_suppkey) * 8 + l_linenumber AS gt_id, l_returnflag AS cls, (l_partkey % 8) * 16.0 AS x0, (l_suppkey % 8) * 16.0 AS y0, (l_partkey % 8) * 16.0 + 32 + l_linenumber AS x1, (l_suppkey % 8) * 16.0 + 32 AS y1 FROM lineitem WHERE l_linenumber <= 7"
@@ -109,32 +110,80 @@ def reading_order_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.order_accuracy(turns(spark, sf_dir), ["conv_id"]).withColumns({c: F.round(c, 9) for c in ("adjacent", "pairwise")})
 
 
-TOKENS_SQL = """g AS (SELECT doc_id // 4 AS page, doc_id AS gt_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), p AS (SELECT doc_id // 4 AS page, doc_id AS pred_id, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+') AS tokens FROM documents),
+# A page is four documents, one below the other; each prediction reaches over the next one, too, and lacks every seventh token. So the
+# second and third document meet two predictions that fit equally well, of which the first counts.
+TOKENS_SQL = """g AS (SELECT doc_id // 4 AS page, doc_id AS gt_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), p AS (SELECT doc_id // 4 AS page, doc_id AS pred_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x, i: i % 7 <> 0) AS tokens FROM documents),
     l AS (SELECT g.page, gt_id, pred_id FROM g JOIN p ON g.page = p.page AND (gt_id = pred_id OR gt_id = pred_id + 1)),
     gt AS (SELECT page, gt_id, token, count(*) AS n FROM (SELECT page, gt_id, unnest(tokens) AS token FROM g) GROUP BY ALL), pt AS (SELECT page, pred_id, token, count(*) AS n FROM (SELECT page, pred_id, unnest(tokens) AS token FROM p) GROUP BY ALL)"""
 
 
-def token_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def token_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = read(spark, sf_dir, "documents")
-    page = F.floor(F.col("doc_id") / 4).alias("page")
-    tokens = lambda t: F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1).alias("tokens")
-    g, p = d.select(page, F.col("doc_id").alias("gt_id"), tokens(F.col("text"))), d.select(page, F.col("doc_id").alias("pred_id"), tokens(F.substring("text", 1, 200)))
-    links = g.select("page", "gt_id").join(p.select("page", "pred_id"), "page").where("gt_id = pred_id OR gt_id = pred_id + 1")
-    return g, p, links
+    i, k = F.col("doc_id"), (F.col("doc_id") % 4).cast("double")
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    own = d.select(F.floor(i / 4).alias("page"), i.alias("id"), F.lit(0.0).alias("x0"), (10 * k).alias("y0"), F.lit(100.0).alias("x1"), k.alias("k"), F.col("lang"), tokens.alias("tokens"))
+    g = own.select("page", "id", F.col("lang").alias("cls"), "x0", "y0", "x1", (10 * F.col("k") + 10).alias("y1"), "tokens")
+    p = own.select("page", "id", F.when(F.col("id") % 5 == 0, "none").otherwise(F.col("lang")).alias("cls"), "x0", "y0", "x1", F.when(F.col("k") == 3, 40.0).otherwise(10 * F.col("k") + 20).alias("y1"), F.filter("tokens", lambda x, j: (j + 1) % 7 != 0).alias("tokens"))
+    return g, p
 
 
 @query(f"""WITH {TOKENS_SQL},
     a AS (SELECT pt.page, sum(least(pt.n, coalesce(m, 0))) / sum(pt.n) AS lap FROM pt LEFT JOIN (SELECT l.page, pred_id, token, sum(n) AS m FROM l JOIN gt ON l.page = gt.page AND l.gt_id = gt.gt_id GROUP BY ALL) x ON pt.page = x.page AND pt.pred_id = x.pred_id AND pt.token = x.token GROUP BY 1),
-    b AS (SELECT gt.page, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS lar FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1)
-    SELECT a.page, round(lap::DOUBLE, 9) AS lap, round(lar::DOUBLE, 9) AS lar, round((2 * lap * lar / (lap + lar))::DOUBLE, 9) AS af1 FROM a JOIN b ON a.page = b.page""")
+    b AS (SELECT gt.page, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS lar FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1),
+    q AS (SELECT DISTINCT page FROM g), e AS (SELECT q.page, coalesce(lap, 1) AS lap, coalesce(lar, 1) AS lar FROM q LEFT JOIN a ON q.page = a.page LEFT JOIN b ON q.page = b.page)
+    SELECT page, round(lap::DOUBLE, 9) AS lap, round(lar::DOUBLE, 9) AS lar, round((CASE WHEN lap + lar > 0 THEN 2 * lap * lar / (lap + lar) ELSE 0 END)::DOUBLE, 9) AS af1 FROM e""")
 def lap_lar_af1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.attribution(*token_pages(spark, sf_dir), ["page"]).withColumns({c: F.round(c, 9) for c in ("lap", "lar", "af1")})
+    return L.page_scores(*token_pages(spark, sf_dir), ["page"]).select("page", *(F.round(c, 9).alias(c) for c in ("lap", "lar", "af1")))
 
 
-@query(f"""WITH {TOKENS_SQL}, r AS (SELECT gt.page, gt.gt_id, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS recall FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1, 2)
-    SELECT page, round(avg((recall >= 0.8)::INT)::DOUBLE, 9) AS accuracy FROM r GROUP BY 1""")
+@query(f"""WITH {TOKENS_SQL}, r AS (SELECT gt.page, gt.gt_id, sum(least(gt.n, coalesce(m, 0))) / sum(gt.n) AS recall FROM gt LEFT JOIN (SELECT l.page, gt_id, token, sum(n) AS m FROM l JOIN pt ON l.page = pt.page AND l.pred_id = pt.pred_id GROUP BY ALL) x ON gt.page = x.page AND gt.gt_id = x.gt_id AND gt.token = x.token GROUP BY 1, 2),
+    q AS (SELECT DISTINCT page FROM g) SELECT q.page, round(coalesce(avg((recall >= 0.8)::INT), 1)::DOUBLE, 9) AS accuracy FROM q LEFT JOIN r ON q.page = r.page GROUP BY 1""")
 def grounding_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.grounding_accuracy(*token_pages(spark, sf_dir), ["page"]).withColumn("accuracy", F.round("accuracy", 9))
+    return L.page_scores(*token_pages(spark, sf_dir), ["page"]).select("page", F.round("grounding", 9).alias("accuracy"))
+
+
+# Of a pair of element and prediction: tokens that only the other element under the prediction has are taken off the prediction.
+ELEMENTS_SQL = f"""{TOKENS_SQL},
+    pair AS (SELECT l.page, l.gt_id, l.pred_id, o.gt_id AS other FROM l LEFT JOIN l o ON o.pred_id = l.pred_id AND o.gt_id <> l.gt_id),
+    kept AS (SELECT pair.gt_id, pair.pred_id, pt.token, greatest(pt.n - greatest(coalesce(og.n, 0) - coalesce(eg.n, 0), 0), 0) AS n, coalesce(eg.n, 0) AS e
+             FROM pair JOIN pt ON pt.pred_id = pair.pred_id LEFT JOIN gt og ON og.gt_id = pair.other AND og.token = pt.token LEFT JOIN gt eg ON eg.gt_id = pair.gt_id AND eg.token = pt.token),
+    f AS (SELECT gt_id, pred_id, sum(least(n, e)) AS hit, sum(n) AS size FROM kept GROUP BY ALL), s AS (SELECT gt_id, sum(n) AS n FROM gt GROUP BY 1),
+    best AS (SELECT s.gt_id, max(coalesce(CASE WHEN size > 0 THEN 2 * hit / (s.n + size) END, 0)) AS score FROM s LEFT JOIN f ON f.gt_id = s.gt_id GROUP BY 1),
+    e AS (SELECT d.doc_id // 4 AS page, d.doc_id AS id, d.lang, coalesce(d.lang = CASE WHEN p.doc_id % 5 = 0 THEN 'none' ELSE p.lang END, false) AS classified, score, score >= 0.8 AS attributed
+          FROM documents d JOIN documents p ON p.doc_id = d.doc_id - CASE WHEN d.doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END LEFT JOIN best ON best.gt_id = d.doc_id)"""
+
+
+@query(f"WITH {ELEMENTS_SQL} SELECT page, id, true AS localised, classified, round(score::DOUBLE, 9) AS attribution, attributed, classified AND coalesce(attributed, true) AS passed FROM e")
+def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of every page with its three checks; attribution takes off what a merged prediction holds of its neighbours."""
+    return L.elements(*token_pages(spark, sf_dir), ["page"]).select("page", "id", "localised", "classified", F.round("attribution", 9).alias("attribution"), "attributed", "passed")
+
+
+@query(f"""WITH {ELEMENTS_SQL} SELECT lang, 1.0::DOUBLE AS localisation, round(avg(classified::INT), 9) AS classification, round(avg(attributed::INT), 9) AS attribution,
+    round((count(*) + sum(classified::INT) + sum(coalesce(attributed, false)::INT)) / (2 * count(*) + count(attributed))::DOUBLE, 9) AS layout_rule_pass_rate, round(avg((classified AND coalesce(attributed, true))::INT), 9) AS layout_element_rule_pass_rate FROM e GROUP BY 1""")
+def layout_rule_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of each class of elements (here a language): three checks pooled, and whole elements."""
+    rows = L.elements(*token_pages(spark, sf_dir), ["page"]).withColumnRenamed("cls", "lang")
+    out = L.rates(rows, ["lang"])
+    return out.select("lang", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
+
+
+@query(f"""WITH {TOKENS_SQL}, d AS (SELECT doc_id, lang FROM documents), n AS (SELECT pred_id, sum(n) AS n FROM pt GROUP BY 1),
+    x AS (SELECT l.page, lang, l.pred_id, token, sum(gt.n) AS m FROM l JOIN d ON d.doc_id = l.gt_id JOIN gt ON gt.gt_id = l.gt_id WHERE lang IS NOT NULL GROUP BY ALL),
+    own AS (SELECT DISTINCT l.page, lang, l.pred_id FROM l JOIN d ON d.doc_id = l.gt_id WHERE lang IS NOT NULL),
+    h AS (SELECT own.page, own.lang, sum(n.n) AS tokens FROM own JOIN n ON n.pred_id = own.pred_id GROUP BY ALL), m AS (SELECT x.page, lang, sum(least(pt.n, m)) AS hit FROM x JOIN pt ON pt.pred_id = x.pred_id AND pt.token = x.token GROUP BY ALL)
+    SELECT h.page, h.lang AS cls, round((coalesce(hit, 0) / tokens)::DOUBLE, 9) AS lap, tokens::BIGINT AS tokens FROM h LEFT JOIN m ON h.page = m.page AND h.lang = m.lang""")
+def lap_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.class_precision(*token_pages(spark, sf_dir), ["page"]).withColumn("lap", F.round("lap", 9))
+
+
+@query(f"""WITH {TOKENS_SQL},
+    a AS (SELECT pt.page, sum(least(pt.n, coalesce(m, 0)))::DOUBLE AS hit, sum(pt.n)::DOUBLE AS n FROM pt LEFT JOIN (SELECT l.page, pred_id, token, sum(n) AS m FROM l JOIN gt ON l.page = gt.page AND l.gt_id = gt.gt_id GROUP BY ALL) x ON pt.page = x.page AND pt.pred_id = x.pred_id AND pt.token = x.token GROUP BY 1),
+    q AS (SELECT DISTINCT page FROM g) SELECT q.page % 7 AS part, count(*) AS pages, round(avg(coalesce(hit / n, 1)), 9) AS lap, round(sum(hit) / sum(n), 9) AS lap_by_tokens FROM q LEFT JOIN a ON a.page = q.page GROUP BY 1""")
+def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page scores of each seventh part of the pages, by pages and by tokens."""
+    pages_ = L.page_scores(*token_pages(spark, sf_dir), ["page"]).withColumn("part", F.col("page") % 7)
+    return L.batch_report(pages_, ["part"]).select("part", "pages", F.round("lap", 9).alias("lap"), F.round("lap_by_tokens", 9).alias("lap_by_tokens"))
 
 
 @query()

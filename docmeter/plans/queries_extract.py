@@ -93,10 +93,10 @@ def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", X.date_column(F.element_at(F.array(*forms), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("d"))
 
 
-@query("""SELECT source, lang, count(*) AS rules, count(CASE WHEN doc_id % 10 <> 3 THEN 1 END) AS verified, min(text) AS expected FROM (SELECT *, text FROM documents) GROUP BY 1, 2""".replace("min(text) AS expected", "min_by(substr(text, 1, 50), doc_id) AS expected"))
+@query("""SELECT source, lang, count(*) AS rules, count(CASE WHEN doc_id % 10 <> 3 THEN 1 END) AS verified, min(text) AS expected FROM (SELECT *, text FROM documents) GROUP BY 1, 2""".replace("min(text) AS expected", "min_by(text, doc_id) AS expected"))
 def corpus_group_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    rules = d.select(F.col("source").alias("category"), F.col("lang").alias("pdf"), F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 10 == 3, F.lit(False)).alias("verified"), F.struct("doc_id", F.substring("text", 1, 50).alias("t")).alias("md"))
+    rules = d.select(F.col("source").alias("category"), F.col("lang").alias("pdf"), F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 10 == 3, F.lit(False)).alias("verified"), F.struct("doc_id", F.col("text").alias("t")).alias("md"))
     return corpus.group_counts(rules).select(F.col("category").alias("source"), F.col("pdf").alias("lang"), "rules", "verified", "expected")
 
 

@@ -82,7 +82,7 @@ def table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.document_metrics(region_tables(spark, sf_dir), "region", "html", "pred")
 
 
-VALUE_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '$' || p_size::VARCHAR || ',000' WHEN 1 THEN '(' || p_size::VARCHAR || ')' WHEN 2 THEN p_size::VARCHAR || '%' WHEN 3 THEN p_size::VARCHAR || ' million' ELSE 'none' END AS t, CASE p_partkey % 5 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN -p_size WHEN 2 THEN p_size WHEN 3 THEN p_size * 1e6 END::DOUBLE AS number FROM part"
+VALUE_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '$' || p_size::VARCHAR || ',000' WHEN 1 THEN '(' || p_size::VARCHAR || ')' WHEN 2 THEN p_size::VARCHAR || '%' WHEN 3 THEN p_size::VARCHAR || ' million' ELSE 'none' END AS t, CASE p_partkey % 5 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN NULL WHEN 2 THEN p_size WHEN 3 THEN p_size * 1e6 END::DOUBLE AS number FROM part"
 
 
 def part_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import formatting as S
-from ..operators import forms
 from ..operators import text_rules as R
 from .catalog import query, read
 
@@ -26,11 +25,14 @@ def fold_sql(c: str) -> str:
 @query(f"""WITH d AS (SELECT doc_id, source, {fold_sql("text")} AS t FROM documents), b AS (SELECT item_id, {fold_sql("text")} AS q FROM benchmark),
     r AS (SELECT source, doc_id, item_id, contains(t, q) AS hit FROM d, b) SELECT source, count(*) AS total, count(CASE WHEN hit THEN 1 END) AS passed, count(CASE WHEN NOT hit THEN 1 END) AS absent_passed FROM r GROUP BY 1""")
 def rule_present_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presence and absence of every benchmark passage (a rule table of some hundred rows, whatever the corpus) in every document."""
-    d = read(spark, sf_dir, "documents").select("source", fold(F.col("text")).alias("t"))
-    q = read(spark, sf_dir, "benchmark").select(fold(F.col("text")).alias("q")).agg(F.collect_list("q").alias("qs"))
-    rows = d.join(F.broadcast(q)).select("source", F.size("qs").alias("n"), F.size(F.filter("qs", lambda x: F.contains(F.col("t"), x))).alias("hit"))
-    return rows.groupBy("source").agg(F.sum("n").cast("long").alias("total"), F.sum("hit").cast("long").alias("passed"), F.sum(F.col("n") - F.col("hit")).cast("long").alias("absent_passed"))
+    """Presence and absence of every benchmark passage in every document, whatever the sizes of both."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", fold(F.col("text")).alias("t"))
+    q = read(spark, sf_dir, "benchmark").select("item_id", fold(F.col("text")).alias("q"))
+    hits = R.passages_in(d.select("doc_id", "t"), q, "doc_id", "t", "item_id", "q").join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("hits"))
+    n = q.where("q is not null").agg(F.count(F.lit(1)).alias("n"))
+    total = d.where("t is not null").groupBy("source").agg(F.count(F.lit(1)).alias("docs")).join(F.broadcast(n))  # one row
+    out = total.join(hits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("docs") * F.col("n")).alias("total"), F.coalesce("hits", F.lit(0)).alias("passed"))
+    return out.withColumn("absent_passed", F.col("total") - F.col("passed"))
 
 
 @query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 AS n, (length(lower(text)) - length(replace(lower(text), 'the ', ''))) // 4 = 3 AS passed FROM documents")
@@ -39,22 +41,27 @@ def rule_present_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", R.occurrences(t, q).alias("n"), R.present_exact(t, q, 3).alias("passed"))
 
 
-@query()
+# A page's title with its first letter changed is present within 5 edits, a text of other letters is not.
+@query("SELECT page_id, page_id % 2 = 0 AS passed FROM pages WHERE length(regexp_extract(html, '<title>([^<]*)', 1)) > 0")
 def rule_present_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages against the page titles: partial ratio from max(0.7, 1 - 5 / length)."""
-    p = read(spark, sf_dir, "pages").select("page_id", T.normalize(F.regexp_extract("html", r"<title>([^<]*)", 1)).alias("t"))
-    return p.select("page_id", R.presence_udf()(F.col("t"), F.substring("t", 3, 40), F.lit(5.0), F.lit(None).cast("int"), F.lit(False)).alias("passed"))
+    """Changed titles in the whole pages: partial ratio from max(0.7, 1 - 5 / length)."""
+    p = read(spark, sf_dir, "pages").select("page_id", T.normalize("html").alias("t"), F.trim(T.normalize(F.regexp_extract("html", r"<title>([^<]*)", 1))).alias("q")).where("q <> ''")
+    q = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("#"), F.expr("substr(q, 2)"))).otherwise(F.lit("zzzzqqqqzzzzqqqqzzzzqqqqzzzzqqqqzzzzqqqq"))
+    return p.select("page_id", R.presence_udf()(F.col("t"), q, F.lit(5.0), F.lit(None).cast("int"), F.lit(False)).alias("passed"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) <= 400 AS blank_ok, regexp_matches(text, '[\\p{L}\\p{N}]') AS passed FROM documents WHERE length(text) <= 50")
-def rule_baseline_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return read(spark, sf_dir, "documents").where(F.length("text") <= 50).select("doc_id", R.baseline(t, max_length=400).alias("blank_ok"), R.baseline(t).alias("passed"))
+DULL_SQL = """WITH d AS (SELECT doc_id, text, length(text) AS n, least(200, length(text)) AS size FROM documents), s AS (SELECT *, least(5, greatest(1, n // greatest(size, 1))) AS samples FROM d),
+    w AS (SELECT *, CASE WHEN samples > 1 THEN greatest(1, (n - size) // greatest(samples - 1, 1)) ELSE 0 END AS step FROM s)
+    SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) <= 400 AS blank_ok, regexp_matches(text, '[\\p{L}\\p{N}]')
+        AND NOT (n > 50 AND len(list_filter(range(samples), lambda i: len(list_distinct(string_split(substr(text, (i * step + 1)::BIGINT, size), ''))) < 3)) > samples // 2)
+        AND NOT regexp_matches(text, '[一-鿿぀-ヿ\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}]') AS passed FROM w"""
 
 
-@query()
+@query(DULL_SQL)
 def rule_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", R.baseline(F.col("text")).alias("passed"))
+    """Blank pages (at most 400 letters and digits) and pages that say something."""
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", R.baseline(t, max_length=400).alias("blank_ok"), R.baseline(t).alias("passed"))
 
 
 CONV_SQL = """SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t, min_by(text, turn) AS a, max_by(text, turn) AS b FROM conversations GROUP BY 1"""
@@ -68,7 +75,7 @@ def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Ground truth: a document's words; prediction: without each eleventh word, each thirteenth twice.
 BAGS_SQL = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS item, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{2,}'), 1) AS i FROM documents),
-    e AS (SELECT doc_id, item, count(*) AS e FROM w GROUP BY ALL), a AS (SELECT doc_id, item, sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) AS a FROM w GROUP BY ALL HAVING sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) > 0),
+    e AS (SELECT doc_id, item, count(*) AS e FROM w GROUP BY ALL), a AS (SELECT doc_id, item, sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) AS a FROM w GROUP BY ALL HAVING sum(CASE WHEN i % 11 = 0 THEN 0 WHEN i % 13 = 0 THEN 2 ELSE 1 END) > 0 UNION ALL SELECT doc_id, 'zzqqzz', 1 FROM documents WHERE doc_id % 7 = 0),
     j AS (SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, coalesce(e, 0) AS e, coalesce(a, 0) AS a FROM e FULL JOIN a ON e.doc_id = a.doc_id AND e.item = a.item)"""
 
 
@@ -77,11 +84,11 @@ def bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "item"))
     i = F.col("i") + 1
     n = F.sum(F.when(i % 11 == 0, 0).when(i % 13 == 0, 2).otherwise(1))
-    return w.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n")), w.groupBy("doc_id", "item").agg(n.alias("n")).where("n > 0")
+    return w.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n")), w.groupBy("doc_id", "item").agg(n.alias("n")).where("n > 0").unionByName(read(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("doc_id", F.lit("zzqqzz").alias("item"), F.lit(1).cast("long").alias("n")))
 
 
-@query(f"""WITH {BAGS_SQL} SELECT doc_id, round((sum(least(a, e)) / sum(e))::DOUBLE, 9) AS missing_percent, round((CASE WHEN sum(a) > 0 THEN sum(CASE WHEN e > 0 THEN a ELSE 0 END) / sum(a) ELSE 1 END)::DOUBLE, 9) AS unexpected_percent,
-    round((1 - sum(greatest(a - e, 0)) / sum(greatest(a, e)))::DOUBLE, 9) AS too_many_percent, sum(least(a, e)) = sum(e) AS missing, true AS unexpected, sum(greatest(a - e, 0)) = 0 AS too_many, sum(greatest(a - e, 0)) = 0 AS extra_content FROM j GROUP BY 1""")
+@query(f"""WITH {BAGS_SQL} SELECT doc_id, round((CASE WHEN sum(e) > 0 THEN sum(least(a, e)) / sum(e) ELSE 1 END)::DOUBLE, 9) AS missing_percent, round((CASE WHEN sum(a) > 0 THEN sum(CASE WHEN e > 0 THEN a ELSE 0 END) / sum(a) ELSE 1 END)::DOUBLE, 9) AS unexpected_percent,
+    round((CASE WHEN sum(e) > 0 THEN 1 - sum(CASE WHEN e > 0 THEN greatest(a - e, 0) ELSE 0 END) / sum(CASE WHEN e > 0 THEN greatest(a, e) ELSE 0 END) ELSE 1 END)::DOUBLE, 9) AS too_many_percent, sum(least(a, e)) = sum(e) AS missing, doc_id % 7 <> 0 AS unexpected, sum(CASE WHEN e > 0 THEN greatest(a - e, 0) ELSE 0 END) = 0 AS too_many, sum(CASE WHEN e > 0 THEN greatest(a - e, 0) ELSE 0 END) = 0 AND doc_id % 7 <> 0 AS extra_content FROM j GROUP BY 1""")
 def word_bag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.extra_content(R.bag_scores(*bags(spark, sf_dir), "doc_id"))
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_percent")})
@@ -108,11 +115,10 @@ def bag_of_digit_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", e.alias("e"), a.alias("a")).select("page_id", F.round(R.digit_score(F.col("e"), F.col("a")), 9).alias("score"))
 
 
-@query(f"WITH b AS (SELECT item_id, {fold_sql('text')} AS text FROM benchmark) SELECT item_id, round(1 - levenshtein(substr(text, 1, 120), substr(text, 5, 120)) / greatest(length(substr(text, 1, 120)), length(substr(text, 5, 120)))::DOUBLE, 9) AS similarity FROM b")
+@query(f"WITH b AS (SELECT item_id, {fold_sql('text')} AS text FROM benchmark) SELECT item_id, round(1 - levenshtein(text, substr(text, 5)) / greatest(length(text), length(substr(text, 5)))::DOUBLE, 9) AS similarity FROM b")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fold(F.col("text"))
-    a, b = F.substring(t, 1, 120), F.substring(t, 5, 120)
-    return read(spark, sf_dir, "benchmark").select("item_id", F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 9).alias("similarity"))
+    a, b = F.col("t"), F.expr("substr(t, 5)")
+    return read(spark, sf_dir, "benchmark").select("item_id", fold(F.col("text")).alias("t")).select("item_id", F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 9).alias("similarity"))
 
 
 @query("SELECT doc_id, " + fold_sql("text") + " AS t FROM documents")
@@ -142,88 +148,31 @@ def title_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.title_events(read(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("SELECT page_id, true AS passed FROM pages WHERE regexp_matches(html, '(?is)<h1\\b[^>]*>.*[A-Za-z].*?</h1>')")
+@query("SELECT page_id, page_id % 2 = 0 AS passed FROM pages WHERE regexp_matches(html, '(?is)<h1\\b[^>]*>.*[A-Za-z].*?</h1>')")
 def rule_is_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first heading of each page; every second page is asked for more than it says."""
     p = read(spark, sf_dir, "pages")
     e = S.title_events(p, "page_id", "html")
     rules = p.select("page_id", F.trim(T.normalize(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))).alias("wanted")).where("wanted <> ''")
+    rules = rules.withColumn("wanted", F.when(F.col("page_id") % 2 == 0, F.col("wanted")).otherwise(F.concat("wanted", F.lit(" zz"))))
     return S.is_title(e, rules, "page_id").select("page_id", "passed")
 
 
-@query("SELECT page_id, regexp_matches(html, '(?is)<b>[^<\\s]+.*?</b>') AS bold, false AS marked FROM pages")
+@query("SELECT page_id, page_id % 3 = 0 AS bold, page_id % 3 <> 0 AS not_bold FROM pages WHERE trim(translate(regexp_extract(html, '<title>([^<]*)', 1), '*#~_', '')) <> ''")
 def rule_is_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.translate("html", "*#~_", "")
-    word = F.regexp_extract(h, r"(?is)<b>([^<\s]+)", 1)
-    return read(spark, sf_dir, "pages").select("page_id", (S.has_style(h, word, "bold") & (word != "")).alias("bold"), S.has_style(h, F.lit("no such text here"), "mark").alias("marked"))
+    """The first word of a page's title, which every third page has in bold."""
+    t = F.trim(F.translate(F.regexp_extract("html", r"<title>([^<]*)", 1), "*#~_", ""))
+    p = read(spark, sf_dir, "pages").select("page_id", t.alias("t")).where("t <> ''")
+    p = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("**"), "t", F.lit("** and more"))).otherwise(F.concat("t", F.lit(" **and more**"))).alias("md"), F.split("t", " ")[0].alias("w"))
+    return p.select("page_id", S.has_style(F.col("md"), F.col("w"), "bold").alias("bold"), S.lacks_style(F.col("md"), F.col("w"), "bold").alias("not_bold"))
 
 
-@query("SELECT page_id, true AS footer FROM pages WHERE contains(html, '<footer>')")
+@query("SELECT page_id, page_id % 2 = 0 AS footer FROM pages WHERE contains(html, '<footer>')")
 def rule_is_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole footers; every second page is asked for more than it says."""
     p = read(spark, sf_dir, "pages").where(F.contains("html", F.lit("<footer>"))).select("page_id", S.html_sections(F.col("html"), "footer").alias("s"))
-    return p.select("page_id", S.in_sections(F.col("s"), F.substring(F.element_at("s", 1), 1, 20)).alias("footer"))
-
-
-STYLED = [
-    (1, "**Bold words** and *slanted ones*, ~~gone~~, x<sup>2</sup>, <u>under</u>, <mark style=\"color:red\">red</mark>", "bold", "Bold words", True),
-    (2, "**Bold words** and *slanted ones*", "italic", "slanted ones", True), (3, "~~gone~~ but here", "strikeout", "gone", True), (4, "~~gone~~ but here", "strikeout", "here", False),
-    (5, "x<sup>2</sup>", "sup", "2", True), (6, "H<sub>2</sub>O", "sub", "2", True), (7, "<u>under</u>", "underline", "under", True), (8, "<mark>lit</mark>", "mark", "lit", True),
-    (9, "**one** two **three**", "bold", "two", False), (10, "# Head line", "bold", "Head", True), (11, "***both***", "bold", "both", True), (12, "<b>a</b> plain <b>c</b>", "bold", "plain", False),
-]
-
-
-@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({i}, {str(ok).lower()})" for i, _, _, _, ok in STYLED)))
-def rule_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([x[:4] for x in STYLED], "id int, md string, style string, q string")
-    hit = F.lit(None).cast("boolean")
-    for s in S.STYLES:
-        hit = F.when(F.col("style") == s, S.has_style(F.col("md"), F.col("q"), s)).otherwise(hit)
-    return d.select("id", hit.alias("passed"))
-
-
-MARKED = [(1, "Sum: $a + b$ and $$c$$", "$a+b$", "x", "latex", True), (2, "none", "$a$", "x", "latex", False), (3, "```python\nprint(1)\n```\n", "print(1)", "python", "code", True), (4, "```sql\nselect\n```\n", "select", "python", "code", False)]
-
-
-@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({x[0]}, {str(x[5]).lower()})" for x in MARKED)))
-def rule_latex_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([x[:5] for x in MARKED], "id int, md string, q string, lang string, kind string")
-    code = F.exists(T.code_blocks(F.col("md")), lambda b: (F.trim(b["language"]) == F.col("lang")) & F.contains(b["code"], F.col("q")))
-    return d.select("id", F.when(F.col("kind") == "latex", S.is_latex(F.col("md"), F.col("q"))).otherwise(code).alias("passed"))
-
-
-FORMS = [
-    (1, "**Name:** Ada King\n**Town:** Rome", "text", "Name", ["Ada King"], True), (2, "Name: Ada\nTown: Rome", "text", "Town", ["Rome"], True), (3, "Name: Ada", "text", "Name", ["Bob"], False),
-    (4, "| Name | Ada |\n|---|---|\n| Town | Rome |", "text", "Town", ["Rome"], True), (5, "<table><tr><td>Total</td><td>$1,200</td></tr></table>", "text", "Total", ["1200"], True), (6, "- [x] Married\n- [ ] Single", "checkbox", "Married", ["yes"], True),
-    (7, "- [x] Married\n- [ ] Single", "checkbox", "Single", ["yes"], False), (8, "Signature: J. Doe", "signature", "Signature", ["signed"], True), (9, "Signature: ____", "signature", "Signature", [""], True), (10, "nothing", "signature", "Signature", [""], False),
-    (11, "☑ Agree ☐ Refuse", "checkbox", "Agree", ["yes"], True), (12, "| Item | Cost |\n|---|---|\n| Tea | 3 |\n| Milk | 4 |", "text", "Cost (row 2)", ["4"], True), (13, "Name: ~~Bob~~ Ada", "text", "Name", ["Ada"], True),
-]
-
-
-@query("SELECT * FROM (VALUES {}) v(id, passed)".format(", ".join(f"({x[0]}, {str(x[5]).lower()})" for x in FORMS)))
-def rule_form_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([x[:5] for x in FORMS], "id int, md string, kind string, label string, expected array<string>")
-    return d.select("id", forms.field_udf()(F.col("md"), F.col("kind"), F.col("label"), F.col("expected")).alias("passed"))
-
-
-HIER = [(1, "# A\n\n## B\n\n## C\n", '{"A": {"B": {}, "C": {}}}', 1.0), (2, "# A\n\ntext\n", '{"A": {"B": {}}}', 0.333333), (3, "nothing", '{"A": {}}', 0.0)]
-
-
-@query("SELECT * FROM (VALUES {}) v(id, score, passed)".format(", ".join(f"({x[0]}, {x[3]}::DOUBLE, {str(x[3] >= 0.999).lower()})" for x in HIER)))
-def rule_title_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([x[:3] for x in HIER], "id int, md string, wanted string")
-    e = S.title_events(d, "id", "md")
-    return S.title_hierarchy(e, d.select("id", F.lower("wanted").alias("wanted")), "id").select("id", F.round("score", 6).alias("score"), "passed")
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, passed)")
-def rule_mark_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(1, '<mark style="color: red">hot</mark>'), (2, '<mark style="color: blue">hot</mark>'), (3, "hot")], "id int, md string")
-    return d.select("id", S.mark_color(F.col("md"), F.lit("hot"), "red").alias("passed"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, passed)")
-def rule_rotate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(1, 90, None, 90), (2, 0, 90, 0), (3, 0, None, None)], "id int, want int, page int, raw int")
-    return d.select("id", R.rotation(F.col("want"), F.col("page"), F.col("raw")).alias("passed"))
+    own = F.element_at("s", 1)
+    return p.select("page_id", S.in_sections(F.col("s"), F.when(F.col("page_id") % 2 == 0, own).otherwise(F.concat(own, F.lit(" zz")))).alias("footer"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(lower(regexp_replace(html, '<[^>]+>', ' ', 'g')), '[a-z0-9]+')) AS n FROM (SELECT page_id, translate(html, 'ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü', 'ACEEEINOOUaceeeinoou') AS html FROM pages)")
@@ -231,8 +180,8 @@ def attribution_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.size(T.attribution_tokens(F.col("html"))).cast("long").alias("n"))
 
 
-@query("""WITH b AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, '(?:^|[^a-z0-9_])the')) >= 0 AS ok, (length(t) - length(replace(t, 'this work is licensed', ''))) // 21 AS n FROM b""")
+@query("""WITH b AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, len(list_filter(regexp_extract_all(t, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: x = 'the')) AS short, (length(t) - length(replace(t, 'this work is licensed', ''))) // 21 AS n FROM b""")
 def sentence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of a sentence of 20 characters or more, which count anywhere."""
+    """Occurrences of a sentence of 20 characters or more, which count anywhere, and of a short one, which counts between word boundaries."""
     t = F.lower("text")
-    return read(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("ok"), R.contains_sentence(t, F.lit("this work is licensed")).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", R.contains_sentence(t, F.lit("the")).cast("long").alias("short"), R.contains_sentence(t, F.lit("this work is licensed")).cast("long").alias("n"))
