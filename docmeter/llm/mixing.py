@@ -14,11 +14,15 @@ The places of documents in their streams are prefix sums in two levels: a source
 sizes are summed first, so a source with a third of all rows is spread over all tasks.
 
 Defined cases: null text is empty; null source is a source; a source without words has the target 0 and its documents
-take 0; rows that are alike in id, source and size are interchangeable; an empty table gives an empty result.
+take 0; rows that are alike in id, text and source are interchangeable; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +46,8 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
         for i in full:
             out[i] = most * sizes[i]
         left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
+        gone = set(full)
+        free = [i for i in free if i not in gone]
     return out
 
 
@@ -58,14 +63,15 @@ def streams(sized: DataFrame, sources: DataFrame, n_rows: int, seed: int) -> Dat
     """sized rows with sid and start: the words before the row in its source's shuffled order."""
     ranges = max(256, n_rows // 20_000)
     rows = sized.join(sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    h = F.xxhash64("id", F.lit(seed))
+    # The text takes part: rows without an id are spread, too.
+    h = F.xxhash64("id", "text_hash", F.lit(seed))
     rows = rows.withColumn("h", h).withColumn("range", F.floor((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) * ranges).cast("int"))
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("sid").alias("b_sid"), F.col("range").alias("b_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "range").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "range").orderBy("h", "id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, (F.col("sid") == F.col("b_sid")) & (F.col("range") == F.col("b_range"))).withColumn("start", F.col("base") + F.col("inner")).drop("b_sid", "b_range", "base", "inner", "h", "range")
+    return rows.join(sums, (F.col("sid") == F.col("b_sid")) & (F.col("range") == F.col("b_range"))).withColumn("start", F.col("base") + F.col("inner")).drop("b_sid", "b_range", "base", "inner", "h", "range", "text_hash")
 
 
 def schedule(spark, rows: list[dict], block: int) -> DataFrame:
@@ -78,10 +84,16 @@ def schedule(spark, rows: list[dict], block: int) -> DataFrame:
     # Some slots more than words, for the deviation of the points: it grows with the logarithm of their number. A source
     # with few blocks may still lack its last ones: those follow at the end.
     n_slots = int(total / block * 1.01) + 64 * (len(rows) + 1) if total else 0
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1).alias("point"))
-    tops = F.array(*(F.lit(c) for c in cumulative))
-    sid = F.least(F.size(F.filter(tops, lambda c: c <= F.col("point"))), F.lit(len(rows) - 1))
-    slots = slots.withColumn("sid", sid)
+    shared = spark.sparkContext.broadcast(np.array(cumulative))  # 8 bytes for each source
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            point = (slot + 1) * GOLDEN % 1
+            sid = np.minimum(np.searchsorted(shared.value, point, side="right"), len(shared.value) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sid.astype(np.int32))], ["slot", "sid"])
+
+    slots = spark.range(n_slots).mapInArrow(dealt, "slot long, sid int")
     # Ranks in two levels, as a source may own most slots.
     span = 4096
     slots = slots.withColumn("span", F.floor(F.col("slot") / span))
@@ -118,7 +130,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source:
     pieces has slot, key, copy, first and words: in that slot the mix takes so many words of the copy, from its word `first`.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
     sized = stored(sized)
     rows = source_table(sized, most)
     sources = spark.createDataFrame([(r["source"], r["sid"], r["source_size"], float(r["target"])) for r in rows], "source string, sid int, source_size long, target double")
