@@ -394,6 +394,32 @@ def test_mixing(spark, docs):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def plain_taken(docs):
+    """(doc_id, size, source_size, taken) of each row: each source's documents end to end, over and over, up to the target, without blocks or slots."""
+    keyed = docs.withColumn("h", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(17))).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({r["source"] for r in keyed}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(r["text"]) for r in keyed if r["source"] == s) for s in sources}
+    goal = dict(zip(sources, mixing.targets([total[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))]), strict=True))
+    out = []
+    for s in sources:
+        asked, at = int(goal[s] + 0.5), 0
+        # The order of ranges is that of the hash without its sign.
+        own = sorted((r for r in keyed if r["source"] == s), key=lambda r: (int(((r["h"] % (1 << 64)) >> 11) / float(1 << 53) * 256), r["h"]))
+        for r in own:
+            n = size(r["text"])
+            out.append((r["doc_id"], n, total[s], sum(max(0, min(at + c * total[s] + n, asked) - (at + c * total[s])) for c in range(3))))
+            at += n
+    return out
+
+
+def test_mixing_takes_what_plain_streams_take(spark, docs):
+    more = docs.unionByName(docs.where("doc_id between 12 and 40").withColumn("doc_id", F.lit(None).cast("long")))
+    want = Counter(plain_taken(more))
+    got = Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.taken(more).collect())
+    assert got == want
+
+
 def test_schedule_reaches_every_rank(spark):
     targets = [1_000_000.0, *(10.0 + 7 * i for i in range(200))]
     got = pairs(mixing.schedule(spark, [{"sid": i, "target": t, "n": 1} for i, t in enumerate(targets)], 10), "slot", "sid", "rank")
@@ -621,12 +647,13 @@ def test_warc_has_a_leading_dictionary(spark, tmp_path):
     assert list(warc.frames(io.BytesIO(raw))) == recs
 
 
-def test_top_k_brute_force(spark):
+@pytest.mark.parametrize("wave", [32_768, 6])
+def test_top_k_brute_force(spark, wave):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(40)]
     rows += [(900, None), (901, [float("nan")] * 8), (902, [None] + [1.0] * 7), (903, [float("inf")] * 8), (904, [1.0] * 3), (905, [2.0] * 3), (1000, [1e300] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
-    got = sorted(pairs(topk.top_k(df, F.col("vec_id") % 20 == 0, shard=50, tile=4), "query_id", "rank", "vec_id", "score"))
+    got = sorted(pairs(topk.top_k(df, F.col("vec_id") % 20 == 0, shard=50, tile=4, wave=wave), "query_id", "rank", "vec_id", "score"))
     fine = [(i, [int(np.floor(1024 * x)) if abs(x) < 1e200 else int(1024 * x) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in fine:
@@ -654,6 +681,77 @@ def test_pipeline_keeps_rows_without_id(spark):
     assert P.STAGES[-1][1](spark, seen, SF).where("doc_id is null").count() >= sum(own.values())
 
 
+def test_pipeline_stages_are_the_plain_ones(spark):
+    """Each stage on what the stage before kept, with odd rows added, against a version of it in plain Python."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(P.COLUMNS)
+    odd = [(9000 + i, t, [None, "en"][i % 2], [None, "s9"][i % 2], len(t or "")) for i, t in enumerate([None, "", " \n ", "12 34", "idiot", "word " * 60_000])]
+    seen = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("score", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    crc = lambda i: zlib.crc32(str(i).encode())
+
+    def go(name):
+        path = scratch(spark, name)
+        dict(P.STAGES)[name](spark, seen, SF).write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = {r["doc_id"]: r for r in seen.collect()}
+    # Languages: plain distances.
+    table, profiles = langid.symbols(), {}
+    code = lambda g: len(g) << 3 * langid.BITS | sum(int(table[ord(c)]) << langid.BITS * j for j, c in enumerate(reversed(g)))
+    for k in {r["lang"] for r in rows.values()} - {None}:
+        n = Counter()
+        for r in rows.values():
+            if r["lang"] == k and r["text"] is not None and crc(r["doc_id"]) % 5:
+                n.update(plain_grams(r["text"]))
+        profiles[k] = order_of(n, code)
+    near = {}
+    for d, r in rows.items():
+        own = order_of(plain_grams(r["text"] or ""), code)
+        near[d] = max((1 - sum(abs(p[g] - i) if g in p else 300 for g, i in own.items()) / (300 * len(own)) for p in profiles.values()), default=0) if own else -1
+    seen = go("language")
+    assert {r["doc_id"] for r in seen.collect()} == {d for d, x in near.items() if x >= P.LEAST_SCORE}
+    # Toxicity: the machine's plain double sums.
+    machine = toxicity.fit(seen, spark.read.parquet(f"{SF}/labels.parquet"), learn=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    keep = set()
+    for r in seen.collect():
+        x = [place[int(t)] for t in toxicity.terms_of(r["text"]) if int(t) in place]
+        raw = machine.bias + sum(machine.weights[i] for i in x) + sum(float(machine.factors[i] @ machine.factors[j]) for i, j in itertools.combinations(x, 2))
+        if 1 / (1 + np.exp(-raw)) < 0.3:
+            keep.add(r["doc_id"])
+    seen = go("toxicity")
+    assert {r["doc_id"] for r in seen.collect()} == keep
+    # Near-duplicates: all pairs.
+    same = labels_of({r["doc_id"]: shingle_set(r["text"]) for r in seen.collect()})
+    seen = go("near_duplicates")
+    assert sorted(r["doc_id"] for r in seen.collect()) == sorted(d for d, c in same.items() if d == c)
+    # Mix: plain streams, rounded to copies.
+    want = Counter({d: int(t / n + 0.5) for d, n, _, t in plain_taken(seen) if n})
+    seen = go("mix")
+    assert Counter(r["doc_id"] for r in seen.collect()) == +want
+    # Packing: pieces by the library, sequences without gaps or overlaps.
+    tok, places, sizes = bpe.load("word_bpe_49k.json"), {}, Counter()
+    for r in seen.collect():
+        n = len(tok.encode(r["text"] or "", add_special_tokens=False)) + 1
+        sizes.update((r["doc_id"], at, min(4096, n - at)) for at in range(0, n, 4096))
+    got = P.STAGES[-1][1](spark, seen, SF).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == sizes
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
+    assert all([a for a, _ in sorted(x)] == [0, *(b for _, b in sorted(x)[:-1])] and max(b for _, b in x) <= 4096 for x in places.values())
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline as P
+
+    seen = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, seen, SF)
+        assert out.count() == 0, name
+        seen = out if name != P.STAGES[-1][0] else seen
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline as P
 
