@@ -1,6 +1,11 @@
 """Corpus pipeline: language, toxicity, near-duplicates, mix, packing. Each stage reads what its predecessor wrote.
 
-Filtering stages take away the rejected ids, which are few: they are broadcast up to ID_LIMIT rows, and joined by shuffle beyond.
+Filtering stages take away the rejected ids, which are few: they are broadcast up to ID_LIMIT rows, and joined by shuffle beyond. What a
+stage wrote is deleted when the next but one has read what came after it.
+
+Defined cases: a null or empty text has no language and goes in the first stage; rows without an id are kept by near-duplicates, each by
+itself, and mixed by a key of their own; of several rows with one id, one stays after near-duplicates, that of the smallest text by hash; null languages
+and sources are groups of their own; further columns, whatever their names, are left out by the first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmeter.llm import dedup, langid, mixing, packing, toxicity
-from docmeter.llm.common import crc_mod, scratch, stored, table
+from docmeter.llm.common import crc_mod, discard, scratch, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ID_LIMIT = 500_000
@@ -40,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     verdict = stored(dedup.near_duplicates(docs).select("doc_id", "kept"))
     out = docs.select(COLUMNS).join(by_size(stored(verdict.where("not kept").select("doc_id").distinct())), "doc_id", "left_anti")
     if not verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        first = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), "text", "lang", "source", "n_chars"))
+        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").groupBy("doc_id").agg(first.alias("r")).select("r.*"))
     return out.select(COLUMNS)
 
 
@@ -69,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        written.append(path)
+        if len(written) > 1:
+            discard(spark, written.pop(0))
     return STAGES[-1][1](spark, docs, sf_dir)
