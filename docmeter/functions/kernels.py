@@ -89,6 +89,33 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return row[-1]
 
 
+def text_distances(xs: list[str], ys: list[str], longest: int = 48) -> np.ndarray:
+    """Edit distance over the longer length, of all pairs; short texts are compared all at once, one matrix place at a time."""
+    out = np.zeros((len(xs), len(ys)))
+    short = [[i for i, t in enumerate(ts) if len(t) <= longest] for ts in (xs, ys)]
+    own = [[ts[i] for i in ix] for ts, ix in zip((xs, ys), short, strict=True)]
+    if own[0] and own[1]:
+        size = [np.array([len(t) for t in ts]) for ts in own]
+        code = [np.array([[ord(c) for c in t] + [0] * (n.max(initial=0) - len(t)) for t in ts], np.int32).reshape(len(ts), -1) for ts, n in zip(own, size, strict=True)]
+        done = np.zeros((len(own[0]), len(own[1])), np.int16)
+        above = [np.full(done.shape, j, np.int16) for j in range(code[1].shape[1] + 1)]
+        for i in range(code[0].shape[1] + 1):
+            if i:
+                row = [np.full(done.shape, i, np.int16)]
+                for j in range(1, len(above)):
+                    step = above[j - 1] + (code[0][:, i - 1, None] != code[1][None, :, j - 1])
+                    row.append(np.minimum(np.minimum(above[j], row[j - 1]) + 1, step).astype(np.int16))
+                above = row
+            for k in np.flatnonzero(size[0] == i).tolist():
+                done[k] = [above[n][k, c] for c, n in enumerate(size[1].tolist())]
+        out[np.ix_(short[0], short[1])] = done / np.maximum(np.maximum(size[0][:, None], size[1][None, :]), 1)
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            if max(len(x), len(y)) > longest and x != y:
+                out[i, j] = edit_distance(x, y) / max(len(x), len(y))
+    return out
+
+
 def similarity(a: str, b: str) -> float:
     """1 - edit distance / longer length."""
     return 1.0 if a == b else 1 - edit_distance(a, b) / max(len(a), len(b))

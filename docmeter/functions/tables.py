@@ -36,12 +36,17 @@ class Cell:
     header: bool
     rowspan: int = 1
     colspan: int = 1
+    in_head: bool = False
 
 
 @dataclass
 class Table:
     cells: list[Cell] = field(default_factory=list)
     context: str = ""
+    #: Of a row, its section's tag and number; elements in all, with those inside cells; text behind the table.
+    sections: dict[int, tuple[str, int]] = field(default_factory=dict)
+    nodes: int = 0
+    after: str = ""
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -71,9 +76,18 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tables: list[list[list[tuple[str, bool, int, int]]]] = []
-        self.depth, self.cell, self.at = 0, None, None
+        self.sections: list[dict[int, tuple[str, int]]] = []
+        self.nodes: list[int] = []
+        self.depth, self.cell, self.at, self.section = 0, None, None, None
 
     def handle_starttag(self, tag, attrs):
+        if self.depth or tag == "table":
+            if not self.depth:
+                self.nodes.append(0)
+                self.sections.append({})
+            self.nodes[-1] += 1
+        if self.depth == 1 and tag in ("thead", "tbody", "tfoot"):
+            self.section = (tag, len(self.tables[-1]))
         if tag == "table":
             self.depth += 1
             if self.depth == 1:
@@ -81,6 +95,8 @@ class _Reader(HTMLParser):
         elif self.depth == 1 and tag == "tr":
             self.close_cell()
             self.tables[-1].append([])
+            if self.section:
+                self.sections[-1][len(self.tables[-1]) - 1] = self.section
         elif self.depth == 1 and tag in ("td", "th"):
             self.close_cell()
             span = {k: int(v) if v and v.isdigit() else 1 for k, v in attrs if k in ("rowspan", "colspan")}
@@ -91,9 +107,13 @@ class _Reader(HTMLParser):
             self.cell.append(f"<{tag}>")
 
     def handle_endtag(self, tag):
+        if self.depth == 1 and tag in ("thead", "tbody", "tfoot"):
+            self.close_cell()
+            self.section = None
         if tag == "table" and self.depth:
             if self.depth == 1:
                 self.close_cell()
+                self.section = None
             self.depth -= 1
         elif self.depth == 1 and tag in ("td", "th", "tr"):
             self.close_cell()
@@ -132,9 +152,9 @@ def html_tables(text: str, nested: bool = False) -> list[Table]:
     reader.close()
     reader.close_cell()
     out = []
-    for rows in reader.tables:
+    for rows, sections, nodes in zip(reader.tables, reader.sections, reader.nodes, strict=True):
         taken: set[tuple[int, int]] = set()
-        table = Table()
+        table = Table(sections=sections, nodes=nodes)
         for r, row in enumerate(rows):
             c = 0
             for t, head, rs, cs in row:
@@ -142,7 +162,7 @@ def html_tables(text: str, nested: bool = False) -> list[Table]:
                     c += 1
                 rs = min(rs, len(rows) - r)
                 taken.update((r + i, c + j) for i in range(rs) for j in range(cs))
-                table.cells.append(Cell(r, c, t, head, rs, cs))
+                table.cells.append(Cell(r, c, t, head, rs, cs, sections.get(r, ("", 0))[0] == "thead"))
                 c += cs
         if table.cells:
             out.append(table)
@@ -150,7 +170,7 @@ def html_tables(text: str, nested: bool = False) -> list[Table]:
 
 
 def markdown_tables(text: str) -> list[Table]:
-    """Runs of two or more lines with bars; the first row is a header if a rule line follows it. Five lines before are context."""
+    """Runs of two or more lines with bars; the first row is a header if a rule line follows it. Five lines before and two after are context."""
     lines, out, at = (text or "").split("\n"), [], 0
     while at < len(lines):
         end = at
@@ -162,7 +182,7 @@ def markdown_tables(text: str) -> list[Table]:
             head = len(rows) > 1 and rule(rows[1])
             rows = [r for r in rows if not rule(r)]
             width = max(map(len, rows), default=0)
-            t = Table([Cell(i, j, x, head and i == 0) for i, r in enumerate(rows) for j, x in enumerate([*r, *[""] * (width - len(r))])], "\n".join(lines[max(0, at - 5) : at]))
+            t = Table([Cell(i, j, x, head and i == 0) for i, r in enumerate(rows) for j, x in enumerate([*r, *[""] * (width - len(r))])], "\n".join(lines[max(0, at - 5) : at]), after="\n".join(lines[end : end + 2]))
             if t.cells:
                 out.append(t)
         at = max(end, at + 1)
@@ -216,13 +236,13 @@ def f_score(hit: float, n_true: int, n_pred: int) -> tuple[float, float, float]:
     return (2 * p * r / (p + r) if p + r else 0.0), p, r
 
 
-def grits(gt: np.ndarray, pred: np.ndarray) -> dict[str, float]:
+def grits(gt: np.ndarray, pred: np.ndarray) -> dict:
     """Content similarity of two grids: rows and columns aligned apart, then cells that both alignments pair."""
     if not gt.size or not pred.size:
-        return {"f": 0.0, "precision": 0.0, "recall": 0.0, "bound": 0.0}
+        return {"f": 0.0, "precision": 0.0, "recall": 0.0, "bound": 0.0, "rows": [], "cols": []}
     (a, b), (c, d) = gt.shape, pred.shape
     if max(a * b, c * d) >= BIG_CELLS and (max(a, c) / min(a, c) > BIG_RATIO or max(b, d) / min(b, d) > BIG_RATIO):
-        return {"f": 0.0, "precision": 0.0, "recall": 0.0, "bound": 0.0}
+        return {"f": 0.0, "precision": 0.0, "recall": 0.0, "bound": 0.0, "rows": [], "cols": []}
     norm = np.vectorize(cell_text, otypes=[object])
     x, ix = np.unique(norm(gt).astype(str), return_inverse=True)
     y, iy = np.unique(norm(pred).astype(str), return_inverse=True)
@@ -241,7 +261,7 @@ def grits(gt: np.ndarray, pred: np.ndarray) -> dict[str, float]:
     rows, cols = outer(reward), outer(reward.transpose(1, 0, 3, 2))
     hit = sum(reward[i, j, k, m] for i, k in rows[1] for j, m in cols[1])
     f, p, r = f_score(float(hit), a * b, c * d)
-    return {"f": f, "precision": p, "recall": r, "bound": f_score(min(rows[0], cols[0]), a * b, c * d)[0]}
+    return {"f": f, "precision": p, "recall": r, "bound": f_score(min(rows[0], cols[0]), a * b, c * d)[0], "rows": rows[1], "cols": cols[1]}
 
 
 def column_keys(t: Table, heads: set[int]) -> tuple[list[str], list[bool]]:
@@ -288,71 +308,6 @@ def record_match(gt: Table, pred: Table) -> float:
     return float(sum(m[i, j] for i, j in K.assignment(m)) / max(len(a), len(b)))
 
 
-def tree(t: Table) -> list[tuple[int, str, tuple[int, int], str]]:
-    """A table as an ordered tree in pre-order: depth, tag, spans, text."""
-    out = [(0, "table", (1, 1), "")]
-    row = None
-    for c in sorted(t.cells, key=lambda c: (c.row, c.col)):
-        if c.row != row:
-            row = c.row
-            out.append((1, "tr", (1, 1), ""))
-        out.append((2, "th" if c.header else "td", (c.rowspan, c.colspan), cell_text(c.text)))
-    return out
-
-
-def tree_distance(a: list, b: list, cost) -> float:
-    """Ordered tree edit distance, insertions and deletions of 1, by key roots."""
-
-    def post(nodes):
-        order, stack = [], []
-        left: list[int] = []
-        for n in [*nodes, None]:
-            first = None
-            while stack and (n is None or stack[-1][0][0] >= n[0]):
-                node, lm = stack.pop()
-                order.append(node)
-                lm = len(order) - 1 if lm is None else lm
-                left.append(lm)
-                if stack and stack[-1][1] is None:
-                    stack[-1][1] = lm
-                first = lm
-            del first
-            if n is not None:
-                stack.append([n, None])
-        roots = [i for i in range(len(order)) if not any(left[j] == left[i] for j in range(i + 1, len(order)))]
-        return order, left, roots
-
-    (an, al, ar), (bn, bl, br) = post(a), post(b)
-    dist = np.zeros((len(an), len(bn)))
-    change = np.array([[cost(x, y) for y in bn] for x in an])
-    for i in ar:
-        for j in br:
-            n, m, io, jo = i - al[i] + 2, j - bl[j] + 2, al[i] - 1, bl[j] - 1
-            f = np.zeros((n, m))
-            f[:, 0], f[0, :] = np.arange(n), np.arange(m)
-            for x in range(1, n):
-                for y in range(1, m):
-                    p, q = x + io, y + jo
-                    if al[p] == al[i] and bl[q] == bl[j]:
-                        f[x, y] = min(f[x - 1, y] + 1, f[x, y - 1] + 1, f[x - 1, y - 1] + change[p, q])
-                        dist[p, q] = f[x, y]
-                    else:
-                        f[x, y] = min(f[x - 1, y] + 1, f[x, y - 1] + 1, f[al[p] - 1 - io, bl[q] - 1 - jo] + dist[p, q])
-    return float(dist[-1, -1])
-
-
-def teds(gt: Table, pred: Table, structure: bool = False) -> float:
-    """1 - tree edit distance / nodes of the larger tree. A changed tag or span costs 1; otherwise texts of data cells cost their normalised edit distance."""
-
-    def cost(x, y) -> float:
-        if x[1] != y[1] or x[2] != y[2]:
-            return 1.0
-        return 0.0 if structure or x[1] != "td" else 1 - K.similarity(x[3], y[3]) if x[3] or y[3] else 0.0
-
-    a, b = tree(gt), tree(pred)
-    return max(0.0, 1 - tree_distance(a, b, cost) / max(len(a), len(b)))
-
-
 def consistent(t: Table) -> bool:
     """All rows equally wide and all columns equally high, spans counted."""
     rows, cols = t.shape
@@ -362,40 +317,41 @@ def consistent(t: Table) -> bool:
     return bool((filled == 1).all())
 
 
-def header_scores(gt: Table, pred: Table) -> dict[str, float]:
-    """Count, content and depth of the header cells, and their mean."""
-    a, b = (([c for c in t.cells if c.header]) for t in (gt, pred))
-    if not a:
-        return {"count": 1.0, "content": 1.0, "depth": 1.0, "composite": 1.0} if not b else {"count": 0.0, "content": 0.0, "depth": 0.0, "composite": 0.0}
-    x, y = Counter(cell_text(c.text) for c in a), Counter(cell_text(c.text) for c in b)
-    depth = [len({c.row for c in s}) for s in (a, b)]
-    out = {"count": min(len(a), len(b)) / max(len(a), len(b)), "content": sum((x & y).values()) / len(a), "depth": min(depth) / max(depth)}
-    return out | {"composite": sum(out.values()) / 3}
+def document_scores(expected: str, actual: str, *, trm_unsupported: bool = False) -> dict[str, float | None]:
+    """Table metrics of a document: tables are paired to maximise content similarity, and unpaired expected ones count 0.
 
+    Where records can't be matched (trm_unsupported), the composite is the content score alone.
+    """
+    from . import headers, trees
 
-def document_scores(expected: str, actual: str) -> dict[str, float | None]:
-    """Table metrics of a document: tables are paired to maximise content similarity, and unpaired expected ones count 0."""
     gt, pred = tables(expected), tables(actual)
-    out: dict[str, float | None] = {"tables_expected": float(len(gt)), "tables_actual": float(len(pred)), "structural_consistency": float(all(map(consistent, pred)))}
+    out: dict[str, float | None] = {"tables_expected": float(len(gt)), "tables_actual": float(len(pred)), "structural_consistency": sum(map(consistent, pred)) / len(pred) if pred else 1.0}
     if not gt:
-        return out | dict.fromkeys(("grits_con", "table_record_match", "trm_perfect", "teds", "teds_struct", "header_composite", "grits_trm_composite"))
+        return out | dict.fromkeys(("tables_paired", "grits_con", "table_record_match", "trm_perfect", *trees.VARIANTS, *(f"header_{k}" for k in (*headers.SUBMETRICS, "perfect", "composite", "generous")), "grits_trm_composite", "table_composite", "table_composite_harmonic"))
     plain = [strip_titles(t) for t in pred]
     if len(gt) > len(plain):
         plain = [s for t in plain for s in split_merged(t, len(gt) - len(plain) + 1)]
-    bare = [strip_titles(t) for t in gt]
-    score = np.array([[grits(g.grid(), p.grid())["f"] for p in plain] for g in bare]).reshape(len(bare), len(plain))
+    bare, n = [strip_titles(t) for t in gt], len(gt)
+    score = np.array([[grits(g.grid(), p.grid())["f"] for p in plain] for g in bare]).reshape(n, len(plain))
     pairs = [(i, j) for i, j in K.assignment(score) if score[i, j] > 0]
+    mean = lambda x: float(sum(x)) / n
     rec = [record_match(bare[i], plain[j]) for i, j in pairs]
-    raw = np.array([[teds(g, p) for p in pred] for g in gt]).reshape(len(gt), len(pred))
-    best = K.assignment(raw)
-    n = len(gt)
-    out["grits_con"] = float(sum(score[i, j] for i, j in pairs)) / n
-    out["table_record_match"] = sum(rec) / n
-    out["trm_perfect"] = sum(r == 1.0 for r in rec) / n
-    out["teds"] = float(sum(raw[i, j] for i, j in best)) / n
-    out["teds_struct"] = sum(teds(gt[i], pred[j], True) for i, j in best) / n
-    out["header_composite"] = sum(header_scores(bare[i], plain[j])["composite"] for i, j in pairs) / n
-    out["grits_trm_composite"] = (out["grits_con"] + out["table_record_match"]) / 2
+    own, other = [trees.Tree(t) for t in gt], [trees.Tree(t) for t in pred]
+    raw = [[trees.teds(g, p, trees=(x, y)) for p, y in zip(pred, other, strict=True)] for g, x in zip(gt, own, strict=True)]
+    best = K.assignment(np.array([[r["teds"] for r in row] for row in raw]).reshape(n, len(pred)))
+    out["tables_paired"] = float(len(pairs))
+    out["grits_con"] = mean(score[i, j] for i, j in pairs)
+    out["table_record_match"] = None if trm_unsupported else mean(rec)
+    out["trm_perfect"] = None if trm_unsupported else mean(r == 1.0 for r in rec)
+    for v in trees.VARIANTS:
+        out[v] = mean(raw[i][j][v] for i, j in best)
+    heads = [headers.scores(bare[i], plain[j]) for i, j in pairs]
+    for k in (*headers.SUBMETRICS, "perfect", "composite"):
+        out[f"header_{k}"] = mean(h[k] for h in heads)
+    out["header_generous"] = mean(headers.generous(bare[i], plain[j]) for i, j in pairs)
+    out["grits_trm_composite"] = out["grits_con"] if trm_unsupported else (out["grits_con"] + out["table_record_match"]) / 2
+    g, h = out["grits_con"], out["header_composite"]
+    out["table_composite"], out["table_composite_harmonic"] = g * h, 2 * g * h / (g + h) if g + h else 0.0
     return out
 
 

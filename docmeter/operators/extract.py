@@ -15,25 +15,34 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 # Date patterns in the order they are tried, tick marks, and tolerances.
-DATES = ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y", "%d %B %Y", "%B %d, %Y", "%d %b %Y", "%b %d, %Y", "%Y%m%d")
-SPARK_DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy")
+DATES = ("%Y-%m-%d", "%m/%d/%Y", "%m-%d-%Y", "%B %d %Y", "%b %d %Y", "%A %B %d %Y", "%a %b %d %Y", "%A %b %d %Y", "%a %B %d %Y", "%d %B %Y", "%d %b %Y")
+SPARK_DATES = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
+DAY_FIRST = ("%d/%m/%Y", "%d-%m-%Y")
 TRUE, FALSE = {"true", "yes", "y", "1", "on", "checked", "☑", "☒", "✓", "✔", "x"}, {"false", "no", "n", "0", "off", "unchecked", "☐", ""}
 NUMERIC, STRING = 1e-6, 0.90
 PATH = re.compile(r"[^.\[\]]+|\[\d+\]")
 
 
 def iso_date(t: str) -> str | None:
-    for f in DATES:
+    """The day that a text of 4 to 50 characters names: numbers with the year first, or the month first (the day, if it can't be a month), or month names."""
+    t = t.strip() if isinstance(t, str) else ""
+    if not 4 <= len(t) <= 50 or t.isdigit() or re.search(r"\d{10,}", t):
+        return None
+    t = re.sub(r"\s+", " ", t.replace(",", " ").replace(".", " ")).strip()
+    for f in (*DATES, *DAY_FIRST):
         try:
-            return datetime.strptime(t.strip(), f).date().isoformat()
+            return datetime.strptime(t, f).date().isoformat()
         except ValueError:
             continue
     return None
 
 
 def date_column(t: Column) -> Column:
-    """The first date pattern that fits, as ISO text."""
-    return F.date_format(F.coalesce(*(F.try_to_date(F.trim(t), f) for f in SPARK_DATES)), "yyyy-MM-dd")
+    """The first date pattern that fits, as ISO text; weekday names are passed over, and a day stands first only where it can't be a month."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(t, "[,.]", " "), r"\s+", " "))
+    bare = F.regexp_replace(bare, r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)? ", "")
+    day = F.coalesce(*(F.try_to_date(bare, f) for f in (*SPARK_DATES, "d/M/yyyy", "d-M-yyyy")))
+    return F.when(F.length(F.trim(t)).between(4, 50) & ~t.rlike(r"^\d+$|\d{10,}"), F.date_format(day, "yyyy-MM-dd"))
 
 
 def steps(path: str) -> list[str | int]:
@@ -219,7 +228,7 @@ def index_tolerant(expected: DataFrame, actual: DataFrame, key: str) -> DataFram
     a = actual.select(key, F.col("path").alias("got_path"), pattern(F.col("path")).alias("p"), F.col("value").alias("v"))
     same = e.join(a, [key, "p", "v"]).where("path = got_path").select(key, "path", "got_path", "p", "v")
     w = lambda c: F.row_number().over(Window.partitionBy(key, "p", "v").orderBy(c))
-    rest = e.join(same.select(key, "path"), [key, "path"], "left_anti").withColumn("k", w("path")).join(a.join(same.select(key, "got_path"), [key, "got_path"], "left_anti").withColumn("k", w("got_path")), [key, "p", "v", "k"])
+    rest = e.join(same.select(key, "path"), [key, "path"], "left_anti").withColumn("__k", w("path")).join(a.join(same.select(key, "got_path"), [key, "got_path"], "left_anti").withColumn("__k", w("got_path")), [key, "p", "v", "__k"])
     return same.select(key, "path", "got_path").unionByName(rest.select(key, "path", "got_path"))
 
 

@@ -8,11 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import headers, trees
 from ..functions import tables as T
 from ..functions.kernels import indel_ratio
 
 CELLS = "table_id int, row int, col int, text string, header boolean, rowspan int, colspan int"
-METRICS = ("tables_expected", "tables_actual", "structural_consistency", "grits_con", "table_record_match", "trm_perfect", "teds", "teds_struct", "header_composite", "grits_trm_composite")
+METRICS = (
+    "tables_expected", "tables_actual", "tables_paired", "structural_consistency", "grits_con", "table_record_match", "trm_perfect", *trees.VARIANTS,
+    *(f"header_{k}" for k in (*headers.SUBMETRICS, "perfect", "composite", "generous")), "grits_trm_composite", "table_composite", "table_composite_harmonic",
+)
 
 
 def cells(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,7 +43,8 @@ def document_metrics(docs: DataFrame, key: str, expected: str, actual: str) -> D
             out = []
             for e, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    out.append((*(T.document_scores(e or "", a or "")[m] for m in METRICS), None))
+                    own = T.document_scores(e or "", a or "")
+                    out.append((*(own[m] for m in METRICS), None))
                 except Exception as x:  # one document must not end the job
                     out.append((*[None] * len(METRICS), f"Evaluation error: {type(x).__name__}: {x}"[:300]))
             cols = list(zip(*out, strict=True))
@@ -112,11 +117,3 @@ def fuzzy_cell(c: DataFrame, keys: list[str], text: str, least: float = 0.8) ->
         return t.map(lambda x: indel_ratio(x or "", text))
 
     return c.withColumn("score", score("text")).where(F.col("score") >= least)
-
-
-def value_grid_score(expected: list[list[str]], actual: list[list[str]]) -> float:
-    """Chart values: mean score of the expected cells, numbers by relative error, texts by similarity."""
-    from .charts import cell_value
-
-    n = sum(len(r) for r in expected)
-    return sum(cell_value(x, actual[i][j] if i < len(actual) and j < len(actual[i]) else "") for i, r in enumerate(expected) for j, x in enumerate(r)) / n if n else 1.0

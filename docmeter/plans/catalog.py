@@ -29,4 +29,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_boxes, queries_eval, queries_extract, queries_report, queries_tables, queries_text  # noqa: F401
+    from . import queries_boxes, queries_eval, queries_extract, queries_more, queries_report, queries_tables, queries_text  # noqa: F401

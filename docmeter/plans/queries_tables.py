@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +103,14 @@ def numeric_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.round(C.similarity(a, b), 9).alias("similarity"), C.number_match(a, b).alias("matched"))
 
 
-@query()
+@query("SELECT r_regionkey::BIGINT AS region, r_regionkey = 2 AS passed FROM region")
 def chart_data_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    point = F.udf(lambda h: C.data_point(h, "74", ["NATION_2"]), "boolean", useArrow=True)
+    """The value of one nation, which stands in its region's table only."""
+
+    @F.pandas_udf("boolean")
+    def point(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: C.data_point(x, "74", ["NATION_2"]))
+
     return region_tables(spark, sf_dir).select("region", point("html").alias("passed"))
 
 
@@ -125,16 +131,23 @@ def table_same_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.shares(region_cells(spark, sf_dir), ["region", "table_id"], F.lit("Nation"), F.lit("NATION_2"), "col").drop("table_id")
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false)) v(id, passed)")
+@query("SELECT r_regionkey::BIGINT AS region, r_regionkey % 2 = 1 AS passed FROM region")
 def table_rowspan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(1, "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>"), (2, "<table><tr><td>a</td><td>b</td></tr></table>")], "id int, html string")
-    return T.spans(T.cells(d, "id", "html"), ["id", "table_id"], F.lit("a"), "rowspan", 2).drop("table_id")
+    """A cell that reaches over two rows in every second region's table."""
+    k = F.col("r_regionkey")
+    html = F.concat(F.lit("<table><tr><td rowspan="), (1 + k % 2).cast("string"), F.lit(">total</td><td>b</td></tr><tr><td>c</td></tr></table>"))
+    d = read(spark, sf_dir, "region").select(k.cast("long").alias("region"), html.alias("html"))
+    return T.spans(T.cells(d, "region", "html"), ["region", "table_id"], F.lit("total"), "rowspan", 2).drop("table_id")
 
 
-@query("SELECT r_regionkey::BIGINT AS region, round(CASE r_regionkey WHEN 0 THEN 0.0 ELSE 1.0 END, 6)::DOUBLE AS score FROM region")
+@query("SELECT r_regionkey::BIGINT AS region, CASE r_regionkey WHEN 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM region")
 def chart_data_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graduated cell scores of an expected grid against the table of a region: all of it, or nothing for region 0."""
+    """A region's values against a prediction with another header, with columns swapped, or with rows missing (all of region 0)."""
     from ..functions import tables as K
 
-    score = F.udf(lambda h, r: T.value_grid_score(K.tables(h)[0].grid().tolist() if r else [["q", "#"]], K.tables(h)[0].grid().tolist()), "double", useArrow=True)
-    return region_tables(spark, sf_dir).select("region", F.round(score("html", "region"), 6).alias("score"))
+    @F.pandas_udf("double")
+    def score(h: pd.Series, p: pd.Series, r: pd.Series) -> pd.Series:
+        rule = lambda x, n: {"type": "chart_data_array_data", "data": K.tables(x)[0].grid().tolist(), "x_axis_shuffle": n % 3 == 2, "y_axis_shuffle": n % 3 == 0}
+        return pd.Series([C.array_score(rule(x, n), K.tables(y))[0] for x, y, n in zip(h, p, r, strict=True)])
+
+    return region_tables(spark, sf_dir).select("region", F.round(score("html", "pred", "region"), 6).alias("score"))
