@@ -59,8 +59,8 @@ class Rows:
     def __init__(self, docs: list[np.ndarray]) -> None:
         self.n = len(docs)
         self.ends = np.cumsum([0] + [len(d) for d in docs])
-        self.at = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), np.diff(self.ends))
+        self.at = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Of each document, the sum of x over its terms; x has a column for each factor."""
@@ -97,19 +97,23 @@ class Machine:
         return i[np.append(self.terms, -1)[i] == terms]
 
 
-def by_themselves(x: Rows, y: np.ndarray, seen: np.ndarray, share: float, p_max: float) -> np.ndarray:
+def by_themselves(positive: np.ndarray, seen: np.ndarray, share: float, p_max: float) -> np.ndarray:
     """Whether a term's share of toxic documents has a probability of at most p_max (a Chernoff bound) if it tells nothing."""
-    f = np.clip(np.bincount(x.at, y[x.row], len(seen)) / seen, 1e-9, 1 - 1e-9)
+    f = np.clip(positive / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
     return seen * (f * np.log(f / share) + (1 - f) * np.log((1 - f) / (1 - share))) >= -np.log(p_max)
 
 
-def by_pairs(x: Rows, r: np.ndarray, seen: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
-    """Leading eigenvectors of sum r x x^T without its diagonal, terms divided by the root of their documents; by subspace iteration."""
+def by_pairs(parts: list[Rows], r: list[np.ndarray], seen: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """Leading eigenvectors of sum r x x^T without its diagonal, terms divided by the root of their documents; by subspace iteration.
+
+    parts: the documents, some thousand at a time, so that what is made on the way stays small; r: of each part.
+    """
     m, d = len(seen), 1 / np.sqrt(seen)[:, None]
-    diagonal = np.bincount(x.at, r[x.row], m)[:, None] * d * d
+    diagonal = sum(np.bincount(x.at, w[x.row], m) for x, w in zip(parts, r, strict=True))[:, None] * d * d
 
     def times(q: np.ndarray) -> np.ndarray:
-        return d * x.back(r[:, None] * x.sums(d * q), m) - diagonal * q
+        z = d * q
+        return d * sum(x.back(w[:, None] * x.sums(z), m) for x, w in zip(parts, r, strict=True)) - diagonal * q
 
     q = np.linalg.qr(np.random.default_rng(1).normal(size=(m, rank)))[0]
     for _ in range(rounds):
@@ -127,30 +131,33 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, rank: int = 4, p_max: f
     if share == 1:
         return Machine(bias=5.0)
     n_docs = len(docs)
-    every, number, seen = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-    whole = Rows(docs)
-    whole.at = number
-
-    def only(ok: np.ndarray) -> Rows:
-        """The documents with the terms that are ok, numbered anew."""
-        keep, new = ok[whole.at], np.cumsum(ok) - 1
-        out = Rows([])
-        out.n, out.at, out.row = n_docs, new[whole.at[keep]], whole.row[keep]
-        return out
-
-    chosen = (seen >= 2) & by_themselves(whole, y, seen, share, p_max)
-    often = seen >= max(3, n_docs // 400)  # a rare term has no pairs to speak of
-    start_v = np.zeros((len(every), rank))
-    if often.sum() > rank:
-        u = by_pairs(only(often), y - share, seen[often].astype(float), rank)
-        start_v[often] = u / np.sqrt(seen[often])[:, None]
-        for k in range(rank):
-            chosen[np.flatnonzero(often)[np.argsort(-np.abs(u[:, k]), kind="stable")[:by_pair]]] = True
-    v = start_v[chosen]
+    seen, positive = np.zeros(4 * PLACES, np.int32), np.zeros(4 * PLACES, np.int32)
+    for d, hit in zip(docs, y, strict=True):  # a document holds a term once
+        seen[d] += 1
+        if hit:
+            positive[d] += 1
+    number = np.full(4 * PLACES, -1, np.int32)
+
+    def only(terms: np.ndarray, own: list[np.ndarray]) -> list[np.ndarray]:
+        """The documents with these terms alone, as their numbers."""
+        number[:] = -1
+        number[terms] = np.arange(len(terms), dtype=np.int32)
+        return [x[x >= 0] for x in (number[d] for d in own)]
+
+    chosen = np.flatnonzero(by_themselves(positive, seen, share, p_max) & (seen >= 2))
+    # A rare term has no pairs to speak of, and a pair with a term of most documents is the other term.
+    often = np.flatnonzero((seen >= max(3, n_docs // 400)) & (seen <= max(n_docs // 2, 3)))
+    start_v = np.zeros((0, rank))
+    if len(often) > rank:
+        at = range(0, n_docs, 1000)
+        u = by_pairs([Rows(only(often, docs[i : i + 1000])) for i in at], [y[i : i + 1000] - share for i in at], seen[often].astype(float), rank)
+        start_v = u / np.sqrt(seen[often])[:, None]
+        chosen = np.union1d(chosen, [often[j] for k in range(rank) for j in np.argsort(-np.abs(u[:, k]), kind="stable")[:by_pair]])
+    v, i = np.zeros((len(chosen), rank)), np.searchsorted(often, chosen)
+    known = np.append(often, -1)[i] == chosen
+    v[known] = start_v[i[known]]
     v *= start / np.maximum(np.abs(v).max(axis=0, initial=0), 1e-12)
-    x, m = only(chosen), int(chosen.sum())
-    cut = np.searchsorted(x.row, np.arange(n_docs + 1))
-    own = [x.at[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    own, m = only(chosen, docs), len(chosen)
     w, b = np.zeros(m), float(np.log(share / (1 - share)))
     # Small samples get smaller batches and more epochs, so that there are as many steps as for a large one.
     batch = min(batch, max(16, n_docs // 40))
@@ -180,7 +187,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, rank: int = 4, p_max: f
                 mean = (mean[0] + (b - mean[0]) / kept, mean[1] + (w - mean[1]) / kept, mean[2] + (v - mean[2]) / kept)
     b, w, v = mean
     on = (w != 0) | (v != 0).any(axis=1)
-    return Machine(b, every[chosen][on], w[on], v[on])
+    return Machine(b, chosen[on].astype(np.int64), w[on], v[on])
 
 
 def labelled(labels: DataFrame, *, id_col: str = "doc_id", label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000) -> DataFrame:
@@ -214,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     own = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     # The order of rows, which the plan does not fix, is that of ids and terms: fits agree.
-    order = sorted(range(len(own)), key=lambda i: (got.column("id")[i].as_py(), own[i].tobytes()))
-    return train([own[i] for i in order], got.column("y").to_numpy()[order], **options)
+    ids, y = got.column("id").to_pylist(), got.column("y").to_numpy()
+    order = sorted(range(len(own)), key=lambda i: (ids[i], len(own[i]), zlib.crc32(own[i])))
+    del got, lists
+    return train([own[i] for i in order], y[order], **options)
 
 
 _worker: dict[int, tuple] = {}
