@@ -145,8 +145,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, rank: int = 4, p_max: f
         return [x[x >= 0] for x in (number[d] for d in own)]
 
     chosen = np.flatnonzero(by_themselves(positive, seen, share, p_max) & (seen >= 2))
-    # A rare term has no pairs to speak of, and a pair with a term of most documents is the other term.
-    often = np.flatnonzero((seen >= max(3, n_docs // 400)) & (seen <= max(n_docs // 2, 3)))
+    # A rare term has no pairs to speak of, and a pair with a term of nearly all documents is the other term.
+    often = np.flatnonzero((seen >= max(3, n_docs // 400)) & (seen <= max(n_docs * 4 // 5, 3)))
     start_v = np.zeros((0, rank))
     if len(often) > rank:
         at = range(0, n_docs, 1000)
