@@ -6,7 +6,10 @@ keys, pred_id, cls, score and a box.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +61,46 @@ def layout_rules(gt: DataFrame, matches: DataFrame, page: list[str]) -> DataFram
     return gt.select(*page, "gt_id", "cls").join(m, [*page, "gt_id"], "left").withColumn("localised", F.col("pred_id").isNotNull()).withColumn("classified", F.coalesce(F.col("cls") == F.col("p_cls"), F.lit(False)))
 
 
-def greedy(pairs: DataFrame, keys: list[str], least: float = 0.5, *, any_class: bool = False) -> DataFrame:
-    """Greedy matches: predictions by score, each takes the free box with the largest IoU from `least` on. Sequential in a page, so grouped by it."""
-    ok = pairs.where(F.col("iou") >= least)
+def greedy_all(pairs: DataFrame, keys: list[str], thresholds: tuple[float, ...], *, any_class: bool = False) -> DataFrame:
+    """threshold and matches for each threshold, in one pass: predictions by score, each takes the free box with the largest IoU from the threshold on.
+
+    Pages are brought together by one shuffle and read as a stream, many to a batch; a page's pairs are its bound.
+    """
+    ok = pairs.where(F.col("iou") >= min(thresholds))
     if not any_class:
         ok = ok.where(F.col("g_cls") == F.col("p_cls"))
     by = keys if any_class else [*keys, "g_cls"]
+    cols = [*keys, "gt_id", "pred_id", "g_cls", "p_cls", "score", "iou"]
+    order = [F.col("score").desc(), F.col("pred_id"), F.col("iou").desc(), F.col("gt_id")]
+    rows = ok.select(*cols).repartition(*keys).sortWithinPartitions(*by, *order)
+    at = {c: i for i, c in enumerate(cols)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, free = None, {}
+        for batch in batches:
+            own = [batch.column(i).to_pylist() for i in range(len(cols))]
+            take: list[int] = []
+            level: list[float] = []
+            for i, (g, p, iou) in enumerate(zip(own[at["gt_id"]], own[at["pred_id"]], own[at["iou"]], strict=True)):
+                if (here := tuple(own[at[c]][i] for c in by)) != group:
+                    group, free = here, {t: (set(), set()) for t in thresholds}
+                for t, (gs, ps) in free.items():
+                    if iou >= t and g not in gs and p not in ps:
+                        gs.add(g)
+                        ps.add(p)
+                        take.append(i)
+                        level.append(t)
+            if take:
+                part = batch.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(level), *part.columns], names=["threshold", *cols])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, "threshold double, " + ", ".join(f"{c} {kinds[c]}" for c in cols))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "pred_id", "iou", "gt_id"], ascending=[False, True, False, True], kind="stable")
-        free_g, free_p, out = set(), set(), []
-        for i, (p, g) in enumerate(zip(rows["pred_id"], rows["gt_id"], strict=True)):
-            if p not in free_p and g not in free_g:
-                free_p.add(p)
-                free_g.add(g)
-                out.append(i)
-        return rows.iloc[out]
 
-    cols = [*keys, "gt_id", "pred_id", "g_cls", "p_cls", "score", "iou"]
-    ok = ok.select(*cols)
-    return ok.groupBy(*by).applyInPandas(run, ok.schema)
+def greedy(pairs: DataFrame, keys: list[str], least: float = 0.5, *, any_class: bool = False) -> DataFrame:
+    """Greedy matches at one threshold."""
+    return greedy_all(pairs, keys, (least,), any_class=any_class).drop("threshold")
 
 
 def class_scores(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,15 +123,15 @@ def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mean_ap(gt: DataFrame, pred: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """threshold, cls, ap, for the thresholds 0.50 to 0.95 and the classes of the ground truth."""
-    out = None
-    for t in AP_THRESHOLDS:
-        hit = greedy(pairs, keys, t).select(*keys, "pred_id", F.lit(1).alias("hit"))
-        scored = pred.select(*keys, "pred_id", "cls", "score").join(hit, [*keys, "pred_id"], "left").fillna(0, ["hit"])
-        ap = average_precision(scored, ["cls"])
-        one = gt.select("cls").distinct().join(ap, "cls", "left").select(F.lit(t).alias("threshold"), "cls", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """threshold, cls, ap, for the thresholds 0.50 to 0.95 and the classes of the ground truth: one pass of matching, then counts by score."""
+    hits = greedy_all(pairs, keys, AP_THRESHOLDS).groupBy("threshold", F.col("p_cls").alias("cls"), "score").agg(F.count(F.lit(1)).alias("h"))
+    levels = F.explode(F.array(*map(F.lit, AP_THRESHOLDS))).alias("threshold")
+    n = pred.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("n")).select(levels, "cls", "score", "n")
+    d = n.join(hits, ["threshold", "cls", "score"], "left").fillna(0, ["h"])
+    w = Window.partitionBy("threshold", "cls").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("prec", F.sum("h").over(w) / F.sum("n").over(w)).groupBy("threshold", "cls").agg(F.sum(F.col("prec") * F.col("h")).alias("s"))
+    support = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("support")).select(levels, "cls", "support")
+    return support.join(d, ["threshold", "cls"], "left").select("threshold", "cls", F.coalesce(F.col("s") / F.col("support"), F.lit(0.0)).alias("ap"))
 
 
 def confusion(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,9 +177,11 @@ def order_accuracy(rows: DataFrame, page: list[str]) -> DataFrame:
     """page, adjacent, pairwise: shares of neighbours, and of all pairs, of a page in the right order; 1 below two rows. Pairs stay within a page."""
     w = Window.partitionBy(*page).orderBy("ro_index", "element")
     adj = rows.withColumn("nxt", F.lead("pred_order").over(w)).groupBy(*page).agg(F.count("nxt").alias("m"), F.count(F.when(F.col("pred_order") <= F.col("nxt"), 1)).alias("ok"))
-    ranked = rows.withColumn("k", F.row_number().over(w))
-    a, b = ranked.select(*page, F.col("k").alias("ka"), F.col("pred_order").alias("pa")), ranked.select(*page, F.col("k").alias("kb"), F.col("pred_order").alias("pb"))
-    pair = a.join(b, page).where("ka < kb").groupBy(*page).agg(F.count(F.lit(1)).alias("pm"), F.count(F.when(F.col("pa") <= F.col("pb"), 1)).alias("pok"))
+    # All pairs of a page are counted inside its row, none are made.
+    own = rows.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("ro_index", "element", "pred_order"))), lambda x: x["pred_order"]).alias("o"))
+    n = F.size("o")
+    later = F.transform("o", lambda x, i: F.size(F.filter(F.slice("o", i + 2, n), lambda y: y >= x)))
+    pair = own.select(*page, (n * (n - 1) / 2).alias("pm"), F.aggregate(later, F.lit(0), lambda a, b: a + b).alias("pok"))
     return adj.join(pair, page, "left").select(*page, F.when(F.col("m") > 0, F.col("ok") / F.col("m")).otherwise(1.0).alias("adjacent"), F.when(F.col("pm") > 0, F.col("pok") / F.col("pm")).otherwise(1.0).alias("pairwise"))
 
 

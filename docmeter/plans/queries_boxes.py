@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
+from ..operators import grounding as G
 from ..operators import layout as L
 from .catalog import query, read
 
@@ -55,22 +56,44 @@ def layout_element_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("cls").agg(*(F.avg(c.cast("double")).alias(n) for n, c in (("localised", F.col("localised")), ("classified", F.col("classified")), ("element", F.col("localised") & F.col("classified")))))
 
 
-@query()
+# Boxes of a page stand apart from each other, each in its own place; a prediction is missing, of another class, smaller, or right.
+APART_SQL = """r AS (SELECT l_orderkey AS page, l_returnflag AS cls, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem),
+    m AS (SELECT page, id, cls, k, CASE WHEN k % 5 = 0 THEN 'A' ELSE cls END AS p_cls, (k % 64) / 64.0::DOUBLE AS score, CASE k % 4 WHEN 1 THEN 0.6 WHEN 2 THEN 0.8 ELSE 1.0 END AS iou, k % 7 <> 0 AS there FROM r)"""
+
+
+def apart(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    li = read(spark, sf_dir, "lineitem")
+    k, i = F.col("k"), F.col("id")
+    rows = li.select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("cls"), F.col("l_partkey").alias("k"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("id"))
+    box = lambda h: [F.lit(0.0).alias("x0"), (20.0 * i).alias("y0"), F.lit(100.0).alias("x1"), (20.0 * i + h).alias("y1")]
+    gt = rows.select("page", i.alias("gt_id"), "cls", *box(F.lit(10.0)))
+    high = F.when(k % 4 == 1, 6.0).when(k % 4 == 2, 8.0).otherwise(10.0)
+    pred = rows.where(k % 7 != 0).select("page", i.alias("pred_id"), F.when(k % 5 == 0, "A").otherwise(F.col("cls")).alias("cls"), (k % 64 / 64).alias("score"), *box(high))
+    return gt, pred, B.overlaps(gt, pred, ["page"])
+
+
+@query(f"""WITH {APART_SQL}, n AS (SELECT cls, count(*) AS support, count(CASE WHEN there AND p_cls = cls THEN 1 END) AS tp FROM m GROUP BY 1), p AS (SELECT p_cls AS cls, count(*) AS preds FROM m WHERE there GROUP BY 1)
+    SELECT n.cls, support, tp, coalesce(preds, 0) - tp AS fp, support - tp AS fn, round(coalesce(tp / nullif(preds, 0), 0)::DOUBLE, 9) AS precision, round((tp / support)::DOUBLE, 9) AS recall, round(coalesce(2 * tp / nullif(preds + support, 0), 0)::DOUBLE, 9) AS f1 FROM n LEFT JOIN p ON p.cls = n.cls""")
 def detection_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred, pairs = paired(spark, sf_dir)
-    return B.class_scores(gt, pred, B.greedy(pairs, ["page"]), ["page"])
+    gt, pred, pairs = apart(spark, sf_dir)
+    out = B.class_scores(gt, pred, B.greedy(pairs, ["page"]), ["page"])
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
-@query()
+@query(f"""WITH {APART_SQL}, t AS (SELECT unnest([50, 55, 60, 65, 70, 75, 80, 85, 90, 95]) AS t), s AS (SELECT t, p_cls AS cls, score, count(*) AS n, count(CASE WHEN p_cls = cls AND iou >= t / 100.0 THEN 1 END) AS h FROM m, t WHERE there GROUP BY ALL),
+    w AS (SELECT *, sum(h) OVER (PARTITION BY t, cls ORDER BY score DESC) / sum(n) OVER (PARTITION BY t, cls ORDER BY score DESC) AS prec FROM s), g AS (SELECT cls, count(*) AS support FROM m GROUP BY 1),
+    a AS (SELECT t.t, g.cls, coalesce((SELECT sum(prec * h) FROM w WHERE w.t = t.t AND w.cls = g.cls), 0) / support AS ap FROM g, t)
+    SELECT round(avg(ap)::DOUBLE, 9) AS map, round(avg(CASE WHEN t = 50 THEN ap END)::DOUBLE, 9) AS ap50, round(avg(CASE WHEN t = 75 THEN ap END)::DOUBLE, 9) AS ap75 FROM a""")
 def detection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred, pairs = paired(spark, sf_dir)
-    return B.mean_ap(gt, pred, pairs, ["page"]).groupBy().agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("ap50"), F.avg(F.when(F.col("threshold") == 0.75, F.col("ap"))).alias("ap75"))
+    gt, pred, pairs = apart(spark, sf_dir)
+    ap = lambda t: F.avg(F.when(F.col("threshold") == t, F.col("ap")))
+    return B.mean_ap(gt, pred, pairs, ["page"]).groupBy().agg(F.round(F.avg("ap"), 9).alias("map"), F.round(ap(0.5), 9).alias("ap50"), F.round(ap(0.75), 9).alias("ap75"))
 
 
-@query()
+@query(f"""WITH {APART_SQL}, c AS (SELECT cls AS g_cls, CASE WHEN there THEN p_cls ELSE '(none)' END AS p_cls, count(*) AS n FROM m GROUP BY ALL) SELECT g_cls, p_cls, n, round(100 * n / sum(n) OVER (PARTITION BY g_cls)::DOUBLE, 9) AS percent FROM c""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred, pairs = paired(spark, sf_dir)
-    return B.confusion(gt, pred, B.greedy(pairs, ["page"], any_class=True), ["page"])
+    gt, pred, pairs = apart(spark, sf_dir)
+    return B.confusion(gt, pred, B.greedy(pairs, ["page"], any_class=True), ["page"]).withColumn("percent", F.round("percent", 9))
 
 
 @query(f"""WITH {PAIRS_SQL}, own AS (SELECT page, gt_id, gx0, gx1, gy0, gy1, greatest(gx0, px0) AS cx0, least(gx1, px1) AS cx1, greatest(gy0, py0) AS cy0, least(gy1, py1) AS cy1 FROM i WHERE ioa_pred >= 0.2),
@@ -186,10 +209,42 @@ def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.batch_report(pages_, ["part"]).select("part", "pages", F.round("lap", 9).alias("lap"), F.round("lap_by_tokens", 9).alias("lap_by_tokens"))
 
 
-@query()
+@query(f"""WITH {APART_SQL}, a AS (SELECT page, sum(CASE WHEN there THEN iou ELSE 0 END) AS p, count(*) AS g, count(CASE WHEN there THEN 1 END) AS n FROM m GROUP BY 1)
+    SELECT page, round((p / g)::DOUBLE, 9) AS iou, round((p / g)::DOUBLE, 9) AS recall FROM a""")
 def field_bbox_set_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred = pages(spark, sf_dir)
-    return B.set_iou(gt, pred, ["page"])
+    """Predictions lie inside their boxes, so what they cover is both the intersection and all of them."""
+    gt, pred, _ = apart(spark, sf_dir)
+    return B.set_iou(gt, pred, ["page"]).withColumns({c: F.round(c, 9) for c in ("iou", "recall")})
+
+
+# A field of each line: its value, where it stands, and a word there that is the value, another one, elsewhere, or missing.
+FIELDS_SQL = """r AS (SELECT l_orderkey AS test_id, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+    f AS (SELECT test_id, i, k % 6 NOT IN (2, 3) AS loc, k % 6 NOT IN (1, 2, 3) AS attr, CASE k % 6 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 0.6 ELSE 1 END AS iou FROM r)"""
+
+
+@query(f"""WITH {FIELDS_SQL} SELECT test_id, round(avg(attr::INT)::DOUBLE, 9) AS parse_field_element_pass_rate, round(((sum(loc::INT) + count(*) + sum(attr::INT)) / (3 * count(*)))::DOUBLE, 9) AS parse_field_rule_pass_rate, round(avg(loc::INT)::DOUBLE, 9) AS parse_field_localization_pass_rate,
+    round(avg(iou)::DOUBLE, 9) AS parse_field_avg_iou, round(coalesce(avg(CASE WHEN loc THEN iou END), 0)::DOUBLE, 9) AS parse_field_avg_iou_matched FROM f GROUP BY 1""")
+def parse_field_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grounding of a value for each line of an order among the words of its page."""
+    i, k = F.col("i"), F.col("k")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("test_id"), F.col("l_partkey").alias("k"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("i"))
+    box = F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("x0"), (20.0 * i).alias("y0"), F.lit(100.0).alias("x1"), (20.0 * i + 10).alias("y1"))
+    rules = rows.select("test_id", F.concat(F.lit("lines["), i.cast("string"), F.lit("].part")).alias("field_path"), k.cast("string").alias("expected"), F.lit("number").alias("kind"), F.array(box).alias("boxes"))
+    units = rows.where(k % 6 != 3).select("test_id", F.lit("word").alias("granularity"), i.alias("rank"), F.when(k % 6 == 1, "none").otherwise(k.cast("string")).alias("text"), F.lit(1).alias("page"), F.when(k % 6 == 2, 200.0).otherwise(0.0).alias("x0"), (20.0 * i).alias("y0"), F.when(k % 6 == 2, 300.0).otherwise(100.0).alias("x1"), (20.0 * i + F.when(k % 6 == 4, 6.0).otherwise(10.0)).alias("y1"))
+    out = G.field_metrics(G.field_rules(rules, units), ["test_id"])
+    return out.select("test_id", *(F.round(f"parse_field_{c}", 9).alias(f"parse_field_{c}") for c in ("element_pass_rate", "rule_pass_rate", "localization_pass_rate", "avg_iou", "avg_iou_matched")))
+
+
+@query("""SELECT o_custkey AS k, count(*) AS records, round(avg(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2 / 3.0 ELSE 0 END)::DOUBLE, 9) AS record_accuracy, round(avg((o_orderkey % 4 < 2)::INT)::DOUBLE, 9) AS record_grounded_recall FROM orders GROUP BY 1""")
+def record_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as records: some come back whole, some with a field changed, some with nothing left."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("rank"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("a"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("b"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("c"))
+    part = lambda c, kept: F.when(kept, F.col(c)).otherwise(F.concat(F.lit("other"), F.col(c)))
+    r = F.col("rank") % 4
+    found = o.select("k", (F.col("rank") + 1_000_000).alias("rank"), part("a", r < 2).alias("a"), part("b", r < 2).alias("b"), part("c", (r == 0) | (r == 2)).alias("c"))
+    m = G.record_metrics(o, found, G.aligned_records(o, found, "k", ["a", "b", "c"]), "k")
+    n = o.groupBy("k").agg(F.count(F.lit(1)).alias("records"))
+    return n.join(m, "k").select("k", "records", *(F.round(c, 9).alias(c) for c in ("record_accuracy", "record_grounded_recall")))
 
 
 @query(f"""WITH c AS (SELECT page, gt_id, x0, (y0 + y1) / 2 AS yc, y1 - y0 AS h, 't' || gt_id::VARCHAR AS t FROM ({GT_SQL})), m AS (SELECT *, avg(h) OVER (PARTITION BY page) AS mean, yc - lag(yc) OVER (PARTITION BY page ORDER BY yc, x0) AS gap FROM c),
