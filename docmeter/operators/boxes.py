@@ -129,9 +129,8 @@ def mean_ap(gt: DataFrame, pred: DataFrame, pairs: DataFrame, keys: list[str]) -
     n = pred.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("n")).select(levels, "cls", "score", "n")
     d = n.join(hits, ["threshold", "cls", "score"], "left").fillna(0, ["h"])
     w = Window.partitionBy("threshold", "cls").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("prec", F.sum("h").over(w) / F.sum("n").over(w)).groupBy("threshold", "cls").agg(F.sum(F.col("prec") * F.col("h")).alias("s"))
-    support = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("support")).select(levels, "cls", "support")
-    return support.join(d, ["threshold", "cls"], "left").select("threshold", "cls", F.coalesce(F.col("s") / F.col("support"), F.lit(0.0)).alias("ap"))
+    d = d.withColumn("prec", F.sum("h").over(w) / F.sum("n").over(w)).groupBy("threshold", "cls").agg(F.try_divide(F.sum(F.col("prec") * F.col("h")), F.sum("h")).alias("ap"))
+    return gt.select("cls").distinct().select(levels, "cls").join(d, ["threshold", "cls"], "left").fillna(0.0, ["ap"])
 
 
 def confusion(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

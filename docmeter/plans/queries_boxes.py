@@ -81,8 +81,8 @@ def detection_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {APART_SQL}, t AS (SELECT unnest([50, 55, 60, 65, 70, 75, 80, 85, 90, 95]) AS t), s AS (SELECT t, p_cls AS cls, score, count(*) AS n, count(CASE WHEN p_cls = cls AND iou >= t / 100.0 THEN 1 END) AS h FROM m, t WHERE there GROUP BY ALL),
-    w AS (SELECT *, sum(h) OVER (PARTITION BY t, cls ORDER BY score DESC) / sum(n) OVER (PARTITION BY t, cls ORDER BY score DESC) AS prec FROM s), g AS (SELECT cls, count(*) AS support FROM m GROUP BY 1),
-    a AS (SELECT t.t, g.cls, coalesce((SELECT sum(prec * h) FROM w WHERE w.t = t.t AND w.cls = g.cls), 0) / support AS ap FROM g, t)
+    w AS (SELECT *, sum(h) OVER (PARTITION BY t, cls ORDER BY score DESC) / sum(n) OVER (PARTITION BY t, cls ORDER BY score DESC) AS prec FROM s), g AS (SELECT DISTINCT cls FROM m),
+    a AS (SELECT t.t, g.cls, coalesce((SELECT sum(prec * h) / nullif(sum(h), 0) FROM w WHERE w.t = t.t AND w.cls = g.cls), 0) AS ap FROM g, t)
     SELECT round(avg(ap)::DOUBLE, 9) AS map, round(avg(CASE WHEN t = 50 THEN ap END)::DOUBLE, 9) AS ap50, round(avg(CASE WHEN t = 75 THEN ap END)::DOUBLE, 9) AS ap75 FROM a""")
 def detection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, pred, pairs = apart(spark, sf_dir)
