@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
@@ -147,11 +148,16 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 @lru_cache(200_000)
-def gestalt(a: str, b: str) -> float:
-    """Ratcliff-Obershelp ratio; not symmetric."""
-    from difflib import SequenceMatcher
+def _gestalt(a: str, b: str) -> float:
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+_short_gestalt = lru_cache(100_000)(_gestalt)
 
-    return SequenceMatcher(None, a, b).ratio()
+
+def gestalt(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio; not symmetric. Pairs of short texts are remembered."""
+    return _short_gestalt(a, b) if len(a) + len(b) <= 128 else _gestalt(a, b)
 
 
 def assignment(score: np.ndarray) -> list[tuple[int, int]]:

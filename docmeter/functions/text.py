@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -108,7 +109,9 @@ def keeps_marks(c: str) -> bool:
 
 
 def strip_marks(text: str, keep_cjk: bool = True) -> str:
-    """Without combining marks, but for those on CJK letters."""
+    """Without combining marks, but for those on letters of scripts that keep them."""
+    if text.isascii():
+        return text
     out: list[str] = []
     base = ""
     for c in unicodedata.normalize("NFD", text):
@@ -120,18 +123,33 @@ def strip_marks(text: str, keep_cjk: bool = True) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def normalize_py(text: str | None) -> str:
-    """normalize() for any script."""
-    t = re.sub(AUTOLINK, r"\1", text or "")
-    t = re.sub(r"\s+", " ", re.sub(r"<br\s*/?>", " ", t).translate(str.maketrans(QUOTES)))
-    for pattern, by in ((r"\*\*(.*?)\*\*", r"\1"), (r"__(.*?)__", r"\1"), (r"</?[bi]>", ""), (r"\*(.*?)\*", r"\1"), (r"_(.*?)_", r"\1")):
-        t = re.sub(pattern, by, t)
-    t = strip_marks(t.replace("_", " ")).replace("…", "...").translate(str.maketrans({**SAME, "＿": "_"}))
-    for pattern, by in ((r"</?(?:ins|u|mark)>|~~|\$\$", ""), (r"(?i)</?(?:s|del|strike)>", ""), (SPAN, ""), (r"(?i)<sup[^>]*>.*?</sup>|<sub[^>]*>.*?</sub>", ""), ("[¹²³⁰⁴-⁹₀-₉]+", ""), (r"-{2,}", "-"), (DOT_LEADER, "")):
-        t = re.sub(pattern, by, t)
+_QUOTES, _SAME = str.maketrans(QUOTES), str.maketrans({**SAME, "＿": "_"})
+_BEFORE = [(re.compile(p), by) for p, by in ((AUTOLINK, r"\1"), (r"<br\s*/?>", " "))]
+_MARKS = [(re.compile(p), by) for p, by in ((r"\*\*(.*?)\*\*", r"\1"), (r"__(.*?)__", r"\1"), (r"</?[bi]>", ""), (r"\*(.*?)\*", r"\1"), (r"_(.*?)_", r"\1"))]
+_AFTER = [(re.compile(p), by) for p, by in ((r"</?(?:ins|u|mark)>|~~|\$\$", ""), (r"(?i)</?(?:s|del|strike)>", ""), (SPAN, ""), (r"(?i)<sup[^>]*>.*?</sup>|<sub[^>]*>.*?</sub>", ""), ("[¹²³⁰⁴-⁹₀-₉]+", ""), (r"-{2,}", "-"), (DOT_LEADER, ""))]
+
+
+def _normalize(t: str) -> str:
+    for pattern, by in _BEFORE:
+        t = pattern.sub(by, t)
+    t = re.sub(r"\s+", " ", t.translate(_QUOTES))
+    for pattern, by in _MARKS:
+        t = pattern.sub(by, t)
+    t = strip_marks(t.replace("_", " ")).replace("…", "...").translate(_SAME)
+    for pattern, by in _AFTER:
+        t = pattern.sub(by, t)
     return t.lower()
 
 
+_short = functools.lru_cache(50_000)(_normalize)
+
+
+def normalize_py(text: str | None) -> str:
+    """normalize() for any script; short texts, as of cells, are remembered."""
+    t = text or ""
+    return _short(t) if len(t) <= 200 else _normalize(t)
+
+
 def nfc(t: str | None) -> str | None:
     """NFC form, for joins on file names."""
     return None if t is None else unicodedata.normalize("NFC", t)

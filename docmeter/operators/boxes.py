@@ -114,14 +114,6 @@ def class_scores(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: list[
     return j.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))).drop("preds")
 
 
-def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
-    """by, ap: scored has score and hit (0 or 1). Sum over distinct scores, from the largest, of precision times the recall gained. Counts of equal scores come first, so the window holds scores, not rows."""
-    d = scored.groupBy(*by, "score").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("prec", F.sum("h").over(w) / F.sum("n").over(w))
-    return d.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("prec") * F.col("h")), F.sum("h")), F.lit(0.0)).alias("ap"))
-
-
 def mean_ap(gt: DataFrame, pred: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """threshold, cls, ap, for the thresholds 0.50 to 0.95 and the classes of the ground truth: one pass of matching, then counts by score."""
     hits = greedy_all(pairs, keys, AP_THRESHOLDS).groupBy("threshold", F.col("p_cls").alias("cls"), "score").agg(F.count(F.lit(1)).alias("h"))
@@ -197,25 +189,6 @@ def union_area(boxes: list[tuple[float, float, float, float]]) -> float:
     return total
 
 
-def set_iou(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, iou, recall: union rectangles of a page and group on both sides."""
-
-    def run(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        a, b = ([tuple(r) for r in x[list(BOX)].to_numpy()] for x in (g, p))
-        cut = [(max(x[0], y[0]), max(x[1], y[1]), min(x[2], y[2]), min(x[3], y[3])) for x in a for y in b]
-        both = union_area([c for c in cut if c[2] > c[0] and c[3] > c[1]])
-        ga, pa = union_area(a), union_area(b)
-        return pd.DataFrame([[*key, both / (ga + pa - both) if ga + pa > both else 0.0, both / ga if ga else 0.0]], columns=[*keys, "iou", "recall"])
-
-    types = {f.name: f.dataType.simpleString() for f in gt.schema}
-    return gt.groupBy(*keys).cogroup(pred.groupBy(*keys)).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", iou double, recall double")
-
-
-def field_localised(iou: Column, ioa: Column, exact: Column) -> Column:
-    """Strict: IoU of a half. Relaxed: 0.3 with 0.7 of either area and the exact text."""
-    return (iou >= STRICT_IOU) | ((iou >= RELAXED_IOU) & (ioa >= RELAXED_IOA) & exact)
-
-
 def lines(cells: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, line, text: cells of a box, by height, a new line where the middle drops by more than half the mean height."""
     all_ = Window.partitionBy(*keys)

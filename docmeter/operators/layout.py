@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boxes import ATTRIBUTED, BAND_X, BAND_Y, BOX, LOCALISED_GT, LOCALISED_PRED, TOKEN_F1
+from .boxes import ATTRIBUTED, BAND_X, BAND_Y, BOX, LOCALISED_GT, LOCALISED_PRED, TOKEN_F1, union_area
 
 FIELDS = {"id": "long", "cls": "string", "rank": "long", **dict.fromkeys(BOX, "double"), "tokens": "array<string>", "explicit": "boolean", "caption": "boolean", "furniture": "boolean"}
 ELEMENT = "id long, cls string, pred_id long, localised boolean, classified boolean, attribution double, attributed boolean, passed boolean"
@@ -209,6 +209,19 @@ def score_classes(gt: Part, pred: Part) -> list[tuple]:
     return out
 
 
+def score_areas(gt: Part, pred: Part) -> list[tuple]:
+    a, b = gt.boxes()[:, None, :], pred.boxes()[None, :, :]
+    cut = np.concatenate([np.maximum(a, b)[..., :2], np.minimum(a, b)[..., 2:]], axis=2).reshape(-1, 4)
+    both = union_area([tuple(c) for c in cut[(cut[:, 2] > cut[:, 0]) & (cut[:, 3] > cut[:, 1])].tolist()])
+    x, y = union_area(gt.box), union_area(pred.box)
+    return [(both / (x + y - both) if x + y > both else 0.0, both / x if x else 0.0)]
+
+
+def set_iou(gt: DataFrame, pred: DataFrame, page: list[str]) -> DataFrame:
+    """page, iou, recall: of the areas that the boxes of either side cover together."""
+    return by_page(gt, pred, page, score_areas, "iou double, recall double")
+
+
 def elements(gt: DataFrame, pred: DataFrame, page: list[str]) -> DataFrame:
     """page and ELEMENT of every element: formulas, captions and elements without tokens have no attribution."""
     return by_page(gt, pred, page, score_elements, ELEMENT)

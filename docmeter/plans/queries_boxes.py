@@ -214,7 +214,7 @@ def attribution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_bbox_set_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions lie inside their boxes, so what they cover is both the intersection and all of them."""
     gt, pred, _ = apart(spark, sf_dir)
-    return B.set_iou(gt, pred, ["page"]).withColumns({c: F.round(c, 9) for c in ("iou", "recall")})
+    return L.set_iou(gt.withColumnRenamed("gt_id", "id"), pred.withColumnRenamed("pred_id", "id"), ["page"]).withColumns({c: F.round(c, 9) for c in ("iou", "recall")})
 
 
 # A field of each line: its value, where it stands, and a word there that is the value, another one, elsewhere, or missing.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import strict
 from ..operators import extract as X
 from ..operators import sets as S
+from ..sources import registry
 from .catalog import query, read
 
 HOW_SQL = "CASE o_orderkey % 8 WHEN 0 THEN 'identity' WHEN 1 THEN 'numeric' WHEN 2 THEN 'date' WHEN 3 THEN 'case_insensitive' WHEN 4 THEN 'trailing_punct_fold' WHEN 5 THEN 'footer_text_trim' WHEN 6 THEN 'annotation_truncated' ELSE 'none' END"
@@ -147,3 +148,24 @@ def layout_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.create_map(F.lit(" Explicit "), F.when(k % 3 == 0, " Yes").otherwise("no"), F.lit("NATION"), F.when(k % 2 == 0, F.concat(F.lit(" n"), F.col("s_nationkey").cast("string"))).otherwise(" "))
     own = S.normal_attributes(m)
     return read(spark, sf_dir, "supplier").select("s_suppkey", S.is_true(own["explicit"]).alias("explicit"), own["nation"].alias("nation"))
+
+
+# Answers of two shapes for the parts: a list of items, and pages of blocks in pixels. Both name the same box.
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'flat' WHEN p_partkey % 3 = 1 THEN 'deep' ELSE 'other' END AS pipeline, p_brand AS cls, p_name AS text, round(p_size / 64.0::DOUBLE, 9) AS x0, round((p_size + 16) / 64.0::DOUBLE, 9) AS x1 FROM part")
+def renormalised_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers projected by the adapter of their pipeline: by key, by pattern, and by default."""
+    reg = registry.Registry()
+    reg.pipeline("flat", "acme", "one")
+    reg.pipeline("deep", "acme", "two-v3")
+    reg.pipeline("other", "none", "x")
+    reg.adapter("acme/one")(registry.plain_items)
+    reg.adapter(pattern=r"^acme/two", priority=2)(registry.nested_items)
+    reg.adapter(pattern=r"^acme/", priority=1)(registry.plain_items)
+    reg.adapter()(registry.plain_items)
+    k, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    flat = F.to_json(F.array(F.struct(F.lit(1).alias("page"), F.col("p_brand").alias("cls"), F.col("p_name").alias("text"), (s / 64).alias("x0"), F.lit(0.0).alias("y0"), ((s + 16) / 64).alias("x1"), F.lit(1.0).alias("y1"))))
+    block = F.struct(F.col("p_brand").alias("type"), F.col("p_name").alias("text"), (10 * s).alias("x"), F.lit(0.0).alias("y"), F.lit(160.0).alias("w"), F.lit(100.0).alias("h"))
+    deep = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("number"), F.lit(640.0).alias("width"), F.lit(100.0).alias("height"), F.array(block).alias("blocks"))).alias("pages")))
+    name = F.when(k % 3 == 0, "flat").when(k % 3 == 1, "deep").otherwise("other")
+    p = read(spark, sf_dir, "part").select("p_partkey", name.alias("pipeline"), F.when(k % 3 == 1, deep).otherwise(flat).alias("raw"))
+    return reg.renormalise(p).select("p_partkey", "pipeline", F.inline("items")).select("p_partkey", "pipeline", "cls", "text", F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"))

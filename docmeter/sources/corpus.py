@@ -104,6 +104,13 @@ def ready(spark: SparkSession, path: str) -> list[str]:
     return [f for f in (*READY, "docs") if not fs.exists(jvm.org.apache.hadoop.fs.Path(p, f))]
 
 
+def rule_csv(results: DataFrame, path: str) -> None:
+    """Rule results as CSV files with a header, one folder for each pipeline if there is one."""
+    out = results.select(*(F.col(c).cast("string").alias(c) for c in results.columns))
+    writer = out.write.mode("overwrite").option("header", True)
+    (writer.partitionBy("pipeline") if "pipeline" in results.columns else writer).csv(path)
+
+
 def skip_rows(lines: list[str]) -> int:
     """Leading CSV rows with one filled field at most."""
     import csv
@@ -112,19 +119,3 @@ def skip_rows(lines: list[str]) -> int:
         if sum(bool(x.strip()) for x in row) > 1:
             return i
     return 0
-
-
-class Registry(dict):
-    """Name -> function; the extension points of evaluators, adapters, mappers and providers."""
-
-    def register(self, name: str):
-        def add(f):
-            if name in self:
-                raise ValueError(f"{name} is registered already")
-            self[name] = f
-            return f
-
-        return add
-
-
-EVALUATORS, ADAPTERS, MAPPERS, PROVIDERS = Registry(), Registry(), Registry(), Registry()

@@ -290,3 +290,67 @@ def test_union_area_of_random_boxes():
     for x0, y0, x1, y1 in b:
         grid[int(y0) : int(y1), int(x0) : int(x1)] = True
     assert boxes.union_area(b) == grid.sum()
+
+
+def test_registry(spark, tmp_path):
+    from docmeter.sources import corpus, registry
+
+    reg = registry.Registry()
+    reg.pipeline("a", "p", "m1")
+    with pytest.raises(ValueError, match="already"):
+        reg.pipeline("a", "p", "m1")
+    with pytest.raises(LookupError):
+        reg.resolve("a")
+    low, high, own = (lambda raw: raw), (lambda raw: raw), (lambda raw: raw)
+    reg.adapter(pattern="^p/", priority=1)(low)
+    reg.adapter(pattern="m1$", priority=5)(high)
+    assert reg.resolve("a") is high
+    reg.adapter("p/m1")(own)
+    assert reg.resolve("a") is own and [tuple(r) for r in reg.table(spark).collect()] == [("a", "p", "m1", "parse")]
+    corpus.rule_csv(spark.createDataFrame([("a", "t", True, 0.5)], "pipeline string, test_id string, passed boolean, score double"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()[0]["score"] == "0.5"
+
+
+def test_field_grounding(spark):
+    from docmeter.operators import grounding as G
+
+    box = lambda x0, y0, x1, y1, page=1: (page, x0, y0, x1, y1)
+    assert G.area_scores([box(0.0, 0.0, 2.0, 2.0)], [box(1.0, 0.0, 3.0, 2.0)]) == (pytest.approx(1 / 3), 0.5, 0.5)
+    assert G.value_score("Jonathan", "string", "Jonathon")[0] >= G.NEAR and G.value_score("5", "number", "6") == (0.0, "none") and G.value_score(None, "string", "-")[1] == "null_empty"
+    words = [("word", i, t, box(10.0 * i, 0.0, 10.0 * i + 9, 10.0)) for i, t in enumerate(["Ada", "King", "Rome"])]
+    lines = [("line", 0, "Ada King Rome", box(0.0, 0.0, 29.0, 10.0))]
+    got = G.best_support("Ada King", "string", [box(0.0, 0.0, 19.0, 10.0)], words + lines)
+    assert got[3:] == (1.0, "identity", "word", "Ada King") and got[0] > 0.9
+    rules_ = [("t", "a", "Ada King", "string", [box(0.0, 0.0, 19.0, 10.0)]), ("t", "b", "Rome", "string", [box(0.0, 50.0, 19.0, 60.0)]), ("u", "c", None, "string", [box(0.0, 0.0, 1.0, 1.0)])]
+    r = spark.createDataFrame(rules_, "test_id string, field_path string, expected string, kind string, boxes array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>")
+    u = spark.createDataFrame([("t", g, i, t, *b) for g, i, t, b in words + lines], "test_id string, granularity string, rank int, text string, page int, x0 double, y0 double, x1 double, y1 double")
+    s = {x["field_path"]: (x["loc"], x["attr"], x["granularity"]) for x in G.field_rules(r, u).collect()}
+    assert s == {"a": (True, True, "word"), "b": (False, False, "none"), "c": (False, False, "none")}
+
+
+def test_records_are_aligned_greedily(spark):
+    from docmeter.operators import grounding as G
+
+    e = spark.createDataFrame([("d", 1, "a", "b", "c"), ("d", 2, "a", "b", "x"), ("d", 3, "q", "r", "s")], "k string, rank long, f string, g string, h string")
+    a = spark.createDataFrame([("d", 10, "a", "b", "x"), ("d", 11, "a", "b", "c"), ("d", 12, "q", "zz", "zz")], "k string, rank long, f string, g string, h string")
+    pairs = G.aligned_records(e, a, "k", ["f", "g", "h"])
+    assert {(r["rank"], r["other"], round(r["agree"], 3)) for r in pairs.collect()} == {(1, 11, 1.0), (2, 10, 1.0)}
+    m = G.record_metrics(e, a, pairs, "k").collect()[0]
+    assert m["record_accuracy"] == pytest.approx(2 / 3) and m["record_grounded_recall"] == pytest.approx(2 / 3)
+
+
+def test_greedy_at_all_thresholds(spark):
+    rng = random.Random(4)
+    rows = [(p, i, j, "A", "A", rng.choice([0.3, 0.5, 0.7, 0.9]), rng.random()) for p in range(6) for i in range(5) for j in range(5) if rng.random() < 0.6]
+    pairs = spark.createDataFrame(rows, "page int, gt_id int, pred_id int, g_cls string, p_cls string, score double, iou double")
+    got = {(r["threshold"], r["page"], r["gt_id"], r["pred_id"]) for r in boxes.greedy_all(pairs, ["page"], (0.5, 0.75)).collect()}
+    want = set()
+    for t in (0.5, 0.75):
+        for p in range(6):
+            free_g, free_p = set(range(5)), set(range(5))
+            for r in sorted((r for r in rows if r[0] == p and r[6] >= t), key=lambda r: (-r[5], r[2], -r[6], r[1])):
+                if r[1] in free_g and r[2] in free_p:
+                    free_g.discard(r[1])
+                    free_p.discard(r[2])
+                    want.add((t, p, r[1], r[2]))
+    assert got == want
