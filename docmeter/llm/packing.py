@@ -216,7 +216,7 @@ def cut(docs: DataFrame, *, id_col: str, text: str, vocabulary: str, capacity: i
 
 
 def pack(pieces: DataFrame, *, length: str = "length", order: list[str], capacity: int = 4096) -> DataFrame:
-    """pieces with sequence_id and offset. The column length is at most capacity; order names columns that tell rows apart."""
+    """pieces (a stored table) with sequence_id and offset. The column length is at most capacity; order names columns that tell most rows apart."""
     spark = pieces.sparkSession
     hist = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     total = sum(hist.values())
@@ -224,13 +224,15 @@ def pack(pieces: DataFrame, *, length: str = "length", order: list[str], capacit
     # Numbers within a length, in two levels: at most capacity + 20 000 parts of a few hundred rows or more.
     most = max(256, total // 20_000)
     parts = spark.createDataFrame([(s, -(-n // most)) for s, n in hist.items()], "p_length long, parts int")
-    rows = pieces.join(F.broadcast(parts), F.col(length) == F.col("p_length")).withColumn("part", F.pmod(F.xxhash64(*order), F.col("parts")).cast("int")).drop("p_length", "parts")
+    # Rows that are alike are told apart by where they are stored, so that a third of them is no hot part.
+    rows = pieces.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows.join(F.broadcast(parts), F.col(length) == F.col("p_length")).withColumn("part", F.pmod(F.xxhash64(*order, "__row"), F.col("parts")).cast("int")).drop("p_length", "parts")
     counts = rows.groupBy(F.col(length).alias("c_length"), F.col("part").alias("c_part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("c_length").orderBy("c_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("c_length", "c_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(length, "part").orderBy(*order)
+    inside = Window.partitionBy(length, "part").orderBy(*order, "__row")
     rows = rows.withColumn("rank", F.row_number().over(inside) - 1)
-    rows = rows.join(F.broadcast(base), (F.col(length) == F.col("c_length")) & (F.col("part") == F.col("c_part"))).withColumn("rank", F.col("rank") + F.col("base")).drop("c_length", "c_part", "base", "part")
+    rows = rows.join(F.broadcast(base), (F.col(length) == F.col("c_length")) & (F.col("part") == F.col("c_part"))).withColumn("rank", F.col("rank") + F.col("base")).drop("c_length", "c_part", "base", "part", "__row")
     names = [c for c in rows.columns if c != "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,11 +45,13 @@ def digest(payload: bytes) -> str:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+    """A URN with the id, marks and control characters quoted; a null id has one of its own, an empty one is empty."""
+    return "<urn:x-page-null>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe=' ')}>"
 
 
-def page_of(urn: str) -> str:
-    return urn.strip()[len("<urn:x-page:") : -1]
+def page_of(urn: str) -> str | None:
+    urn = urn.strip()
+    return None if urn == "<urn:x-page-null>" else unquote(urn[len("<urn:x-page:") : -1])
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
@@ -215,7 +218,7 @@ def read(manifest: DataFrame, folder: str, *, kind: str = "bigint") -> DataFrame
                         n = int(http.decode().rpartition("Content-Length: ")[2])
                         if fields["WARC-Type"] == "response" and (digest(payload) != sha or len(payload) != n):
                             raise ValueError(f"damaged record {fields['WARC-Record-ID']} in {path}")
-                        out.append((page_of(fields["WARC-Record-ID"]) or None, n, sha, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None))
+                        out.append((page_of(fields["WARC-Record-ID"]), n, sha, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None))
                         if len(out) == 4096:
                             yield table(out)
                             out = []

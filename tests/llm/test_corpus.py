@@ -633,6 +633,35 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_keeps_odd_ids(spark):
+    rows = [("", None, "<p>a</p>"), (None, None, "<p>b</p>"), ("x>y\r\n z%20", "u", "<p>c</p>"), ("zz", None, "<p>c</p>")]
+    folder = scratch(spark, "warc")
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), folder), folder, kind="string").collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {("", "response", None), (None, "response", None), (rows[2][0], "response", None), ("zz", "revisit", rows[2][0])}
+
+
+def test_packing_of_rows_that_are_alike(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 700 + [(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(5)
+    rows = packing.pack_documents(docs, capacity=64).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 750
+
+
+@pytest.mark.parametrize("name", ["op1_near_duplicates", "op4_chat_format", "op8_warc", "op9_top_k"])
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from docmeter.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    sql = con.sql(queries.ORACLES[name])
+    assert sorted(sql.columns) == cols
+    want = con.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({queries.ORACLES[name]})").fetchall()
+    assert Counter(tuple(r[c] for c in cols) for r in df.collect()) == Counter(want)
+
+
 def test_warc_has_a_leading_dictionary(spark, tmp_path):
     import io
 
