@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -24,12 +26,17 @@ def register(name: str, clear) -> None:
 
 
 def claim(name: str) -> None:
-    """Called by a worker's task: workers are used again by other operators, whose caches go when the owner changes."""
+    """Called by a worker's task: workers are used again by other operators, whose caches go, back to the system, when the owner changes."""
     if _owner != [name]:
         for other, clear in _clear.items():
             if other != name:
                 clear()
         _owner[:] = [name]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,11 +33,12 @@ UND = "und"
 
 def symbol_table() -> np.ndarray:
     """Code point -> symbol: 0 for what is no letter, else the number of its lower-case letter among all of them, from 1."""
-    letters = {cp: chr(cp).lower()[0] for cp in range(0x110000) if chr(cp).isalpha()}
-    number = {c: i + 1 for i, c in enumerate(sorted(set(letters.values())))}
-    assert len(number) < 1 << BITS
-    out = np.zeros(0x110000, np.int64)
-    out[list(letters)] = [number[c] for c in letters.values()]
+    points = np.array([cp for cp in range(0x110000) if chr(cp).isalpha()], np.int32)
+    low = np.array([ord(chr(cp).lower()[0]) for cp in points.tolist()], np.int32)
+    letters = np.unique(low)
+    assert len(letters) < 1 << BITS
+    out = np.zeros(0x110000, np.int32)
+    out[points] = np.searchsorted(letters, low) + 1
     return out
 
 
@@ -107,7 +108,7 @@ def counts_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
         nonlocal group, size
         if group:
             cps, which = points([t for _, t in group])
-            parts.append(counted(grams(table[cps], np.array([i for i, _ in group])[which])))
+            parts.append(counted(grams(table[cps].astype(np.int64), np.array([i for i, _ in group])[which])))
         group, size = [], 0
 
     for i, text in enumerate(texts):

@@ -34,7 +34,7 @@ from .common import claim, register, schema_with
 
 PLACES = 1 << 20
 WORDS = re.compile(r"\w+")
-CACHED = 300_000
+CACHED = 150_000
 STEPS = 560
 #: A place is a term of its own for at least so many distinct words.
 LEVELS = (1, 2, 4, 8)
