@@ -6,7 +6,10 @@ Arrow functions that see only the rows that the exact form leaves undecided.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +37,42 @@ def passages_in(docs: DataFrame, passages: DataFrame, key: str, text: str, item:
     """key, item of every passage that stands in a text, once; both with single spaces between words.
 
     Passages of five words or more meet texts by their second to fourth word, which stand whole in any text that holds the passage;
-    shorter ones, of which there are few kinds, by their being contained. Neither side is copied to each row of the other.
+    shorter ones are looked for one by one. Up to `few` passages are shipped to the texts, which are read once and shuffled nowhere; beyond,
+    keys are joined.
     """
-    words = F.split(F.col(passage), " ")
-    q = passages.where(F.col(passage).isNotNull()).withColumn("__w", words)
-    long = q.where(F.size("__w") >= 5).select(F.col(item), F.col(passage), F.concat_ws(" ", F.slice("__w", 2, 3)).alias("__key"))
-    w = F.split(F.col(text), " ")
-    keys = docs.where(F.col(text).isNotNull()).select(key, w.alias("__w"))
+    q = passages.where(F.col(passage).isNotNull()).select(F.col(item).alias("__i"), F.col(passage).alias("__q"))
+    texts = docs.where(F.col(text).isNotNull())
+    if (got := q.limit(few + 1).toArrow()).num_rows <= few:
+        by_key: dict[str, list[tuple]] = {}
+        for i, p in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            w = p.split(" ")
+            by_key.setdefault(" ".join(w[1:4]) if len(w) >= 5 else "", []).append((i, p))
+        shared = docs.sparkSession.sparkContext.broadcast(by_key)
+        kinds = {f.name: f.dataType.simpleString() for f in [*docs.schema, *passages.schema] if f.name in (key, item)}
+        item_type = got.schema.field(0).type
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                row, hit = [], []
+                for n, t in enumerate(batch.column(1).to_pylist()):
+                    w = t.split(" ")
+                    near = {" ".join(x) for x in zip(w, w[1:], w[2:], strict=False)} & known.keys()
+                    own = [i for k in (*near, "") for i, p in known.get(k, ()) if p in t]
+                    row += [n] * len(own)
+                    hit += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(hit, item_type)], names=[key, item])
+
+        return texts.select(key, text).mapInArrow(run, f"{key} {kinds[key]}, {item} {kinds[item]}")
+    q = q.withColumn("__w", F.split("__q", " "))
+    long = q.where(F.size("__w") >= 5).select("__i", "__q", F.concat_ws(" ", F.slice("__w", 2, 3)).alias("__key"))
+    keys = texts.select(key, F.split(F.col(text), " ").alias("__w"))
     keys = keys.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("__w", i, 3))))).alias("__key"))
-    own = long.select(item, "__key")
-    met = keys.join(F.broadcast(own) if own.limit(few + 1).count() <= few else own, "__key").select(key, item).distinct()
-    hits = met.join(long.select(item, passage), item).join(docs.select(key, text), key).where(F.contains(F.col(text), F.col(passage))).select(key, item)
-    short = q.where(F.size("__w") < 5).select(item, passage)
-    if short.isEmpty():
-        return hits
-    kinds = short.groupBy(passage).agg(F.collect_list(item).alias("__items"))
-    found = docs.join(kinds, F.contains(F.col(text), F.col(passage))).select(key, F.explode("__items").alias(item))
-    return hits.unionByName(found.select(key, item))
+    met = keys.join(long.select("__i", "__key"), "__key").select(key, "__i").distinct()
+    hits = met.join(long.select("__i", "__q"), "__i").join(docs.select(key, text), key).where(F.contains(F.col(text), F.col("__q"))).select(key, F.col("__i").alias(item))
+    short = q.where(F.size("__w") < 5).groupBy("__q").agg(F.collect_list("__i").alias("__items"))
+    found = docs.join(short, F.contains(F.col(text), F.col("__q"))).select(key, F.explode("__items").alias(item))
+    return hits.unionByName(found)
 
 
 def threshold(max_diffs: float, query: str, floor: float = 0.7) -> float:
