@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -41,38 +41,55 @@ def run_rules(rules: DataFrame, docs: DataFrame, *, page: int | None = None, par
     kind = docs.schema["test_id"].dataType.simpleString()
     if page is not None:
         rules = rules.where(F.col("page").isNull() | (F.col("page") == page))
-    sizes = rules.groupBy("test_id").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    dealt = rules.join(sizes, "test_id").withColumn("part", F.pmod(F.xxhash64("rule_id"), F.col("parts")))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("test_id")) / part).cast("int")
+    dealt = rules.where("test_id is not null").withColumn("part", F.pmod(F.xxhash64("rule_id"), parts))
     own = dealt.groupBy("test_id", "part").agg(F.collect_list(F.struct("rule_id", "rule")).alias("rules"))
     extra = {"pages": "map<int,string>", "headers": "map<int,string>", "footers": "map<int,string>", "angle": "int"}
     have = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]
     rows = own.join(docs.select("test_id", "text", *have), "test_id", "left").select("test_id", "rules", "text", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["test_id", "rule_id", "type", "page", "passed", "score", "explanation"]
+        types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.string())
+        book = lambda m: None if m is None else dict(m)
         for batch in batches:
+            keys, rules, texts, pages, headers, footers, angles = batch.columns
+            at, out = [], []
+
+            def made() -> pa.RecordBatch:
+                cols = zip(*out, strict=True)
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)  # noqa: B023
+
+            bounds, ids, bodies = rules.offsets.to_pylist(), rules.values.field(0), rules.values.field(1)
             for i in range(batch.num_rows):
-                _, rules, text, pages, headers, footers, angle = (batch.column(c)[i].as_py() for c in range(7))
-                book = lambda m: None if m is None else dict(m)
-                doc = R.Page(text or "", book(pages) or {}, book(headers), book(footers), angle)
-                out = []
-                for r in rules:
-                    one = R.parse(r["rule"])
+                doc = R.Page(texts[i].as_py() or "", book(pages[i].as_py()) or {}, book(headers[i].as_py()), book(footers[i].as_py()), angles[i].as_py())
+                a, n = bounds[i], bounds[i + 1] - bounds[i]
+                for rule_id, text in zip(ids.slice(a, n).to_pylist(), bodies.slice(a, n).to_pylist(), strict=True):
+                    one = R.parse(text)
                     score, passed, why = R.score(one, doc)
-                    out.append((r["rule_id"], one["type"], one.get("page"), passed, score, why))
-                cols = list(zip(*out, strict=True))
-                types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.string())
-                key = batch.column(0).take(pa.array([i] * len(out)))
-                yield pa.RecordBatch.from_arrays([key, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["test_id", "rule_id", "type", "page", "passed", "score", "explanation"])
+                    at.append(i)
+                    out.append((rule_id, one["type"], one.get("page"), passed, score, why))
+                if len(out) >= 10_000:
+                    yield made()
+                    at, out = [], []
+            if out:
+                yield made()
 
     return rows.mapInArrow(run, f"test_id {kind}, {RESULT}")
 
 
 def document_metrics(results: DataFrame, tests: DataFrame) -> DataFrame:
     """test_id, metric, value, passed, total: the pass rate of every test (1 without rules), that of each type, and the rotation rates."""
-    rate = lambda by: results.groupBy("test_id", *by).agg(F.avg("score").alias("value"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.lit(1)).alias("total"))
-    whole = tests.select("test_id").distinct().join(rate([]), "test_id", "left").select("test_id", F.lit("rule_pass_rate").alias("metric"), F.coalesce("value", F.lit(1.0)).alias("value"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("total", F.lit(0)).alias("total"))
-    by_type = rate(["type"]).select("test_id", F.concat(F.lit("rule_"), "type", F.lit("_pass_rate")).alias("metric"), "value", "passed", "total")
-    return whole.unionByName(by_type)
+    sums = (F.sum("s").alias("s"), F.sum("m").alias("m"), F.sum("passed").alias("passed"), F.sum("total").alias("total"))
+    kinds = results.groupBy("test_id", "type").agg(F.sum("score").alias("s"), F.count("score").alias("m"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.count(F.lit(1)).alias("total"))
+    rate = F.try_divide("s", "m").alias("value")
+    by_type = F.struct(F.concat(F.lit("rule_"), "type", F.lit("_pass_rate")).alias("metric"), rate, "passed", "total")
+    own = kinds.groupBy("test_id").agg(F.collect_list(by_type).alias("kinds"), *sums)  # as long as there are types; the results are read once
+    known = tests.select("test_id").distinct().withColumn("known", F.lit(True))
+    whole = F.struct(F.lit("rule_pass_rate").alias("metric"), F.coalesce(rate, F.lit(1.0)).alias("value"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("total", F.lit(0)).alias("total"))
+    none = F.array().cast("array<struct<metric:string,value:double,passed:bigint,total:bigint>>")
+    rows = F.concat(F.when(F.col("known"), F.array(whole)).otherwise(none), F.coalesce("kinds", none))
+    return known.join(own, "test_id", "full_outer").select("test_id", F.inline(rows))
 
 
 def rotation_scores(results: DataFrame, rules: DataFrame) -> DataFrame:

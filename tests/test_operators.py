@@ -115,3 +115,21 @@ def test_normalise_text_reads_whole_texts(spark, tmp_path):
     catalog.load()
     spark.createDataFrame([(1, "word " * 100 + "end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.QUERIES["normalise_text"](spark, str(tmp_path)).collect()[0]["cell"].endswith("end")
+
+
+def test_eval_results_are_read_once(spark):
+    """All pass rates come of one pass over the rule results, with tests without rules and results without tests."""
+    from docmeter.operators import evaluate as E
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(1, "a", True, 1.0), (1, "a", False, 0.5), (1, "b", True, 1.0), (9, "z", False, 0.0)]
+    r = spark.createDataFrame(rows, "test_id long, type string, passed boolean, score double").mapInArrow(count, "test_id long, type string, passed boolean, score double")
+    got = {tuple(x) for x in E.document_metrics(r, spark.createDataFrame([(1,), (1,), (2,)], "test_id long")).collect()}
+    assert got == {(1, "rule_pass_rate", 2.5 / 3, 2, 3), (1, "rule_a_pass_rate", 0.75, 1, 2), (1, "rule_b_pass_rate", 1.0, 1, 1), (2, "rule_pass_rate", 1.0, 0, 0), (9, "rule_z_pass_rate", 0.0, 0, 1)}
+    assert seen.value == len(rows)
