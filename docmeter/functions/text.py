@@ -124,21 +124,24 @@ def strip_marks(text: str, keep_cjk: bool = True) -> str:
 
 
 _QUOTES, _SAME = str.maketrans(QUOTES), str.maketrans({**SAME, "＿": "_"})
-_BEFORE = [(re.compile(p), by) for p, by in ((AUTOLINK, r"\1"), (r"<br\s*/?>", " "))]
-_MARKS = [(re.compile(p), by) for p, by in ((r"\*\*(.*?)\*\*", r"\1"), (r"__(.*?)__", r"\1"), (r"</?[bi]>", ""), (r"\*(.*?)\*", r"\1"), (r"_(.*?)_", r"\1"))]
-_AFTER = [(re.compile(p), by) for p, by in ((r"</?(?:ins|u|mark)>|~~|\$\$", ""), (r"(?i)</?(?:s|del|strike)>", ""), (SPAN, ""), (r"(?i)<sup[^>]*>.*?</sup>|<sub[^>]*>.*?</sub>", ""), ("[¹²³⁰⁴-⁹₀-₉]+", ""), (r"-{2,}", "-"), (DOT_LEADER, ""))]
+# Patterns, what stands for their matches, and texts of which a match holds one (none: not ASCII).
+_BEFORE = [(re.compile(p), by, "<") for p, by in ((AUTOLINK, r"\1"), (r"<br\s*/?>", " "))]
+_MARKS = [(re.compile(p), by, k) for p, by, k in ((r"\*\*(.*?)\*\*", r"\1", "*"), (r"__(.*?)__", r"\1", "_"), (r"</?[bi]>", "", "<"), (r"\*(.*?)\*", r"\1", "*"), (r"_(.*?)_", r"\1", "_"))]
+_AFTER = [(re.compile(p), by, k) for p, by, k in ((r"</?(?:ins|u|mark)>|~~|\$\$", "", "<~$"), (r"(?i)</?(?:s|del|strike)>", "", "<"), (SPAN, "", "<"), (r"(?i)<sup[^>]*>.*?</sup>|<sub[^>]*>.*?</sub>", "", "<"), ("[¹²³⁰⁴-⁹₀-₉]+", "", ""), (r"-{2,}", "-", "-"), (DOT_LEADER, "", "."))]
+
+
+def _replace(t: str, steps: list[tuple[re.Pattern, str, str]]) -> str:
+    """Each pattern's matches replaced; no pattern is looked for where nothing that begins it stands."""
+    for pattern, by, needs in steps:
+        if (any(c in t for c in needs) if needs else not t.isascii()):
+            t = pattern.sub(by, t)
+    return t
 
 
 def _normalize(t: str) -> str:
-    for pattern, by in _BEFORE:
-        t = pattern.sub(by, t)
-    t = re.sub(r"\s+", " ", t.translate(_QUOTES))
-    for pattern, by in _MARKS:
-        t = pattern.sub(by, t)
-    t = strip_marks(t.replace("_", " ")).replace("…", "...").translate(_SAME)
-    for pattern, by in _AFTER:
-        t = pattern.sub(by, t)
-    return t.lower()
+    t = re.sub(r"\s+", " ", _replace(t, _BEFORE).translate(_QUOTES))
+    t = strip_marks(_replace(t, _MARKS).replace("_", " ")).replace("…", "...").translate(_SAME)
+    return _replace(t, _AFTER).lower()
 
 
 _short = functools.lru_cache(50_000)(_normalize)
@@ -188,6 +191,10 @@ def words_py(text: str, least: int = 2) -> list[str]:
     """Words, where runs of CJK letters are words of their own, of any length."""
     out = []
     for token in re.findall(r"\w+", text):
+        if token.isascii():
+            if len(token) >= least:
+                out.append(token)
+            continue
         for run in re.findall(r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+|[^぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+", token):
             if is_cjk(run[0]) or len(run) >= least:
                 out.append(run)

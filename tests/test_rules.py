@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -354,3 +355,23 @@ def test_greedy_at_all_thresholds(spark):
                     free_p.discard(r[2])
                     want.add((t, p, r[1], r[2]))
     assert got == want
+
+
+def test_words_of_many_pages_make_few_patterns():
+    """Patterns made of a page's own words cost more than all else of a page: none is made where no mark of theirs stands."""
+    rules.pattern.cache_clear()
+    for i in range(50):
+        for text in (f"# Client {i} of ours\n", f"Client {i} of ours, **not** a title", f"market {i} closed"):
+            page = rules.Page(text)
+            assert rules.score({"type": "is_title", "text": f"Client {i} of ours"}, page)[1] == text.startswith("#")
+            s = f"market {i} closed"
+            assert rules.score({"type": "missing_sentence", "bag_of_sentence": {s: 1}}, page)[1] == (s in text)
+    assert rules.pattern.cache_info().misses == 0
+    for part, text in [("ab", "ab abc ab_ -ab- abab"), ("a a", "a a a a a"), ("a.b", "a.b axb a.b1"), ("é", "é éé é"), ("-a", "b-a -a"), ("", "a b")]:
+        assert rules.alone(part, text) == len(re.findall(rf"(?<!\w){re.escape(part)}(?!\w)", text)), (part, text)
+
+
+def test_nested_and_hidden_tables_are_still_apart():
+    for text in ("<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>", "<!-- <table><tr><td>a</td></tr></table> --><table><tr><td>b</td></tr></table>", "<table></table><table><tr><td>x</td></tr>", "<table><tr><td>x</td></tr></table><table><tr><th>y</th></tr></table>"):
+        want = [[c.text for c in t.cells] for t in tables.html_tables(text, nested=True)]
+        assert [[c.text for c in g.own] for g in rules.Page(text).grids] == want
