@@ -79,3 +79,10 @@ def test_first_headings_of_odd_pages(spark, tmp_path):
     heads = ["<h1>One</h1>", "<h1>Ç Ç</h1>", "<h1>É</h1><p>x</p><h1>é</h1>", "<h1>two\nlines</h1>", "<h1>r\r\nn\u2028x</h1>", "<h1 id='a'><em>marked</em> <i>up</i></h1>", "<h1> </h1><h1>Next</h1>", "<h1>\u212a</h1>", "<h2>none</h2>", "<H1>Large</H1>", "<h1>open", "", None]
     got, want = on_pages(spark, tmp_path, "rule_is_title", heads)
     assert got == want
+
+
+def test_fuzzy_titles_of_odd_pages(spark, tmp_path):
+    """Titles too short for a change, of marks or spaces only, and with marks that others of the page make a pair with."""
+    titles = ["A title", "a", "ab", "abc", "abcd", " ", "**", "....", "²", "__", "-- --", "a_b_c", "ab_cd", "#hash", "Ç", "x\ny", ""]
+    got, want = on_pages(spark, tmp_path, "rule_present_fuzzy", [f"<html><meta name='x_y'><title>{t}</title><p>and _more_ * of it</p></html>" for t in titles] + ["<p>none</p>", "<title>", None])
+    assert got == want
