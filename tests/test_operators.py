@@ -133,3 +133,37 @@ def test_eval_results_are_read_once(spark):
     got = {tuple(x) for x in E.document_metrics(r, spark.createDataFrame([(1,), (1,), (2,)], "test_id long")).collect()}
     assert got == {(1, "rule_pass_rate", 2.5 / 3, 2, 3), (1, "rule_a_pass_rate", 0.75, 1, 2), (1, "rule_b_pass_rate", 1.0, 1, 1), (2, "rule_pass_rate", 1.0, 0, 0), (9, "rule_z_pass_rate", 0.0, 0, 1)}
     assert seen.value == len(rows)
+
+
+def test_pages_count_tokens_in_a_table(monkeypatch):
+    """A page's tokens are counted as rows of one table; pages too large for one give the same scores by Counters."""
+    import random
+
+    import pyarrow as pa
+
+    from docmeter.operators import layout as L
+
+    rng = random.Random(3)
+
+    def page(n: int) -> tuple[L.Part, L.Part, list[pa.Array]]:
+        parts = L.Part(), L.Part()
+        for p in parts:
+            for i in range(n):
+                y = rng.randrange(5)
+                p.id.append(i)
+                p.cls.append(rng.choice("ab"))
+                p.rank.append(i)
+                p.box.append((0.0, 10.0 * y, 100.0, 10.0 * y + rng.choice([10, 20])))
+                p.marks.append((rng.random() < 0.3, rng.random() < 0.1, rng.random() < 0.3))
+        return *parts, [pa.array(rng.choices([*"uvwxyz", None], k=rng.randrange(12)), pa.string()) for _ in range(2 * n)]
+
+    for n in [0, 1, 3, 6] * 10:
+        gt, pred, texts = page(n)
+        out = []
+        for most, kind in ((16_000_000, L.Bag), (0, L.Counter)):
+            monkeypatch.setattr(L, "DENSE", most)
+            bags = L.bags_of(texts)
+            assert not any(map(len, texts)) or all(isinstance(b, kind) for b in bags)
+            gt.tokens, pred.tokens = bags[:n], bags[n:]
+            out.append([f(gt, pred) for f in (L.score_elements, L.score_page, L.score_classes)])
+        assert out[0] == out[1]
