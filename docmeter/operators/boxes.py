@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,15 @@ def layout_rules(gt: DataFrame, matches: DataFrame, page: list[str]) -> DataFram
     return gt.select(*page, "gt_id", "cls").join(m, [*page, "gt_id"], "left").withColumn("localised", F.col("pred_id").isNotNull()).withColumn("classified", F.coalesce(F.col("cls") == F.col("p_cls"), F.lit(False)))
 
 
+def groups(rows: pa.RecordBatch, by: list[int]) -> np.ndarray:
+    """Numbers of runs of rows that are equal in some columns, which hold no nulls."""
+    new = np.zeros(rows.num_rows, np.int64)
+    for c in by:
+        x = rows.column(c)
+        new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
 def greedy_all(pairs: DataFrame, keys: list[str], thresholds: tuple[float, ...], *, any_class: bool = False) -> DataFrame:
     """threshold and matches for each threshold, in one pass: predictions by score, each takes the free box with the largest IoU from the threshold on.
 
@@ -75,24 +86,46 @@ def greedy_all(pairs: DataFrame, keys: list[str], thresholds: tuple[float, ...],
     rows = ok.select(*cols).repartition(*keys).sortWithinPartitions(*by, *order)
     at = {c: i for i, c in enumerate(cols)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, free = None, {}
-        for batch in batches:
-            own = [batch.column(i).to_pylist() for i in range(len(cols))]
-            take: list[int] = []
-            level: list[float] = []
-            for i, (g, p, iou) in enumerate(zip(own[at["gt_id"]], own[at["pred_id"]], own[at["iou"]], strict=True)):
-                if (here := tuple(own[at[c]][i] for c in by)) != group:
-                    group, free = here, {t: (set(), set()) for t in thresholds}
+    def matched(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Matches of whole groups. A pair whose boxes are in no other pair is matched up to its IoU; only the others take turns."""
+        group = groups(part, [at[c] for c in by])
+        iou = part.column(at["iou"]).to_numpy(zero_copy_only=False)
+        alone = np.ones(part.num_rows, bool)
+        for c in ("gt_id", "pred_id"):
+            code = part.column(at[c]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, which, n = np.unique(group * (part.num_rows + 1) + code, return_inverse=True, return_counts=True)
+            alone &= n[which] == 1
+        take = [np.flatnonzero(alone & (iou >= t)) for t in thresholds]
+        level = [np.full(len(i), t) for i, t in zip(take, thresholds, strict=True)]
+        if len(rest := np.flatnonzero(~alone)):
+            own = part.take(pa.array(rest))
+            here, more, levels = -1, [], []
+            for i, k, g, p, x in zip(rest.tolist(), group[rest].tolist(), own.column(at["gt_id"]).to_pylist(), own.column(at["pred_id"]).to_pylist(), iou[rest].tolist(), strict=True):
+                if k != here:
+                    here, free = k, {t: (set(), set()) for t in thresholds}
                 for t, (gs, ps) in free.items():
-                    if iou >= t and g not in gs and p not in ps:
+                    if x >= t and g not in gs and p not in ps:
                         gs.add(g)
                         ps.add(p)
-                        take.append(i)
-                        level.append(t)
-            if take:
-                part = batch.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(level), *part.columns], names=["threshold", *cols])
+                        more.append(i)
+                        levels.append(t)
+            take.append(np.array(more, np.int64))
+            level.append(np.array(levels, float))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(level)), *part.take(pa.array(np.concatenate(take))).columns], names=["threshold", *cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch])
+            starts = np.flatnonzero(np.diff(groups(ends, [at[c] for c in by]))) + (0 if held else 1)
+            if len(starts):
+                yield matched(pa.concat_batches([*held, batch.slice(0, int(starts[-1]))]))
+                held, batch = [], batch.slice(int(starts[-1]))
+            held.append(batch)
+        if held:
+            yield matched(pa.concat_batches(held))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(run, "threshold double, " + ", ".join(f"{c} {kinds[c]}" for c in cols))

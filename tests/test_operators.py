@@ -167,3 +167,43 @@ def test_pages_count_tokens_in_a_table(monkeypatch):
             gt.tokens, pred.tokens = bags[:n], bags[n:]
             out.append([f(gt, pred) for f in (L.score_elements, L.score_page, L.score_classes)])
         assert out[0] == out[1]
+
+
+def test_pairs_that_stand_alone_take_no_turns(spark):
+    """Greedy matches of random pages against a plain loop, in batches that cut pages; pages of pairs that stand alone are matched as arrays."""
+    import random
+    import pyarrow as pa
+
+    from docmeter.operators import boxes as B
+
+    rng = random.Random(5)
+    rows = [(p, rng.randrange(size), rng.randrange(size), c, c, rng.randrange(4) / 4, rng.randrange(10, 21) / 20) for p in range(60) for size in (rng.choice([2, 5, 40]),) for c in "ab" for _ in range(size)]
+    pairs = spark.createDataFrame(rows, "page long, gt_id long, pred_id long, g_cls string, p_cls string, score double, iou double").distinct()
+    want = set()
+    for t in (0.5, 0.7, 0.9):
+        seen = set()
+        for r in sorted(set(rows), key=lambda r: (r[0], r[3], -r[5], r[2], -r[6], r[1])):
+            g, p = ("g", r[0], r[3], r[1]), ("p", r[0], r[3], r[2])
+            if r[6] >= t and not {g, p} & seen:
+                seen |= {g, p}
+                want.add((t, *r))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = B.greedy_all(pairs, ["page"], (0.5, 0.7, 0.9)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    batch = pa.RecordBatch.from_pydict({"page": [1, 1, 2, 2], "cls": ["a", "b", "b", "b"]})
+    assert B.groups(batch, [0, 1]).tolist() == [0, 1, 2, 2]
+
+
+def test_areas_are_read_without_tokens(spark):
+    """Only boxes are shuffled for the areas of a page; pages of one side, too, have a row."""
+    from docmeter.operators import layout as L
+
+    kind = "page long, id long, cls string, x0 double, y0 double, x1 double, y1 double"
+    gt = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 10.0, 10.0), (1, 2, "a", 5.0, 0.0, 15.0, 10.0), (2, 1, "a", 0.0, 0.0, 1.0, 1.0)], kind)
+    pred = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 15.0, 5.0), (3, 1, "a", 0.0, 0.0, 1.0, 1.0)], kind)
+    out = L.set_iou(gt, pred, ["page"])
+    assert {tuple(r) for r in out.collect()} == {(1, 0.5, 0.5), (2, 0.0, 0.0), (3, 0.0, 0.0)}
+    assert "tokens" not in out._jdf.queryExecution().analyzed().toString()
