@@ -6,7 +6,10 @@ granularity that agrees best counts. Localisation is strict by overlap alone, or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +110,30 @@ def field_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
 def aligned_records(expected: DataFrame, actual: DataFrame, key: str, fields: list[str], least: float = 0.5) -> DataFrame:
     """key, rank, other, agree: records (key, rank, fields) paired greedily by how many fields agree, from more than `least` of them on; ties by rank.
 
-    A document's records are scored where an equal field brings them together, so no record meets one with which it shares nothing.
+    A document's records are scored where an equal field brings them together, so no record meets one with which it shares nothing. Documents are read as a stream, many to a batch.
     """
     side = lambda d, r: d.select(key, F.col("rank").alias(r), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select(key, r, "x.f", "x.v").where("v is not null")
     pairs = side(expected, "rank").join(side(actual, "other"), [key, "f", "v"]).groupBy(key, "rank", "other").agg((F.count(F.lit(1)) / len(fields)).alias("agree")).where(F.col("agree") > least)
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["agree", "rank", "other"], ascending=[False, True, True], kind="stable")
-        left, right, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(rows["rank"], rows["other"], strict=True)):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    return pairs.groupBy(key).applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in (key, "rank", "other", "agree")))
+    cols = [key, "rank", "other", "agree"]
+    rows = pairs.select(*cols).repartition(key).sortWithinPartitions(key, F.desc("agree"), F.asc_nulls_last("rank"), F.asc_nulls_last("other"))
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left, right = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, (k, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if k != last:
+                    last, left, right = k, set(), set()
+                if a not in left and b not in right:
+                    left.add(a)
+                    right.add(b)
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return rows.mapInArrow(greedy, ", ".join(f"{c} {kinds[c]}" for c in cols))
 
 
 def record_metrics(expected: DataFrame, actual: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

@@ -207,3 +207,23 @@ def test_areas_are_read_without_tokens(spark):
     out = L.set_iou(gt, pred, ["page"])
     assert {tuple(r) for r in out.collect()} == {(1, 0.5, 0.5), (2, 0.0, 0.0), (3, 0.0, 0.0)}
     assert "tokens" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_records_are_paired_in_one_stream(spark):
+    """Greedy pairs of records without a data frame for each document; ties by rank."""
+    from docmeter.operators import grounding as G
+
+    kind = "k long, rank long, a string, b string, c string"
+    left = [(k, r, f"a{r % 2}", f"b{r}", "c") for k in range(30) for r in range(4)]
+    right = [(k, r, f"a{r % 2}", f"b{r % 3}", "c") for k in range(30) for r in range(5)]
+    out = G.aligned_records(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), "k", ["a", "b", "c"])
+    want = set()
+    for k in range(30):
+        near = sorted((-sum(x == y for x, y in zip(p[2:], q[2:], strict=True)), p[1], q[1]) for p in left for q in right if p[0] == q[0] == k)
+        used: set = set()
+        for n, p, q in near:
+            if n <= -2 and not {("l", p), ("r", q)} & used:
+                used |= {("l", p), ("r", q)}
+                want.add((k, p, q, round(-n / 3, 9)))
+    assert {(r["k"], r["rank"], r["other"], round(r["agree"], 9)) for r in out.collect()} == want
+    assert "InPandas" not in out._jdf.queryExecution().analyzed().toString()
