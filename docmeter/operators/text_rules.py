@@ -145,7 +145,11 @@ def bag(docs: DataFrame, key: str, items: Column) -> DataFrame:
 
 def bag_scores(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """From bags (key, item, n) of both sides: missing, unexpected and too-many scores with their passes."""
-    j = expected.select(key, "item", F.col("n").alias("e")).join(actual.select(key, "item", F.col("n").alias("a")), [key, "item"], "full_outer").fillna(0, ["e", "a"])
+    return both_scores(expected.select(key, "item", F.col("n").alias("e")).join(actual.select(key, "item", F.col("n").alias("a")), [key, "item"], "full_outer").fillna(0, ["e", "a"]), key)
+
+
+def both_scores(j: DataFrame, key: str) -> DataFrame:
+    """bag_scores of items (key, item) that hold the counts e and a of both sides: bags of one source are counted, and shuffled, once."""
     wanted, known = F.col("e") > 0, (F.col("e") > 0) & (F.col("a") > 0)
     g = j.groupBy(key).agg(
         F.sum("e").alias("required"), F.sum("a").alias("observed"), F.sum(F.least("e", "a")).alias("covered"), F.sum(F.when(known, F.col("a")).otherwise(0)).alias("known"),

@@ -86,3 +86,9 @@ def test_fuzzy_titles_of_odd_pages(spark, tmp_path):
     titles = ["A title", "a", "ab", "abc", "abcd", " ", "**", "....", "²", "__", "-- --", "a_b_c", "ab_cd", "#hash", "Ç", "x\ny", ""]
     got, want = on_pages(spark, tmp_path, "rule_present_fuzzy", [f"<html><meta name='x_y'><title>{t}</title><p>and _more_ * of it</p></html>" for t in titles] + ["<p>none</p>", "<title>", None])
     assert got == want
+
+
+def test_words_are_shuffled_once(spark):
+    """The words of a document are counted for both bags at once: one exchange by document and word, one by document."""
+    df = QUERIES["word_bag_rules"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
