@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,22 +72,34 @@ def localised(iou: Column, max_ioa: Column, score: Column, how: Column) -> Colum
 def field_rules(rules: DataFrame, units: DataFrame) -> DataFrame:
     """rules (test_id, field_path, expected, kind, boxes) with RULE, loc, attr and element. units: test_id, granularity, rank, text, page and a box.
 
-    A document's units are gathered once beside its rules' boxes, only those of pages that a rule asks for.
+    A document's units are gathered once beside its rules' boxes, only those of pages that a rule asks for; a rule is sent those that stand inside its boxes.
     """
     box = F.struct(F.col("page"), *B.BOX)
     pages = rules.select("test_id", F.explode("boxes").alias("b")).select("test_id", F.col("b.page").alias("page")).distinct()
     own = units.join(pages, ["test_id", "page"]).groupBy("test_id").agg(F.collect_list(F.struct("granularity", "rank", "text", box.alias("box"))).alias("units"))
 
-    @F.pandas_udf(RULE)
-    def run(expected: pd.Series, kind: pd.Series, gt: pd.Series, have: pd.Series) -> pd.DataFrame:
-        as_box = lambda b: (b["page"], *(float(b[c]) for c in B.BOX))
-        out = []
-        for e, k, g, u in zip(expected, kind, gt, have, strict=True):
-            own = [] if u is None else [(x["granularity"], x["rank"], x["text"] or "", as_box(x["box"])) for x in u]
-            out.append(best_support(e, k or "string", [] if g is None else [as_box(b) for b in g], own))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in RULE.split(", ")])
+    def stands(unit: Column) -> Column:
+        u = {c: unit["box"][c].cast("double") for c in B.BOX}
+        size = F.greatest((u["x1"] - u["x0"]) * (u["y1"] - u["y0"]), F.lit(1e-12))
+        side = lambda g, a, b: F.greatest(F.lit(0.0), F.least(u[b], g[b].cast("double")) - F.greatest(u[a], g[a].cast("double")))
+        return F.exists("boxes", lambda g: (g["page"] == unit["box"]["page"]) & (side(g, "x0", "x1") * side(g, "y0", "y1") / size >= INSIDE))
+
+    own = rules.join(own, "test_id", "left").withColumn("units", F.filter("units", stands))
+    kinds = {f.name: f.dataType.simpleString() for f in rules.schema}
+    n, at = len(rules.columns), {c: i for i, c in enumerate(rules.columns)}
+    types = [pa.float64()] * 4 + [pa.string()] * 3
 
-    out = rules.join(own, "test_id", "left").withColumn("r", run("expected", F.col("kind"), F.col("boxes"), F.col("units"))).select(*rules.columns, "r.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_box = lambda b: (b["page"], *(float(b[c]) for c in B.BOX))
+        for batch in batches:
+            out = []
+            for e, k, g, u in zip(*(batch.column(i).to_pylist() for i in (at["expected"], at["kind"], at["boxes"], n)), strict=True):
+                have = [(x["granularity"], x["rank"], x["text"] or "", as_box(x["box"])) for x in u or ()]
+                out.append(best_support(e, k or "string", [as_box(b) for b in g or ()], have))
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*at, *(x.split()[0] for x in RULE.split(", "))])
+
+    out = own.select(*rules.columns, "units").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in at) + ", " + RULE)
     loc = localised(F.col("iou"), F.col("max_ioa"), F.col("score"), F.col("how"))
     return out.withColumn("loc", loc).withColumn("attr", F.col("loc") & (F.col("score") >= NEAR)).withColumn("element", F.col("attr"))
 

@@ -227,3 +227,15 @@ def test_records_are_paired_in_one_stream(spark):
                 want.add((k, p, q, round(-n / 3, 9)))
     assert {(r["k"], r["rank"], r["other"], round(r["agree"], 9)) for r in out.collect()} == want
     assert "InPandas" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_field_is_sent_only_units_inside_its_boxes(spark, monkeypatch):
+    """Units of a document that stand outside a field's boxes stay in Spark; the ones inside decide as before, and a field without boxes has none."""
+    from docmeter.operators import grounding as G
+
+    kind = "test_id long, field_path string, expected string, kind string, boxes array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
+    rules = spark.createDataFrame([(1, "a", "7", "number", [(1, 0.0, 0.0, 10.0, 10.0)]), (1, "b", "8", "number", None)], kind)
+    units = spark.createDataFrame([(1, "word", 1, "7", 1, 0.0, 0.0, 10.0, 10.0), (1, "word", 2, "9", 1, 6.0, 0.0, 16.0, 10.0), (1, "word", 3, "5", 2, 0.0, 0.0, 10.0, 10.0)], "test_id long, granularity string, rank int, text string, page int, x0 double, y0 double, x1 double, y1 double")
+    out = G.field_rules(rules, units)
+    assert {(r["field_path"], r["iou"], r["score"], r["found"], r["element"]) for r in out.collect()} == {("a", 1.0, 1.0, "7", True), ("b", 0.0, 0.0, "", False)}
+    assert "filter(units" in out._jdf.queryExecution().analyzed().toString() and "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
